@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (id, small payload) that may be broadcast; larger sides are shuffled.
@@ -59,3 +59,8 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def held_out(mod: int) -> Column:
+    """True where the CRC-32 of doc_id as text leaves 2; such rows don't train. A null id is not held out."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % mod == 2, F.lit(False))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import secrets, sharding
-from tidewall.llm._spark import arrow_rows, documents
+from tidewall.llm import langid, secrets, sharding
+from tidewall.llm._spark import documents, held_out
 
 
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,17 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(documents(spark, sf_dir))[0])
 
 
+def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.prototypes(docs.where(~held_out(4)))
+    rows = docs.select("doc_id", held_out(4).alias("held_out"), "text")
+    return langid.predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op6_histogram_shards": op6_histogram_shards,
     "op9_secret_ledger": op9_secret_ledger,
+    "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
