@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import langid, secrets, sharding
+from tidewall.llm import jaccard, langid, secrets, sharding
 from tidewall.llm._spark import documents, held_out
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.shard_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -26,6 +30,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
