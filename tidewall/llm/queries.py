@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import jaccard, langid, secrets, sharding
+from tidewall.llm import jaccard, langid, secrets, sharding, substrings
 from tidewall.llm._spark import documents, held_out
 
 
@@ -18,6 +18,10 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(documents(spark, sf_dir))[0])
 
@@ -32,6 +36,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
+    "op8_relative_lz_dedup": op8_relative_lz_dedup,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
