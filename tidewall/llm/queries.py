@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import jaccard, langid, secrets, sharding, substrings
+from tidewall.llm import jaccard, langid, packing, secrets, sharding, substrings
 from tidewall.llm._spark import documents, held_out
 
 
@@ -18,6 +18,16 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op8_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -36,6 +46,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
+    "op7_min_bin_slack_packing": op7_min_bin_slack_packing,
     "op8_relative_lz_dedup": op8_relative_lz_dedup,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
