@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import jaccard, langid, packing, secrets, sharding, substrings
+from tidewall.llm import decontaminate, jaccard, langid, packing, secrets, sharding, substrings
 from tidewall.llm._spark import documents, held_out
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -44,6 +48,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_min_bin_slack_packing": op7_min_bin_slack_packing,
