@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import decontaminate, jaccard, langid, packing, secrets, sharding, substrings
+from tidewall.llm import decontaminate, jaccard, langid, packing, secrets, sharding, substrings, vectors
 from tidewall.llm._spark import documents, held_out
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+    return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -48,6 +53,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_projection_forest": op1_projection_forest,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
