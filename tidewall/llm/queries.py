@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import decontaminate, jaccard, langid, packing, secrets, sharding, substrings, vectors
+from tidewall.llm import decontaminate, jaccard, langid, packing, secrets, sharding, substrings, toxicity, vectors
 from tidewall.llm._spark import documents, held_out
 
 
@@ -18,6 +18,14 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_toxicity_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = toxicity.train(docs, labels.where(~held_out(4)))
+    scored = toxicity.score(docs.select("doc_id", held_out(4).alias("held_out"), "text"), machine)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -55,6 +63,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_projection_forest": op1_projection_forest,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
+    "op3_toxicity_factorization": op3_toxicity_factorization,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_min_bin_slack_packing": op7_min_bin_slack_packing,
