@@ -5,16 +5,18 @@ tasks saw repeatedly last, by that count, the others by hash. If two sets of siz
 then for every l their prefixes of size - ceil(t * size) + l items share l items. Each document chooses its
 own l: longer prefixes cost more index rows, but a partner must then share l of them, so the candidates that
 survive are at most the sum of the prefix's frequencies over l; the document takes the l of least estimated
-cost. A pair is verified if it shares as many prefix items as the smaller l of both.
+cost. A pair is verified if it shares as many prefix items as the smaller l of both,
+and as many as its sizes imply: at most the longer of what lies behind both prefixes can be shared outside.
 
 Documents with equal sets form one class, which is joined as one row. Classes on one prefix item are first
-verified against a single leader (a linear number of pairs, two rounds); links merge them, and only pairs of
+matched with a single leader (a linear number of pairs, two rounds); links merge them, and only pairs of
 classes that are still in different components are then matched with each other, counted and verified. So a
 large group of near copies costs a row for each member and not for each pair, and no link between different
 components is lost: pairs that are skipped are already connected.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing. A text of fewer than
-five words is one shingle. Rows with a null id keep their row and join classes, but never name a component.
+five words is one shingle. A text that only rows with a null id have links with nothing; such
+rows never name a component.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewall.llm._components import components
-from tidewall.llm._spark import arrow_rows, small_side, stash, unstash
+from tidewall.llm._spark import arrow_rows, small_side, stash
 from tidewall.llm._words import gram_hashes, hashed_texts, mix
 
 #: Frequent shingles that the order knows of, at most; the bound of what is broadcast. Any order gives the same links.
@@ -104,20 +106,21 @@ def _prefixes(n: int, percent: int, frequent):
         known, counts = frequent.value
         for batch in batches:
             out: list[tuple] = []
-            for _, words in hashed_texts([None] * batch.num_rows, batch.column(0), lower=True):
+            copies = batch.column(1).to_pylist()
+            for k, words in hashed_texts(list(range(batch.num_rows)), batch.column(0), lower=True):
                 grams = shingles(words, n)
-                if not len(grams):
+                if not len(grams) or (copies[k] and _class_key(grams) in copies[k]):
                     continue
                 at = np.searchsorted(known, grams)
                 at[at == len(known)] = 0
                 freq = np.where(known[at] == grams, counts[at], 1) if len(known) else np.ones(len(grams), np.int64)
                 order = np.lexsort((grams, freq))
                 length, matches = choose_prefix(freq[order], len(grams), percent)
-                out.append((grams[order[:length]].view(np.int64), _class_key(grams), len(grams), matches))
+                out.append((grams[order[:length]].view(np.int64), _class_key(grams), len(grams), matches, int((freq > 1).sum())))
             if out:
                 reps = [len(x[0]) for x in out]
                 column = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in out], t), reps))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), column(1, np.int64), column(2, np.int32), column(3, np.int32)], names=["gram", "key", "n", "matches"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), column(1, np.int64), column(2, np.int32), column(3, np.int32), column(4, np.int32)], names=["gram", "key", "n", "matches", "weight"])
 
     return run
 
@@ -125,10 +128,12 @@ def _prefixes(n: int, percent: int, frequent):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            keys, sets = [], []
-            for _, words in hashed_texts([None] * batch.num_rows, batch.column(1), lower=True):
+            keys, sets, wanted = [], [], batch.column(0).to_pylist()
+            for k, words in hashed_texts(list(range(batch.num_rows)), batch.column(1), lower=True):
                 grams = shingles(words, n)
-                keys.append(_class_key(grams))
+                if _class_key(grams) != wanted[k]:
+                    continue  # another text of a repeated id
+                keys.append(wanted[k])
                 sets.append(np.unique(grams & np.uint64((1 << 8 * KEPT_BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "items"])
 
@@ -162,8 +167,15 @@ def _verified(percent: int):
     return run
 
 
-def _alike_in_size(m: Column, n: Column, percent: int) -> Column:
-    return (100 * F.least(m, n)) >= (percent * F.greatest(m, n))
+def _enough(m: str, n: str, l_m: str, l_n: str, percent: int) -> Column:
+    """(sizes fit, prefix items that a similar pair of sizes m, n with these requirements shares at least)"""
+    behind = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - F.col(k) for c, k in ((m, l_m), (n, l_n))])
+    common = F.ceil((F.col(m) + F.col(n)) * percent / F.lit(100 + percent))
+    return F.greatest(F.least(F.col(l_m), F.col(l_n)).cast("long"), common - behind)
+
+
+def _alike_in_size(m: str, n: str, percent: int) -> Column:
+    return (100 * F.least(F.col(m), F.col(n))) >= (percent * F.greatest(F.col(m), F.col(n)))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -176,57 +188,60 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     top = described.where("kind = 1").groupBy("id").agg(F.sum("key").alias("count")).orderBy(F.desc("count"), "id").limit(FREQUENT).toPandas().sort_values("id", key=lambda s: s.astype("int64").to_numpy().view(np.uint64))
     frequent = spark.sparkContext.broadcast((top["id"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)))
 
+    firsts = stash(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
+    copies = rows.join(firsts.withColumnRenamed("doc_id", "first"), "key").where("doc_id > first")
+    copies = stash(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")))
+
     # classes on one prefix item: the lists that hold at least two
-    prefix = docs.select("text").mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int").groupBy("gram", "key").agg(F.first("n").alias("n"), F.first("matches").alias("matches"))
+    each = docs.join(small_side(copies), "doc_id", "left").select("text", "copies")
     item = Window.partitionBy("gram")
-    lists = stash(prefix.withColumn("low", F.min("key").over(item)).withColumn("high", F.max("key").over(item)).where("low < high").drop("low", "high"))
 
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    shared = lists.select("key").distinct().join(firsts, "key")
-    wanted = small_side(stash(shared))
-    sets = docs.join(wanted.select("doc_id"), "doc_id").mapInArrow(_sets(n), "key long, items binary")
-    # a repeated id may bring in texts of other classes
-    sets = stash(sets.dropDuplicates(["key"]))
+    def shared(lists: DataFrame, priority: Column) -> DataFrame:
+        """Lists that hold classes of several components (root), with their leaders."""
+        lists = lists.withColumn("low", F.min("root").over(item)).withColumn("high", F.max("root").over(item))
+        lists = lists.withColumn("lead", F.max(F.struct(priority.alias("p"), "key", "n", "matches", "root")).over(item))
+        return lists.where("low < high").select("gram", "key", "n", "matches", "root", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root"))
+
+    prefix = each.mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int, weight int")
+    lists = stash(shared(prefix.withColumn("root", F.col("key")), F.col("weight")))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        wanted = small_side(stash(keys.join(firsts, "key")))
+        sets = docs.join(wanted, "doc_id").select("key", "text").mapInArrow(_sets(n), "key long, items binary")
         left = sets.select(F.col("key").alias("a"), F.col("items").alias("items_a"))
         right = sets.select(F.col("key").alias("b"), F.col("items").alias("items_b"))
-        return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long")
-
-    links = None
-    labels = None
-    done = None
-    for turn in range(2):
-        # the leader: in the first round the class on most lists, in the second any by hash
-        now = lists if labels is None else lists.join(labels, lists["key"] == labels["node"], "left").select("gram", "key", "n", "matches", F.coalesce("root", "key").alias("root"))
-        if labels is not None:
-            now = now.withColumn("low", F.min("root").over(item)).withColumn("high", F.max("root").over(item)).where("low < high")
-        else:
-            now = now.withColumn("root", F.col("key"))
-        weight = now.groupBy("key").agg(F.count("*").alias("weight"))
-        now = now.join(weight, "key")
-        lead = F.max(F.struct(F.col("weight") if turn == 0 else F.xxhash64("key"), "key", "n", "root")).over(item)
-        star = now.withColumn("lead", lead).where((F.col("lead.root") != F.col("root")) & _alike_in_size(F.col("n"), F.col("lead.n"), percent))
-        pairs = star.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stash(pairs)
-        done = pairs if done is None else done.union(pairs)
-        found = stash(verify(pairs))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    # pairs across components: as many shared items as the smaller requirement
-    now = lists.join(labels, lists["key"] == labels["node"], "left").select("gram", "key", "n", "matches", F.coalesce("root", "key").alias("root"))
-    now = stash(now.withColumn("low", F.min("root").over(item)).withColumn("high", F.max("root").over(item)).where("low < high").drop("low", "high"))
+        return stash(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long"))
+
+    def stars(lists: DataFrame) -> DataFrame:
+        """Pairs of a class and a leader on enough lists."""
+        star = lists.where((F.col("lead_root") != F.col("root")) & _alike_in_size("n", "lead_n", percent))
+        enough = _enough("n", "lead_n", "matches", "lead_matches", percent)
+        pairs = star.groupBy("key", "lead").agg(F.count("*").alias("shared"), F.first(enough).alias("enough")).where("shared >= enough")
+        return pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+
+    def relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+        lists = lists.select("gram", "key", "n", "matches")
+        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "key", "n", "matches", F.coalesce("root", "key").alias("root"))
+
+    # two rounds of stars save pairs; what they pass over is met below
+    first = stash(stars(lists))
+    links = verify(first)
+    labels = components(links)
+    later = stash(shared(relabelled(lists, labels), F.xxhash64("key")))
+    second = stash(stars(later).join(first, ["a", "b"], "left_anti"))
+    links = links.union(verify(second))
+    labels = components(links)
+    now = stash(shared(relabelled(later, labels), F.lit(0)))
     x, y = now.alias("x"), now.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _alike_in_size(F.col("x.n"), F.col("y.n"), percent))
-    counted = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.matches", "y.matches")).alias("needed"))
-    rest = stash(counted.where("shared >= needed").select("a", "b").join(done, ["a", "b"], "left_anti"))
-    links = links.union(stash(verify(rest)))
+    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _alike_in_size("x.n", "y.n", percent))
+    counted = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"), F.first(_enough("x.n", "y.n", "x.matches", "y.matches", percent)).alias("enough"))
+    rest = stash(counted.where("shared >= enough").select("a", "b").join(first.union(second), ["a", "b"], "left_anti"))
+    links = links.union(verify(rest))
     labels = components(links)
     # the smallest document of each class's component
     named = firsts.join(labels, firsts["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = stash(named.join(smallest, "root").select("key", "component_id"))
     out = rows.join(small_side(classes), "key", "left")
-    return out.select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
