@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import decontaminate, jaccard, langid, packing, secrets, sharding, substrings, toxicity, vectors
+from tidewall.llm import decontaminate, jaccard, langid, mixing, packing, secrets, sharding, substrings, toxicity, vectors
 from tidewall.llm._spark import documents, held_out
 
 
@@ -30,6 +30,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", held_out(7).alias("held_out"), "text")
+    return mixing.score_documents(docs, docs.where("not held_out"))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.shard_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_toxicity_factorization": op3_toxicity_factorization,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_context_mixing": op5_context_mixing,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_min_bin_slack_packing": op7_min_bin_slack_packing,
     "op8_relative_lz_dedup": op8_relative_lz_dedup,
