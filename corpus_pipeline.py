@@ -1,8 +1,74 @@
-"""The corpus pipeline: five stages from raw documents to packed sequences."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept and decides by one operator. Only the last returns
+other columns than those of documents. Rows with a null id pass the filtering stages unless their own text
+decides against them, as links and leaks name documents by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewall.llm import decontaminate, jaccard, langid, packing, secrets
+from tidewall.llm._spark import held_out, small_side, stash
+from tidewall.llm.queries import tokenizer_path
+
+#: Texts whose best cosine is under this resemble no language
+LEAST_LIKENESS = 0.05
+
+#: SQL cannot express the trained stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts unlike every language; lang is replaced by the prediction."""
+    profiles = langid.prototypes(docs.where(~held_out(4)))
+    found = langid.predict(docs, profiles).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LIKENESS))
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of every component of linked documents (all rows of that id)."""
+    classes = jaccard.jaccard_classes(docs)
+    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(small_side(stash(dropped)), "doc_id", "left_anti")
+    return kept.select(*docs.columns)
+
+
+def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    leaked = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(small_side(stash(leaked)), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in a text; n_chars follows the new text. Keeps all documents."""
+    findings, _ = secrets.scan_documents(docs)
+    found = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    marked = docs.withColumn("_blob", blob).join(small_side(stash(found.withColumnRenamed("blob", "_blob")), 100_000), "_blob", "left")
+    text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    chars = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return marked.withColumn("text", text).withColumn("n_chars", chars).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into sequences of at most 4096 ids."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("decontamination", remove_benchmark_leaks),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir))
+    return docs
