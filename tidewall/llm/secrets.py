@@ -104,5 +104,10 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def digest(findings: DataFrame) -> DataFrame:
     """One row for each document: counts of the base kinds, the hash of the base spans, all spans."""
     base = F.filter("spans", lambda s: s["rule"] < BASE)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rule"] == k)).cast("long").alias(f"n_{RULES[k][0]}") for k in range(BASE)]
+
+    def of(rule: int) -> Column:
+        # not a default argument: a second parameter would be the element's index
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{RULES[rule][0]}")
+
+    counts = [of(k) for k in range(BASE)]
     return findings.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
