@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,16 +61,20 @@ def fold_look_alikes(x: Column) -> Column:
     return F.translate(x, _FOLD_FROM, _FOLD_TO)
 
 
-@F.pandas_udf("string")
-def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _normalized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         # most rows are ASCII, which is normal already
         yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@cache
+def _nfkc():
+    return F.pandas_udf(_normalized, "string")
+
+
 def nfkc(x: Column) -> Column:
     """Compatibility normalization. The one text kernel that Spark has no expression for."""
-    return _nfkc(x)
+    return _nfkc()(x)
 
 
 def normalize_for_scan(x: Column) -> Column:
