@@ -2,8 +2,8 @@
 
 Every text is cut into pieces of at most `window` ids: whole windows, and a rest. The plan needs only how many
 rests have each length, at most window - 1 counts whatever the input. A subset-sum table of bitsets over the
-remaining lengths (a length's count is split into powers of two) gives the multiset that fills a window closest
-to its capacity; walking the table back gives how often each length occurs in it. That pattern is used as often
+remaining lengths (a length's count is split into powers of two) gives the multiset that, with the longest rest
+left, fills a window closest to its capacity; walking the table back gives how often each length occurs in it. That pattern is used as often
 as the remaining counts allow, so each pattern uses up some length and there are few patterns. A rest then finds
 its place from its length and its number among the rests of that length.
 
@@ -161,7 +161,11 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, dict[i
     left = {n: c for n, c in counts.items() if c}
     out = []
     while left:
-        chosen = best_fill(left, window)
+        # the longest rest goes first: filled up last, long rests would be left that fit no window together
+        longest = max(left)
+        others = {n: c - (n == longest) for n, c in left.items() if c > (n == longest) and n <= window - longest}
+        chosen = best_fill(others, window - longest)
+        chosen[longest] = chosen.get(longest, 0) + 1
         times = min(left[n] // k for n, k in chosen.items())
         out.append((times, chosen))
         for n, k in chosen.items():
