@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import decontaminate, jaccard, langid, mixing, packing, secrets, sharding, substrings, toxicity, vectors
+from tidewall.llm import decontaminate, jaccard, langid, mixing, packing, secrets, sharding, sql, substrings, toxicity, vectors
 from tidewall.llm._spark import documents, held_out
 
 
@@ -78,4 +78,8 @@ QUERIES = {
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_ngram_jaccard": sql.OP4,
+    "op8_relative_lz_dedup": sql.OP8,
+    "op9_secret_ledger": sql.OP9,
+}
