@@ -116,11 +116,11 @@ def _prefixes(n: int, percent: int, frequent):
                 freq = np.where(known[at] == grams, counts[at], 1) if len(known) else np.ones(len(grams), np.int64)
                 order = np.lexsort((grams, freq))
                 length, matches = choose_prefix(freq[order], len(grams), percent)
-                out.append((grams[order[:length]].view(np.int64), _class_key(grams), len(grams), matches, int((freq > 1).sum())))
+                out.append((grams[order[:length]].view(np.int64), _class_key(grams), len(grams), matches))
             if out:
                 reps = [len(x[0]) for x in out]
                 column = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in out], t), reps))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), column(1, np.int64), column(2, np.int32), column(3, np.int32), column(4, np.int32)], names=["gram", "key", "n", "matches", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), column(1, np.int64), column(2, np.int32), column(3, np.int32)], names=["gram", "key", "n", "matches"])
 
     return run
 
@@ -200,10 +200,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         """Lists that hold classes of several components (root), with their leaders."""
         lists = lists.withColumn("low", F.min("root").over(item)).withColumn("high", F.max("root").over(item))
         lists = lists.withColumn("lead", F.max(F.struct(priority.alias("p"), "key", "n", "matches", "root")).over(item))
-        return lists.where("low < high").select("gram", "key", "n", "matches", "root", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root"))
-
-    prefix = each.mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int, weight int")
-    lists = stash(shared(prefix.withColumn("root", F.col("key")), F.col("weight")))
+        return lists.where("low < high").select("gram", "key", "n", "matches", "met", "root", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root"))
+
+    prefix = each.mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int")
+    prefix = prefix.withColumn("low", F.min("key").over(item)).withColumn("high", F.max("key").over(item))
+    met_lists = stash(prefix.where("low < high").drop("low", "high"))
+    # met: how many of its prefix items a class shares with any other
+    met = stash(met_lists.groupBy("key").agg(F.count("*").cast("int").alias("met")))
+    lists = met_lists.join(small_side(met), "key").withColumn("root", F.col("key"))
+    # a leader shares the largest part of its prefix: an original rather than an edited copy
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + F.col("matches")
+    lists = stash(shared(lists, F.struct(F.col("met") / length, "met")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -221,10 +228,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         return pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
     def relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-        lists = lists.select("gram", "key", "n", "matches")
-        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "key", "n", "matches", F.coalesce("root", "key").alias("root"))
+        lists = lists.select("gram", "key", "n", "matches", "met")
+        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "key", "n", "matches", "met", F.coalesce("root", "key").alias("root"))
 
-    # two rounds of stars save pairs; what they pass over is met below
+    # two rounds of stars save pairs; what they pass over is met below. `met` bounds what a pair can share
     first = stash(stars(lists))
     links = verify(first)
     labels = components(links)
@@ -232,11 +239,21 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     second = stash(stars(later).join(first, ["a", "b"], "left_anti"))
     links = links.union(verify(second))
     labels = components(links)
-    now = stash(shared(relabelled(later, labels), F.lit(0)))
+    # a class's items by frequency: a pair that shares enough of them meets early enough in both orders
+    now = shared(relabelled(later, labels), F.lit(0)).select("gram", "key", "n", "matches", "root").withColumn("held", F.count("*").over(item))
+    own = Window.partitionBy("key")
+    now = now.withColumn("rank", F.row_number().over(own.orderBy("held", "gram"))).withColumn("met", F.count("*").over(own))
+    now = stash(now)
     x, y = now.alias("x"), now.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _alike_in_size("x.n", "y.n", percent))
-    counted = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"), F.first(_enough("x.n", "y.n", "x.matches", "y.matches", percent)).alias("enough"))
-    rest = stash(counted.where("shared >= enough").select("a", "b").join(first.union(second), ["a", "b"], "left_anti"))
+    enough = _enough("x.n", "y.n", "x.matches", "y.matches", percent)
+    could = _alike_in_size("x.n", "y.n", percent) & (1 + F.least(F.col("x.met") - F.col("x.rank"), F.col("y.met") - F.col("y.rank")) >= enough)
+    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & could)
+    met_pairs = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.first(enough).alias("enough"))
+    met_pairs = stash(met_pairs.join(first.union(second), ["a", "b"], "left_anti"))
+    # of the pairs that met, those with enough shared items are verified
+    items = now.groupBy("key").agg(F.collect_list("gram").alias("grams"))
+    met_pairs = met_pairs.join(items.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")), "a").join(items.select(F.col("key").alias("b"), F.col("grams").alias("grams_b")), "b")
+    rest = stash(met_pairs.where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("enough")).select("a", "b"))
     links = links.union(verify(rest))
     labels = components(links)
     # the smallest document of each class's component

@@ -73,7 +73,8 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     doc_id, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     blob = F.unhex(F.sha2(text, 256))
     paths = stash(docs.select(doc_id.alias("doc_id"), blob.alias("blob")))
-    firsts = paths.groupBy("blob").agg(F.min("doc_id").alias("first"))
+    # a table of its own: a blob that many rows hold can then be split in the join
+    firsts = stash(paths.groupBy("blob").agg(F.min("doc_id").alias("first")))
     repeats = paths.join(firsts, "blob").where(F.col("doc_id") > F.col("first")).select("blob", "doc_id")
     fresh = docs.select(doc_id.alias("doc_id"), blob.alias("blob"), text.alias("text"))
     fresh = fresh.join(small_side(stash(repeats)), ["blob", "doc_id"], "left_anti")

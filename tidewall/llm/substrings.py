@@ -162,6 +162,8 @@ def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
 
     windows = stash(docs.join(small_side(shared, 100_000), "doc_id").mapInArrow(_windows(span), "doc_id long, start int, window long"))
     least = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # a table of its own: a window that many documents hold can then be split in the join
+    least = stash(least)
     covered = windows.join(least, "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     marks = covered.withColumn("whole", F.lit(False)).unionByName(repeats.select("doc_id").distinct().select("doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
     marks = stash(marks)
