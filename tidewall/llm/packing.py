@@ -56,7 +56,8 @@ class Encoder:
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # the call for batches keeps no offsets, which nothing here needs
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self, words: list[str]) -> None:
         ids = self.whole(" ".join(words))
