@@ -18,7 +18,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +29,9 @@ WINDOW, END = 4096, 2
 #: Words whose ids a worker keeps
 KEPT_WORDS = 400_000
 
-#: Fixed values of the tokenizer: how it cuts lower-cased text into words, and what ends a word's last token
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed values of the tokenizer: how it cuts lower-cased plain text into words, and what ends a word's last token.
+#: Letters and numbers are spelt out, as plain texts have no others
+WORD = re.compile(r"[a-zªµºß-öø-ÿĀ-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 WORD_END = "</w>"
 #: Texts of these characters alone are normal, and lower-cased alike everywhere; others go to the tokenizer whole
 PLAIN = re.compile("[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]*")
