@@ -275,6 +275,45 @@ def test_mixing(spark):
     assert len(none) == 3 and all(r["n_known"] == 0 for r in none)
 
 
+def mixing_chunks(spark, rows):
+    """(chunks with answers, vocabulary) of training texts."""
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab = spark.sparkContext.broadcast(mixing.vocabulary(mixing.word_counts(texts)))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(mixing.FOLDS)).cast("int")
+    chunks = mixing.cut_chunks(texts.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("scored"), fold.alias("fold"), "text")).cache()
+    return chunks, mixing.answered(chunks, vocab, 5), vocab
+
+
+def test_mixing_counts_every_context_apart(spark):
+    # far more words than any list of frequent ones, each with a word that always follows it
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(w for k in rng.integers(0, 9000, 60) for w in (f"a{k}", f"b{k}", f"c{k}"))) for i in range(400)]
+    chunks, answered, vocab = mixing_chunks(spark, rows)
+    texts = {}
+    ready = [(r, mixing.Chunk.read(r, vocab.value)) for r in (x.asDict() for x in answered.collect())]
+    counts = {f: [collections.Counter() for _ in range(mixing.CONTEXTS)] for f in range(mixing.FOLDS)}
+    before = lambda c, w, k: (w[k - 1] if k else None) if c == 0 else (w[k - 2] if k > 1 else None, w[k - 1] if k else None)
+    for r, chunk in ready:
+        tokens = chunk.words[chunk.places].tolist()
+        for i, lo, hi in zip(r["doc_ids"], chunk.first[:-1], chunk.first[1:], strict=True):
+            texts[i] = w = tokens[lo:hi]
+            for k in range(len(w)):
+                for c in (0, 2):
+                    for d in range(mixing.CLASS_BITS + 1):
+                        counts[r["fold"]][c][before(c, w, k), d, w[k] >> 64 - d] += 1
+    assert len(texts) == 400 and len(ready) >= mixing.FOLDS
+    for r, chunk in ready:
+        every, others = (np.concatenate([mixing._unpack_paths(x) for x in r[k]], axis=1) for k in ("every", "others"))
+        for lo, hi in list(zip(chunk.first[:-1], chunk.first[1:], strict=True))[:5]:
+            w = chunk.words[chunk.places[lo:hi]].tolist()
+            for k in range(len(w)):
+                for c in (0, 2):
+                    for d in (0, 1, 5, mixing.CLASS_BITS):
+                        n = [counts[f][c][before(c, w, k), d, w[k] >> 64 - d] for f in range(mixing.FOLDS)]
+                        at = chunk.of_token[c, lo + k]
+                        assert every[d, at] == sum(n) and others[d, at] == sum(n) - n[r["fold"]]
+
+
 def test_every_class_bit_is_a_probability():
     weights, refined = np.tile(mixing.START, (mixing.GATES, 1)), np.full((mixing.GATES, mixing.CELLS), 0.3)
     base, odds, seen = np.zeros(1 << mixing.CLASS_BITS, np.float32), np.zeros((3, 1 << mixing.TABLE_BITS), np.float16), np.zeros((3, 1 << mixing.TABLE_BITS), np.uint8)

@@ -1,16 +1,18 @@
-"""Language-model scores by logistic context mixing over hashed contexts.
+"""Language-model scores by logistic context mixing over counted contexts.
 
 A text is its lower-cased words and one end. The top CLASS_BITS bits of a word's hash are its class, which is
 coded bit by bit; each bit is predicted in four contexts: none, the word before, the last two very frequent
-words (which tell the language and the register), and the two words before. Bit counts of all training texts
-are gathered in one hashed table for each context. A logistic mixer adds the predictions' log odds with weights
-that a gate selects (the bit's place and how much the contexts have seen), learned online; a last table refines
-the mixed probability by what came true at such a probability. Within its class a word has its add-one share.
-So score = log10 of a product of bit probabilities and shares: every bit's two probabilities add to one.
-
-Counts (words, classes, bits) cover all training texts. The mixer's weights and the refinement are fitted on at
-most MIXER_ROWS training texts (those of least id hash, at most about an eighth). Every task sends tables of fixed size; TASKS_PER_CORE
-bounds how many. The FREQUENT words of largest counts are broadcast; counts of all others are joined.
+words (which tell the language and the register), and the two words before. A logistic mixer adds the predictions'
+log odds with weights that a gate selects (the bit's place and how much the contexts have seen), learned online; a
+last table refines the mixed probability by what came true at such a probability. Within its class a word has its
+add-one share. So score = log10 of a product of bit probabilities and shares: every bit's two probabilities add to one.
+
+Counts (words, classes, bits) cover all training texts, each context under its own 54-bit key: no table size and no
+vocabulary bound them. Tasks cut texts into chunks; each distinct (context, class) of a chunk is sent once, with its
+count, to the counting task that owns the context, so that a hot context is at most 2**CLASS_BITS rows of a chunk.
+The counting task sends back how often every prefix of the class followed the context. Weights and refinement are
+learned on the training texts of fold 0, with counts that leave that fold out, and summed over tasks in Spark.
+The FREQUENT words of largest counts are broadcast; counts of all others are joined.
 
 Null and empty texts are one end token. Without training rows all counts are 0. Null ids and repeated rows keep
 their rows.
@@ -29,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm._spark import arrow_rows, stash
+from tidewall.llm._spark import arrow_rows, stash, unstash
 from tidewall.llm._words import hash_words, mix, text_slices, word_bounds
 
-CLASS_BITS, TABLE_BITS, BLOCK_BITS = 10, 20, 12
-FREQUENT, CONTEXT_WORDS, MARKERS = 1 << 17, 4096, 256
-MIXER_ROWS, TASKS_PER_CORE = 2000, 2
+CLASS_BITS = 10
+#: A counting task is given about 2 ** TABLE_BITS requests of chunks; the number of tasks follows the tokens
+TABLE_BITS = 20
+FREQUENT, MARKERS = 1 << 17, 256
+FOLDS, CHUNK_TOKENS = 4, 1 << 19
 #: The hash that stands for the end of a text
 END = np.uint64(0x5851F42D4C957F2D)
 CONTEXTS, INPUTS, SEEN = 3, 5, 3
@@ -77,21 +81,21 @@ def classes(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _U(64 - CLASS_BITS)).astype(np.int64)
 
 
-def contexts(rank: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(CONTEXTS, tokens) 32-bit hashes of each token's contexts. rank: CONTEXT_WORDS or more for other words."""
-    n = len(rank)
+def contexts(tokens: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(CONTEXTS, tokens) 64-bit hashes of each token's contexts. marks: whether a token is a very frequent word."""
+    n = len(tokens)
     place = np.arange(n)
     start = np.repeat(first[:-1], np.diff(first))
-    word = np.minimum(rank, CONTEXT_WORDS).astype(np.int64) + 1
-    before = np.where(place - 1 >= start, np.concatenate(([0], word[:-1]))[:n], 0)
-    before2 = np.where(place - 2 >= start, np.concatenate(([0, 0], word[:-2]))[:n], 0)
-    last = np.maximum.accumulate(np.where(rank < MARKERS, place, -1))
+    none = np.zeros(1, np.uint64)
+    before = np.where(place - 1 >= start, np.concatenate((none, tokens[:-1]))[:n], _U(0))
+    before2 = np.where(place - 2 >= start, np.concatenate((none, none, tokens[:-2]))[:n], _U(0))
+    last = np.maximum.accumulate(np.where(marks, place, -1))
     m1 = np.concatenate(([-1], last[:-1]))[:n]
     m2 = np.where(m1 > 0, last[np.maximum(m1 - 1, 0)], -1)
-    mark1 = np.where(m1 >= start, word[np.maximum(m1, 0)], 0)
-    mark2 = np.where((m1 >= start) & (m2 >= start), word[np.maximum(m2, 0)], 0)
-    both = np.stack((before, mark1 << 20 | mark2, (before << 20 | before2) + 1)).astype(np.uint64)
-    return (mix(both + np.arange(1, CONTEXTS + 1, dtype=np.uint64)[:, None] * _U(0x632BE59BD9B4E019)) >> _U(32)).astype(np.uint32)
+    mark1 = np.where(m1 >= start, tokens[np.maximum(m1, 0)], _U(0))
+    mark2 = np.where((m1 >= start) & (m2 >= start), tokens[np.maximum(m2, 0)], _U(0))
+    both = np.stack((before, mix(mark1 * _U(0x9E3779B97F4A7C15) + mark2), mix(before * _U(0xC2B2AE3D27D4EB4F) + before2)))
+    return mix(both + np.arange(1, CONTEXTS + 1, dtype=np.uint64)[:, None] * _U(0x632BE59BD9B4E019))
 
 
 _PLACES = np.arange(CLASS_BITS)
@@ -103,10 +107,6 @@ def events(of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes.astype(np.uint32), (of_class[:, None] >> (CLASS_BITS - 1 - _PLACES) & 1).astype(bool)
 
 
-def slots(context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    return ((context[:, None] + nodes * np.uint32(2654435761)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
-
-
 def word_counts(training: DataFrame) -> DataFrame:
     """word (hash), n of every word of the training texts, ends included."""
 
@@ -143,81 +143,171 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words[order], top["n"].to_numpy(np.int64)[order], order, tokens, distinct, np.log10(mass))
 
 
-def bit_tables(training: DataFrame, vocab) -> tuple[tuple, tuple]:
-    """training (text, apart) -> the tables of the texts that are not apart, and of all.
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of one dimension byte plane by byte plane, compressed."""
+    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+CHUNK = "chunk long, fold int, scored boolean, n long, doc_ids array<long>, held array<boolean>, bytes array<long>, lengths binary, words binary, places binary, class_counts array<long>"
 
-    Tables: log odds without context by node; log odds, and how much was seen, by context and slot. The mixer is
-    fitted on the texts set apart with tables that have not seen them.
-    """
+
+def cut_chunks(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, held_out, scored, fold, text) -> chunks of texts of one fold (-1: no training) as places in a list of distinct words."""
 
     def run(batches):
-        nodes_n = np.zeros((2, 2 << CLASS_BITS), np.int64)
-        tables = np.zeros((2, CONTEXTS, 2 << TABLE_BITS), np.uint32)
-        held, sizes = ([], []), [0, 0]
+        held, number = {}, TaskContext.get().partitionId() << 24
+        for batch in batches:
+            kinds = batch.column(3).to_numpy(zero_copy_only=False).astype(int) * 2 + batch.column(2).to_numpy(zero_copy_only=False)
+            for kind in np.unique(kinds).tolist():
+                part = batch.filter(pa.array(kinds == kind))
+                ids, outs = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for some, tokens, first, sizes in token_slices(list(range(part.num_rows)), part.column(4)):
+                    mine = held.setdefault(kind, [])
+                    mine.append(([ids[k] for k in some], [outs[k] for k in some], tokens, np.diff(first), sizes))
+                    if sum(len(m[2]) for m in mine) >= CHUNK_TOKENS:
+                        yield closed(number, kind, held.pop(kind))
+                        number += 1
+        for kind, mine in held.items():
+            yield closed(number, kind, mine)
+            number += 1
+
+    def closed(number, kind, mine):
+        words, places = np.unique(np.concatenate([m[2] for m in mine]), return_inverse=True)
+        seen = np.bincount(classes(words)[places], minlength=1 << CLASS_BITS)
+        row = [number, kind >> 1, bool(kind & 1), len(places), [i for m in mine for i in m[0]], [h for m in mine for h in m[1]]]
+        row += [np.concatenate([m[4] for m in mine]).tolist(), pack(np.concatenate([m[3] for m in mine])), pack(words), pack(places.astype(np.uint32)), seen.tolist()]
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split(" ")[0] for c in CHUNK.split(", ")])
+
+    return rows.select("doc_id", "held_out", "scored", "fold", "text").mapInArrow(run, CHUNK)
 
-        def add(apart):
-            for c in range(CONTEXTS if held[apart] else 0):
-                # slots of many texts at a time, as each sum passes over the whole table
-                tables[apart, c] += np.bincount(np.concatenate([x[c] for x in held[apart]]), minlength=2 << TABLE_BITS).astype(np.uint32)
-            held[apart].clear()
-            sizes[apart] = 0
 
+@dataclass
+class Chunk:
+    """A chunk's tokens, and its requests: distinct (context, class) keys in order, counts, each token's place in them by context."""
+
+    words: np.ndarray
+    places: np.ndarray
+    first: np.ndarray
+    known: np.ndarray  # position of each of `words` in the vocabulary, or -1
+    keys: np.ndarray
+    counts: np.ndarray
+    of_token: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict, v: Vocabulary) -> Chunk:
+        words, places = unpack(row["words"], np.uint64), unpack(row["places"], np.uint32)
+        first = np.concatenate(([0], np.cumsum(unpack(row["lengths"], np.int64))))
+        at, there = v.find(words)
+        marks = there & (v.ranks[at] < MARKERS) if len(v.words) else there
+        of_class = classes(words).astype(np.uint64)[places]
+        low = _U((1 << CLASS_BITS) - 1)
+        keys = contexts(words[places], marks[places], first) & ~low | of_class
+        keys, of_token, counts = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+        return cls(words, places, first, np.where(there, at, -1), keys, counts, of_token.reshape(CONTEXTS, -1))
+
+
+def owners(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The counting task of each key; keys of one context have the same, and it never falls with the key."""
+    return ((keys >> _U(32 + CLASS_BITS)) * _U(parts) >> _U(32 - CLASS_BITS)).astype(np.int64)
+
+
+def paths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys -> (CLASS_BITS + 1, keys): how often the class's first 0, 1, .. bits followed its context."""
+    out = np.empty((CLASS_BITS + 1, len(keys)), np.uint32)
+    for d in range(CLASS_BITS + 1):
+        node = keys >> _U(CLASS_BITS - d)
+        starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        out[d] = np.repeat(np.add.reduceat(counts, starts), np.diff(np.append(starts, len(keys))))
+    return out
+
+
+def _pack_paths(path: np.ndarray) -> bytes:
+    """As steps from longer to shorter prefixes, most of which are 0."""
+    return pack(np.concatenate((path[:-1] - path[1:], path[-1:])).ravel())
+
+
+def _unpack_paths(raw: bytes) -> np.ndarray:
+    steps = unpack(raw, np.uint32).reshape(CLASS_BITS + 1, -1)
+    return np.cumsum(steps[::-1], axis=0, dtype=np.uint32)[::-1]
+
+
+def answered(chunks: DataFrame, vocab, parts: int) -> DataFrame:
+    """chunks with answers: by counting task, the prefix counts in all training texts, and in those of other folds."""
+
+    def ask(batches):
         for batch in batches:
-            for apart in (0, 1):
-                texts = batch.filter(pa.compute.equal(batch.column(1), bool(apart))).column(0)
-                for _, tokens, first, _ in token_slices([None] * len(texts), texts):
-                    at, there = vocab.value.find(tokens)
-                    found = contexts(np.where(there, vocab.value.ranks[at] if len(vocab.value.words) else 0, FREQUENT), first)
-                    for lo in range(0, len(tokens), CHUNK_WORDS):
-                        part = slice(lo, lo + CHUNK_WORDS)
-                        nodes, bits = events(classes(tokens[part]))
-                        nodes_n[apart] += np.bincount((nodes * 2 + bits).ravel(), minlength=2 << CLASS_BITS)
-                        held[apart].append([(slots(found[c, part], nodes) * np.uint32(2) + bits).ravel() for c in range(CONTEXTS)])
-                        sizes[apart] += nodes.size
-                        if sizes[apart] > 1 << 22:
-                            add(apart)
-        rows = []
-        for apart in (0, 1):
-            add(apart)
-            rows.append((apart, -1, 0, nodes_n[apart].astype(np.uint32).tobytes()))
-            rows += [(apart, c, b, part.tobytes()) for c in range(CONTEXTS) for b, part in enumerate(tables[apart, c].reshape(-1, 2 << BLOCK_BITS)) if part.any()]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["apart", "context", "block", "counts"])
-
-    def summed(key, frame):
-        total = np.zeros((2, 2 * (1 << (CLASS_BITS if key[0] < 0 else BLOCK_BITS))))
-        for apart, raw in zip(frame["apart"], frame["counts"], strict=True):
-            total[apart] += np.frombuffer(raw, np.uint32)
-        total[1] += total[0]
-        ones, zeros = total[:, 1::2], total[:, ::2]
-        odds = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float16)
-        seen = (ones + zeros > 2).astype(np.uint8) + (ones + zeros > 30).astype(np.uint8)
-        return pd.DataFrame({"context": [key[0]], "block": [key[1]], "odds": [odds.tobytes()], "seen": [seen.tobytes()]})
-
-    most = TASKS_PER_CORE * training.sparkSession.sparkContext.defaultParallelism
-    parts = training.select("text", "apart").coalesce(most).mapInArrow(run, "apart int, context int, block int, counts binary")
-    rows = parts.groupBy("context", "block").applyInPandas(summed, "context int, block int, odds binary, seen binary").collect()
-    base = np.zeros((2, 1 << CLASS_BITS), np.float32)
-    odds = np.zeros((2, CONTEXTS, 1 << TABLE_BITS), np.float16)
-    seen = np.zeros((2, CONTEXTS, 1 << TABLE_BITS), np.uint8)
-    for c, b, o, s in rows:
-        if c < 0:
-            base[:] = np.frombuffer(o, np.float16).reshape(2, -1)
-        else:
-            part = slice(b << BLOCK_BITS, (b + 1) << BLOCK_BITS)
-            odds[:, c, part], seen[:, c, part] = np.frombuffer(o, np.float16).reshape(2, -1), np.frombuffer(s, np.uint8).reshape(2, -1)
-    return tuple((base[k], odds[k], seen[k]) for k in (0, 1))
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row, vocab.value)
+                owner = owners(chunk.keys, parts)
+                cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+                blocks = [(int(owner[lo]), row["chunk"], row["fold"], pack(np.diff(chunk.keys[lo:hi], prepend=_U(0))), pack(chunk.counts[lo:hi].astype(np.uint32))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "fold", "keys", "counts"])
+
+    def count(key, frame):
+        asked = [np.cumsum(unpack(raw, np.uint64), dtype=np.uint64) for raw in frame["keys"]]
+        sizes, folds = [len(a) for a in asked], frame["fold"].to_numpy()
+        keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.concatenate([unpack(raw, np.uint32) for raw in frame["counts"]])
+        of_fold = np.repeat(folds, sizes)
+        by_fold = [np.bincount(place[of_fold == f], n[of_fold == f], len(keys)).astype(np.int64) for f in range(FOLDS)]
+        total = sum(by_fold)
+        every = paths(keys, total)
+        others = {f: paths(keys, total - by_fold[f]) for f in np.unique(folds[folds >= 0]).tolist()}
+        spans = np.split(place, np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "every": [_pack_paths(every[:, s]) for s in spans], "others": [_pack_paths(others[f][:, s]) if f >= 0 else None for f, s in zip(folds, spans, strict=True)]})
+
+    asked = chunks.select("chunk", "fold", "lengths", "words", "places").mapInArrow(ask, "part int, chunk long, fold int, keys binary, counts binary")
+    answers = asked.groupBy("part").applyInPandas(count, "chunk long, part int, every binary, others binary")
+    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "every", "others"))).alias("answers"))
+    return chunks.drop("class_counts", "n").join(by_chunk, "chunk").select("*", F.col("answers.every").alias("every"), F.col("answers.others").alias("others")).drop("answers")
+
+
+def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))).astype(np.float32)
+
+
+def base_odds(chunks: DataFrame) -> np.ndarray:
+    """(FOLDS + 1, nodes) log odds without context, of the other folds' training texts and (last) of all."""
+    counts = np.zeros((FOLDS + 1, 1 << CLASS_BITS), np.int64)
+    for f, k, n in chunks.where("fold >= 0").select("fold", F.posexplode("class_counts").alias("k", "n")).groupBy("fold", "k").agg(F.sum("n")).collect():
+        counts[f, k] = n
+    counts[FOLDS] = counts[:FOLDS].sum(axis=0)
+    counts[:FOLDS] = counts[FOLDS] - counts[:FOLDS]
+    out = np.zeros((FOLDS + 1, 1 << CLASS_BITS), np.float32)
+    for d in range(CLASS_BITS):
+        halves = counts.reshape(FOLDS + 1, 1 << d, 2, -1).sum(axis=3)
+        out[:, 1 << d : 2 << d] = _odds(halves[:, :, 1], halves[:, :, 0])
+    return out
+
+
+def answers_of(chunk: Chunk, raw: list) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds, how much was seen) of each request's bits."""
+    path = np.concatenate([_unpack_paths(x) for x in raw], axis=1)
+    bits = (chunk.keys >> (CLASS_BITS - 1 - _PLACES[:, None]).astype(np.uint64) & _U(1)).astype(bool)
+    came, other = path[1:], path[:-1] - path[1:]
+    odds = _odds(np.where(bits, came, other), np.where(bits, other, came))
+    seen = (path[:-1] > 2).astype(np.uint8) + (path[:-1] > 30).astype(np.uint8)
+    return np.ascontiguousarray(odds.T).ravel(), np.ascontiguousarray(seen.T).ravel()
 
 
 def _inputs(model, of_class: np.ndarray, context: np.ndarray):
-    """(log odds of each predictor, gate, bit) of every event."""
+    """(log odds of each predictor, gate, bit) of every event. context: each token's request by context."""
     base, odds, seen = model
     nodes, bits = events(of_class)
     x = np.ones((INPUTS, nodes.size), np.float32)
     x[0] = base[nodes].ravel()
     saw = []
     for c in range(CONTEXTS):
-        at = slots(context[c], nodes).ravel()
+        at = (context[c].astype(np.int64)[:, None] * CLASS_BITS + _PLACES).ravel()
         x[c + 1] = odds[c][at]
         saw.append(seen[c][at])
     place = np.broadcast_to(_PLACES, nodes.shape).ravel()
@@ -235,93 +325,102 @@ def _cell(z: np.ndarray) -> np.ndarray:
 START = np.array([0.4, 0.2, 0.5, 0.1, 0.0], np.float32)
 
 
-def fit_mixer(sample: DataFrame, vocab, model) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by gate, refined probability by gate and cell), learned online in each task and then averaged."""
+def learned_sums(ready: DataFrame, vocab, base) -> np.ndarray:
+    """Events, weights by gate (times events) and what came true by gate and cell, learned online in each task and summed."""
 
     def run(batches):
         weights = np.tile(START, (GATES, 1))
-        cells = np.zeros((GATES, CELLS, 2))
+        cells = np.zeros(GATES * CELLS * 2)
         n = 0
         for batch in batches:
-            for _, tokens, first, _ in token_slices([None] * batch.num_rows, batch.column(0)):
-                at, there = vocab.value.find(tokens)
-                found = contexts(np.where(there, vocab.value.ranks[at] if len(vocab.value.words) else 0, FREQUENT), first)
-                for lo in range(0, len(tokens), 512):
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row, vocab.value)
+                odds, seen = answers_of(chunk, row["others"])
+                model = base.value[row["fold"]], [odds] * CONTEXTS, [seen] * CONTEXTS
+                of_class = classes(chunk.words)[chunk.places]
+                for lo in range(0, len(of_class), 512):
                     part = slice(lo, lo + 512)
-                    x, gate, bits = _inputs(model.value, classes(tokens[part]), found[:, part])
+                    x, gate, bits = _inputs(model, of_class[part], chunk.of_token[:, part])
                     z = np.einsum("kn,nk->n", x, weights[gate])
                     step = (bits - _squash(z)).astype(np.float32) * x
                     hits = np.maximum(np.bincount(gate, minlength=GATES), 1)
                     for k in range(INPUTS):
                         weights[:, k] += RATE * np.bincount(gate, step[k], GATES) / np.sqrt(hits)
-                    np.add.at(cells, (gate, _cell(z), bits.astype(int)), 1)
+                    cells += np.bincount((gate * CELLS + _cell(z)) * 2 + bits, minlength=len(cells))
                     n += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([weights.ravel().astype(float).tolist()]), pa.array([cells.ravel().tolist()])], names=["n", "weights", "cells"])
-
-    rows = sample.select("text").coalesce(4).mapInArrow(run, "n long, weights array<double>, cells array<double>").collect()
-    total = sum(r["n"] for r in rows)
-    weights, cells = np.tile(START, (GATES, 1)).astype(float), np.zeros((GATES, CELLS, 2))
-    if total:
-        weights = sum(np.array(r["weights"]) * r["n"] for r in rows).reshape(GATES, INPUTS) / total
-        cells = sum(np.array(r["cells"]) for r in rows).reshape(GATES, CELLS, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([[float(n), *(weights.ravel().astype(float) * n).tolist(), *cells.tolist()]])], names=["sums"])
+
+    sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
+    learned = ready.where("fold = 0").select("fold", "lengths", "words", "places", "others").mapInArrow(run, "sums array<double>")
+    for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
+        sums[k] = x
+    return sums
+
+
+def fit_mixer(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """learned_sums() -> (weights by gate, averaged over events; refined probability by gate and cell)."""
+    cells = sums[1 + GATES * INPUTS :].reshape(GATES, CELLS, 2)
+    weights = sums[1 : 1 + GATES * INPUTS].reshape(GATES, INPUTS) / sums[0] if sums[0] else np.tile(START, (GATES, 1))
     # a cell starts at its own probability, with the weight of 20 events
     own = _squash((np.arange(CELLS) - CELLS // 2) / 2.5)
     refined = (cells[:, :, 1] + 20 * own) / (cells.sum(axis=2) + 20)
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
-def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text), training (doc_id, text) -> scores of every document.
+def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, held_out, text), training (doc_id, text; else the docs not held out) -> scores of every document.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), bits_per_byte.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    counts = stash(word_counts(training))
+    counts = stash(word_counts(docs.where("not held_out") if training is None else training))
     words = vocabulary(counts)
     vocab = spark.sparkContext.broadcast(words)
-    # an eighth of the ids at most, so that the other tables hold most of a small corpus
-    ids = training.select("doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).distinct()
-    chosen = stash(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MIXER_ROWS))
-    # at most MIXER_ROWS ids are broadcast
-    marked = training.join(F.broadcast(chosen.withColumn("apart", F.lit(True))), "doc_id", "left").select("text", F.coalesce("apart", F.lit(False)).alias("apart"))
-    others, every = (spark.sparkContext.broadcast(t) for t in bit_tables(marked, vocab))
-    mixer = spark.sparkContext.broadcast(fit_mixer(marked.where("apart"), vocab, others))
-    model = every
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    no = F.lit(-1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.lit(True).alias("scored"), (F.when(~F.col("held_out"), fold).otherwise(no) if training is None else no).alias("fold"), "text")
+    if training is not None:
+        rows = rows.union(training.select(F.col("doc_id").cast("long"), F.lit(False), F.lit(False), fold, "text"))
+    chunks = stash(cut_chunks(rows))
+    tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    base = spark.sparkContext.broadcast(base_odds(chunks))
+    ready = stash(answered(chunks, vocab, 1 + (CONTEXTS * tokens >> TABLE_BITS + 1)))
+    unstash(chunks)
+    mixer = spark.sparkContext.broadcast(fit_mixer(learned_sums(ready, vocab, base)))
 
     def run(batches):
         v, (weights, refined) = vocab.value, mixer.value
         log_counts = np.log10(v.counts + 1)
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            held = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
-            for some, tokens, first, sizes in token_slices(list(range(batch.num_rows)), batch.column(2)):
-                at, there = v.find(tokens)
-                found = contexts(np.where(there, v.ranks[at] if len(v.words) else 0, FREQUENT), first)
-                logs = np.zeros(len(tokens))
-                for lo in range(0, len(tokens), CHUNK_WORDS):
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row, v)
+                odds, seen = answers_of(chunk, row["every"])
+                model = base.value[FOLDS], [odds] * CONTEXTS, [seen] * CONTEXTS
+                of_class, first, some = classes(chunk.words)[chunk.places], chunk.first, len(chunk.first) - 1
+                logs = np.zeros(len(of_class))
+                for lo in range(0, len(of_class), CHUNK_WORDS):
                     part = slice(lo, lo + CHUNK_WORDS)
-                    k = classes(tokens[part])
-                    x, gate, bits = _inputs(model.value, k, found[:, part])
+                    k = of_class[part]
+                    x, gate, bits = _inputs(model, k, chunk.of_token[:, part])
                     z = x[0] * weights[gate, 0]
                     for j in range(1, INPUTS):
                         z += x[j] * weights[gate, j]
                     p = 0.5 * _squash(z) + 0.5 * refined.ravel()[gate * CELLS + _cell(z)]
                     p = np.where(bits, p, 1 - p)
                     logs[part] = np.log10(p.reshape(-1, CLASS_BITS)).sum(axis=1) - v.class_mass[k]
-                number = np.repeat(np.arange(len(some)), np.diff(first))
-                known = np.bincount(number[there], log_counts[at[there]], len(some)) if len(v.words) else np.zeros(len(some))
-                of_row = row + np.arange(len(some))
-                row += len(some)
-                docs_part = (of_row, [ids[k] for k in some], [held[k] for k in some], np.diff(first), np.bincount(number[there], minlength=len(some)), known, np.bincount(number, logs, len(some)), sizes)
-                none = np.zeros(len(some), np.int64)
-                yield batch_of(*docs_part, none)
+                number = np.repeat(np.arange(some), np.diff(first))
+                at = chunk.known[chunk.places]
+                there = at >= 0
+                known = np.bincount(number[there], log_counts[at[there]], some) if len(v.words) else np.zeros(some)
+                of_row = (row["chunk"] << 20) + np.arange(some)
+                none = np.zeros(some, np.int64)
+                yield batch_of(of_row, row["doc_ids"], row["held"], np.diff(first), np.bincount(number[there], minlength=some), known, np.bincount(number, logs, some), row["bytes"], none)
                 # other words are looked up by a join
-                rare, n = np.unique(np.stack((number[~there].astype(np.uint64), tokens[~there])), axis=1, return_counts=True) if not there.all() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+                rare, n = np.unique(number[~there] * len(chunk.words) + chunk.places[~there], return_counts=True)
                 if len(n):
                     zero = np.zeros(len(n))
-                    yield batch_of(of_row[rare[0].astype(np.int64)], pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.bool_()), n, zero, zero, zero, zero, rare[1].view(np.int64))
+                    yield batch_of(of_row[rare // len(chunk.words)], pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.bool_()), n, zero, zero, zero, zero, chunk.words[rare % len(chunk.words)].view(np.int64))
 
     names = ["row", "doc_id", "held_out", "n", "n_known", "known", "logs", "bytes", "word"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
@@ -330,7 +429,9 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         columns = [c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(k.to_pandas_dtype()) if not isinstance(c, list) else c, k) for c, k in zip(columns, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    made = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n long, n_known long, known double, logs double, bytes long, word long"))
+    scored = ready.where("scored").select("chunk", "doc_ids", "held", "bytes", "lengths", "words", "places", "every")
+    made = stash(scored.mapInArrow(run, "row long, doc_id long, held_out boolean, n long, n_known long, known double, logs double, bytes long, word long"))
+    unstash(ready)
     rare = made.where("held_out is null").select("row", "word", "n")
     joined = rare.join(counts.withColumnRenamed("n", "count"), "word")
     more = joined.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("more"))
