@@ -314,6 +314,14 @@ def test_mixing_counts_every_context_apart(spark):
                         assert every[d, at] == sum(n) and others[d, at] == sum(n) - n[r["fold"]]
 
 
+def test_mixer_learns_from_every_training_text(spark):
+    rows = [(i, f"w{i % 50} x y") for i in range(2600)]
+    chunks, answered, vocab = mixing_chunks(spark, rows)
+    learned = mixing.learned_sums(answered, vocab, spark.sparkContext.broadcast(mixing.base_odds(chunks)))
+    # every bit of every token of every text is in one cell
+    assert learned[0] == 2600 * 4 * mixing.CLASS_BITS == learned[1 + mixing.GATES * mixing.INPUTS :].sum()
+
+
 def test_every_class_bit_is_a_probability():
     weights, refined = np.tile(mixing.START, (mixing.GATES, 1)), np.full((mixing.GATES, mixing.CELLS), 0.3)
     base, odds, seen = np.zeros(1 << mixing.CLASS_BITS, np.float32), np.zeros((3, 1 << mixing.TABLE_BITS), np.float16), np.zeros((3, 1 << mixing.TABLE_BITS), np.uint8)

@@ -11,7 +11,7 @@ Counts (words, classes, bits) cover all training texts, each context under its o
 vocabulary bound them. Tasks cut texts into chunks; each distinct (context, class) of a chunk is sent once, with its
 count, to the counting task that owns the context, so that a hot context is at most 2**CLASS_BITS rows of a chunk.
 The counting task sends back how often every prefix of the class followed the context. Weights and refinement are
-learned on the training texts of fold 0, with counts that leave that fold out, and summed over tasks in Spark.
+learned on all training texts, each with counts that leave its own fold out, and summed over tasks in Spark.
 The FREQUENT words of largest counts are broadcast; counts of all others are joined.
 
 Null and empty texts are one end token. Without training rows all counts are 0. Null ids and repeated rows keep
@@ -351,7 +351,7 @@ def learned_sums(ready: DataFrame, vocab, base) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([[float(n), *(weights.ravel().astype(float) * n).tolist(), *cells.tolist()]])], names=["sums"])
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
-    learned = ready.where("fold = 0").select("fold", "lengths", "words", "places", "others").mapInArrow(run, "sums array<double>")
+    learned = ready.where("fold >= 0").select("fold", "lengths", "words", "places", "others").mapInArrow(run, "sums array<double>")
     for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
         sums[k] = x
     return sums
