@@ -291,7 +291,7 @@ def test_mixing_counts_every_context_apart(spark):
     chunks, answered, vocab = mixing_chunks(spark, rows)
     texts = {}
     ready = [(r, mixing.Chunk.read(r, vocab.value)) for r in (x.asDict() for x in answered.collect())]
-    counts = {f: [collections.Counter() for _ in range(mixing.CONTEXTS)] for f in range(mixing.FOLDS)}
+    counts = {r["chunk"]: [collections.Counter() for _ in range(mixing.CONTEXTS)] for r, _ in ready}
     before = lambda c, w, k: (w[k - 1] if k else None) if c == 0 else (w[k - 2] if k > 1 else None, w[k - 1] if k else None)
     for r, chunk in ready:
         tokens = chunk.words[chunk.places].tolist()
@@ -300,24 +300,25 @@ def test_mixing_counts_every_context_apart(spark):
             for k in range(len(w)):
                 for c in (0, 2):
                     for d in range(mixing.CLASS_BITS + 1):
-                        counts[r["fold"]][c][before(c, w, k), d, w[k] >> 64 - d] += 1
+                        counts[r["chunk"]][c][before(c, w, k), d, w[k] >> 64 - d] += 1
     assert len(texts) == 400 and len(ready) >= mixing.FOLDS
     for r, chunk in ready:
-        every, others = (np.concatenate([mixing._unpack_paths(x) for x in r[k]], axis=1) for k in ("every", "others"))
-        for lo, hi in list(zip(chunk.first[:-1], chunk.first[1:], strict=True))[:5]:
+        made = {apart: mixing.model_of(chunk, r, mixing.class_totals(chunks), apart) for apart in (False, True)}
+        for lo, hi in list(zip(chunk.first[:-1], chunk.first[1:], strict=True))[:2]:
             w = chunk.words[chunk.places[lo:hi]].tolist()
             for k in range(len(w)):
                 for c in (0, 2):
-                    for d in (0, 1, 5, mixing.CLASS_BITS):
-                        n = [counts[f][c][before(c, w, k), d, w[k] >> 64 - d] for f in range(mixing.FOLDS)]
-                        at = chunk.of_token[c, lo + k]
-                        assert every[d, at] == sum(n) and others[d, at] == sum(n) - n[r["fold"]]
+                    for d in range(mixing.CLASS_BITS):
+                        for apart, (_, odds, seen) in made.items():
+                            n = [sum(counts[f][c][before(c, w, k), e, x] for f in counts if not (apart and f == r["chunk"])) for e, x in ((d, w[k] >> 64 - d), (d + 1, w[k] >> 63 - d & ~1), (d + 1, w[k] >> 63 - d | 1))]
+                            at = chunk.of_token[c, lo + k] * mixing.CLASS_BITS + d
+                            assert abs(odds[c][at] - np.log((n[2] + 0.4) / (n[1] + 0.4))) < 1e-4 and seen[c][at] == (n[0] > 2) + (n[0] > 30)
 
 
 def test_mixer_learns_from_every_training_text(spark):
     rows = [(i, f"w{i % 50} x y") for i in range(2600)]
     chunks, answered, vocab = mixing_chunks(spark, rows)
-    learned = mixing.learned_sums(answered, vocab, spark.sparkContext.broadcast(mixing.base_odds(chunks)))
+    learned = mixing.learned_sums(answered, vocab, mixing.class_totals(chunks))
     # every bit of every token of every text is in one cell
     assert learned[0] == 2600 * 4 * mixing.CLASS_BITS == learned[1 + mixing.GATES * mixing.INPUTS :].sum()
 

@@ -11,7 +11,8 @@ Counts (words, classes, bits) cover all training texts, each context under its o
 vocabulary bound them. Tasks cut texts into chunks; each distinct (context, class) of a chunk is sent once, with its
 count, to the counting task that owns the context, so that a hot context is at most 2**CLASS_BITS rows of a chunk.
 The counting task sends back how often every prefix of the class followed the context. Weights and refinement are
-learned on all training texts, each with counts that leave its own fold out, and summed over tasks in Spark.
+learned on all training texts, each with counts that leave its own chunk out (chunks hold texts of one fold of ids, so
+that a small corpus has several), and summed over tasks in Spark.
 The FREQUENT words of largest counts are broadcast; counts of all others are joined.
 
 Null and empty texts are one end token. Without training rows all counts are 0. Null ids and repeated rows keep
@@ -219,28 +220,43 @@ def owners(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> _U(32 + CLASS_BITS)) * _U(parts) >> _U(32 - CLASS_BITS)).astype(np.int64)
 
 
+def _nodes(keys: np.ndarray, d: int) -> np.ndarray:
+    """Where each distinct (context, first d bits) of the sorted keys starts."""
+    node = keys >> _U(CLASS_BITS - d)
+    return np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+
+
 def paths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sorted distinct keys -> (CLASS_BITS + 1, keys): how often the class's first 0, 1, .. bits followed its context."""
     out = np.empty((CLASS_BITS + 1, len(keys)), np.uint32)
     for d in range(CLASS_BITS + 1):
-        node = keys >> _U(CLASS_BITS - d)
-        starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        starts = _nodes(keys, d)
         out[d] = np.repeat(np.add.reduceat(counts, starts), np.diff(np.append(starts, len(keys))))
     return out
 
 
-def _pack_paths(path: np.ndarray) -> bytes:
-    """As steps from longer to shorter prefixes, most of which are 0."""
-    return pack(np.concatenate((path[:-1] - path[1:], path[-1:])).ravel())
+def pack_paths(keys: np.ndarray, path: np.ndarray) -> bytes:
+    """Each distinct prefix once, as the step from a longer one: most steps are 0."""
+    steps = [path[CLASS_BITS]]
+    for d in range(CLASS_BITS - 1, -1, -1):
+        starts = _nodes(keys, d)
+        steps.append(path[d, starts] - path[d + 1, starts])
+    return pack(np.concatenate(steps))
 
 
-def _unpack_paths(raw: bytes) -> np.ndarray:
-    steps = unpack(raw, np.uint32).reshape(CLASS_BITS + 1, -1)
-    return np.cumsum(steps[::-1], axis=0, dtype=np.uint32)[::-1]
+def unpack_paths(keys: np.ndarray, raw: bytes) -> np.ndarray:
+    steps = unpack(raw, np.uint32)
+    out = np.empty((CLASS_BITS + 1, len(keys)), np.uint32)
+    out[CLASS_BITS], at = steps[: len(keys)], len(keys)
+    for d in range(CLASS_BITS - 1, -1, -1):
+        starts = _nodes(keys, d)
+        out[d] = np.repeat(steps[at : at + len(starts)] + out[d + 1, starts], np.diff(np.append(starts, len(keys))))
+        at += len(starts)
+    return out
 
 
 def answered(chunks: DataFrame, vocab, parts: int) -> DataFrame:
-    """chunks with answers: by counting task, the prefix counts in all training texts, and in those of other folds."""
+    """chunks with answers: by counting task, the prefix counts of the requests in all training texts."""
 
     def ask(batches):
         for batch in batches:
@@ -248,55 +264,57 @@ def answered(chunks: DataFrame, vocab, parts: int) -> DataFrame:
                 chunk = Chunk.read(row, vocab.value)
                 owner = owners(chunk.keys, parts)
                 cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
-                blocks = [(int(owner[lo]), row["chunk"], row["fold"], pack(np.diff(chunk.keys[lo:hi], prepend=_U(0))), pack(chunk.counts[lo:hi].astype(np.uint32))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "fold", "keys", "counts"])
+                blocks = [(int(owner[lo]), row["chunk"], pack(np.diff(chunk.keys[lo:hi], prepend=_U(0))), pack(chunk.counts[lo:hi].astype(np.uint32)) if row["fold"] >= 0 else None) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "keys", "counts"])
 
     def count(key, frame):
         asked = [np.cumsum(unpack(raw, np.uint64), dtype=np.uint64) for raw in frame["keys"]]
-        sizes, folds = [len(a) for a in asked], frame["fold"].to_numpy()
         keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-        n = np.concatenate([unpack(raw, np.uint32) for raw in frame["counts"]])
-        of_fold = np.repeat(folds, sizes)
-        by_fold = [np.bincount(place[of_fold == f], n[of_fold == f], len(keys)).astype(np.int64) for f in range(FOLDS)]
-        total = sum(by_fold)
-        every = paths(keys, total)
-        others = {f: paths(keys, total - by_fold[f]) for f in np.unique(folds[folds >= 0]).tolist()}
-        spans = np.split(place, np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "every": [_pack_paths(every[:, s]) for s in spans], "others": [_pack_paths(others[f][:, s]) if f >= 0 else None for f, s in zip(folds, spans, strict=True)]})
+        # chunks that don't train ask without counts
+        n = np.concatenate([np.zeros(len(a), np.uint32) if raw is None else unpack(raw, np.uint32) for a, raw in zip(asked, frame["counts"], strict=True)])
+        path = paths(keys, np.bincount(place, n, len(keys)).astype(np.int64))
+        spans = np.split(place, np.cumsum([len(a) for a in asked])[:-1])
+        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": [pack_paths(a, path[:, at]) for a, at in zip(asked, spans, strict=True)]})
 
-    asked = chunks.select("chunk", "fold", "lengths", "words", "places").mapInArrow(ask, "part int, chunk long, fold int, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInPandas(count, "chunk long, part int, every binary, others binary")
-    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "every", "others"))).alias("answers"))
-    return chunks.drop("class_counts", "n").join(by_chunk, "chunk").select("*", F.col("answers.every").alias("every"), F.col("answers.others").alias("others")).drop("answers")
+    asked = chunks.select("chunk", "fold", "lengths", "words", "places").mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
+    answers = asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary")
+    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("answers"))
+    return chunks.drop("n").join(by_chunk, "chunk").select(*chunks.drop("n").columns, F.col("answers.counts").alias("answers"), F.lit(parts).alias("parts"))
 
 
 def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))).astype(np.float32)
 
 
-def base_odds(chunks: DataFrame) -> np.ndarray:
-    """(FOLDS + 1, nodes) log odds without context, of the other folds' training texts and (last) of all."""
-    counts = np.zeros((FOLDS + 1, 1 << CLASS_BITS), np.int64)
-    for f, k, n in chunks.where("fold >= 0").select("fold", F.posexplode("class_counts").alias("k", "n")).groupBy("fold", "k").agg(F.sum("n")).collect():
-        counts[f, k] = n
-    counts[FOLDS] = counts[:FOLDS].sum(axis=0)
-    counts[:FOLDS] = counts[FOLDS] - counts[:FOLDS]
-    out = np.zeros((FOLDS + 1, 1 << CLASS_BITS), np.float32)
+def class_totals(chunks: DataFrame) -> np.ndarray:
+    """How often each class came in all training texts."""
+    counts = np.zeros(1 << CLASS_BITS, np.int64)
+    for k, n in chunks.where("fold >= 0").select(F.posexplode("class_counts").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect():
+        counts[k] = n
+    return counts
+
+
+def base_odds(counts: np.ndarray) -> np.ndarray:
+    """Counts of classes -> log odds of each node without context."""
+    out = np.zeros(1 << CLASS_BITS, np.float32)
     for d in range(CLASS_BITS):
-        halves = counts.reshape(FOLDS + 1, 1 << d, 2, -1).sum(axis=3)
-        out[:, 1 << d : 2 << d] = _odds(halves[:, :, 1], halves[:, :, 0])
+        halves = counts.reshape(1 << d, 2, -1).sum(axis=2)
+        out[1 << d : 2 << d] = _odds(halves[:, 1], halves[:, 0])
     return out
 
 
-def answers_of(chunk: Chunk, raw: list) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds, how much was seen) of each request's bits."""
-    path = np.concatenate([_unpack_paths(x) for x in raw], axis=1)
+def model_of(chunk: Chunk, row: dict, totals: np.ndarray, apart: bool) -> tuple:
+    """What _inputs needs of a chunk: counts of all training texts; with apart, of all but the chunk's own."""
+    cuts = np.append(np.flatnonzero(np.diff(owners(chunk.keys, row["parts"]), prepend=-1)), len(chunk.keys))
+    path = np.concatenate([unpack_paths(chunk.keys[lo:hi], raw) for lo, hi, raw in zip(cuts[:-1], cuts[1:], row["answers"], strict=True)], axis=1)
+    if apart:
+        path, totals = path - paths(chunk.keys, chunk.counts), totals - np.array(row["class_counts"])
     bits = (chunk.keys >> (CLASS_BITS - 1 - _PLACES[:, None]).astype(np.uint64) & _U(1)).astype(bool)
     came, other = path[1:], path[:-1] - path[1:]
     odds = _odds(np.where(bits, came, other), np.where(bits, other, came))
     seen = (path[:-1] > 2).astype(np.uint8) + (path[:-1] > 30).astype(np.uint8)
-    return np.ascontiguousarray(odds.T).ravel(), np.ascontiguousarray(seen.T).ravel()
+    return base_odds(totals), [np.ascontiguousarray(odds.T).ravel()] * CONTEXTS, [np.ascontiguousarray(seen.T).ravel()] * CONTEXTS
 
 
 def _inputs(model, of_class: np.ndarray, context: np.ndarray):
@@ -325,7 +343,7 @@ def _cell(z: np.ndarray) -> np.ndarray:
 START = np.array([0.4, 0.2, 0.5, 0.1, 0.0], np.float32)
 
 
-def learned_sums(ready: DataFrame, vocab, base) -> np.ndarray:
+def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
     """Events, weights by gate (times events) and what came true by gate and cell, learned online in each task and summed."""
 
     def run(batches):
@@ -335,8 +353,7 @@ def learned_sums(ready: DataFrame, vocab, base) -> np.ndarray:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row, vocab.value)
-                odds, seen = answers_of(chunk, row["others"])
-                model = base.value[row["fold"]], [odds] * CONTEXTS, [seen] * CONTEXTS
+                model = model_of(chunk, row, totals, apart=True)
                 of_class = classes(chunk.words)[chunk.places]
                 for lo in range(0, len(of_class), 512):
                     part = slice(lo, lo + 512)
@@ -351,7 +368,7 @@ def learned_sums(ready: DataFrame, vocab, base) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([[float(n), *(weights.ravel().astype(float) * n).tolist(), *cells.tolist()]])], names=["sums"])
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
-    learned = ready.where("fold >= 0").select("fold", "lengths", "words", "places", "others").mapInArrow(run, "sums array<double>")
+    learned = ready.where("fold >= 0").select("lengths", "words", "places", "class_counts", "answers", "parts").mapInArrow(run, "sums array<double>")
     for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
         sums[k] = x
     return sums
@@ -384,10 +401,10 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
         rows = rows.union(training.select(F.col("doc_id").cast("long"), F.lit(False), F.lit(False), fold, "text"))
     chunks = stash(cut_chunks(rows))
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    base = spark.sparkContext.broadcast(base_odds(chunks))
+    totals = class_totals(chunks)
     ready = stash(answered(chunks, vocab, 1 + (CONTEXTS * tokens >> TABLE_BITS + 1)))
     unstash(chunks)
-    mixer = spark.sparkContext.broadcast(fit_mixer(learned_sums(ready, vocab, base)))
+    mixer = spark.sparkContext.broadcast(fit_mixer(learned_sums(ready, vocab, totals)))
 
     def run(batches):
         v, (weights, refined) = vocab.value, mixer.value
@@ -395,8 +412,7 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row, v)
-                odds, seen = answers_of(chunk, row["every"])
-                model = base.value[FOLDS], [odds] * CONTEXTS, [seen] * CONTEXTS
+                model = model_of(chunk, row, totals, apart=False)
                 of_class, first, some = classes(chunk.words)[chunk.places], chunk.first, len(chunk.first) - 1
                 logs = np.zeros(len(of_class))
                 for lo in range(0, len(of_class), CHUNK_WORDS):
@@ -429,7 +445,7 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
         columns = [c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(k.to_pandas_dtype()) if not isinstance(c, list) else c, k) for c, k in zip(columns, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    scored = ready.where("scored").select("chunk", "doc_ids", "held", "bytes", "lengths", "words", "places", "every")
+    scored = ready.where("scored").select("chunk", "doc_ids", "held", "bytes", "lengths", "words", "places", "answers", "parts")
     made = stash(scored.mapInArrow(run, "row long, doc_id long, held_out boolean, n long, n_known long, known double, logs double, bytes long, word long"))
     unstash(ready)
     rare = made.where("held_out is null").select("row", "word", "n")
