@@ -219,6 +219,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    han = "机器学习模型在训练之前必须先清除所有测试题目否则成绩不可信"
+    thai = "การเรียนรู้ของเครื่องต้องล้างข้อมูลทดสอบก่อนการฝึก"
+    items = ["what is the capital of france", "Paris", "", None, han, thai, "one two three four five six seven eight nine ten"]
+    edited = han[:14] + "全" + han[15:]
+    rows = ["so: What is the capital of France? i know", "what is the capital of spain", "in paris, paris", "parisian", f"前言{han}后记", f"他说{edited}。", f"ก่อน{thai}", "机器学习很好", "zero one two three four five six seven eight nine ten", "one two three four five six seven eight nine", None, ""]
+    d = spark.createDataFrame([*enumerate(rows), (0, rows[0]), (None, "paris")], "doc_id long, text string")
+    b = spark.createDataFrame([*enumerate(items), (None, "paris"), (1, "Paris")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_aligned"], r["n_equal"], r["n_item"]) for r in decontaminate.leaks(d, b).collect()}
+    n = len(han)
+    assert {k: v for k, v in got.items() if k[1] != 5} == {(0, 0): (1, 6, 6, 6), (2, 1): (1, 1, 1, 1), (4, 4): (2, n, n, n), (5, 4): (2, n, n - 1, n), (8, 6): (1, 10, 10, 10)}
+    assert [k for k in got if k[1] == 5] == [(6, 5)] and got[6, 5][1] == got[6, 5][2] == got[6, 5][3] > 13
+
+
 def test_language(spark):
     rng = np.random.default_rng(4)
     syllables = {"aa": ["ba", "da", "ga", "ta"], "bb": ["sko", "pri", "elm", "ust"]}

@@ -6,8 +6,9 @@ benchmark items; a hit says at which shift a document and an item lie on each ot
 are compared word by word at that shift, and the pair counts as a leak if some `least_words` aligned words (the
 whole item, if it is shorter) hold at least `percent` equal ones.
 
-Words are lower-cased runs of letters and digits. Null and empty texts have none. An item of fewer words than
-SPAN has no seed and is never found. Documents and items with a null id are not reported. Repeated rows of a
+Words are lower-cased runs of letters and digits; in scripts without spaces each letter with its marks is a word. Null
+and empty texts have none. An item of fewer words than SPAN has one seed, its whole sequence of words, which is joined
+with equally long runs of every document: it is found where it stands unchanged. Documents and items with a null id are not reported. Repeated rows of a
 document or an item give one row; so do different texts under one id, with the best of their matches. Only
 DataFrame functions are used.
 """
@@ -22,11 +23,14 @@ from tidewall.llm._spark import small_side, stash
 #: Fixed masks: marked positions in a span. Every two differ in most positions.
 MASKS = ["11010001101", "10110110001", "11001010011", "10011101001"]
 SPAN = len(MASKS[0])
+#: Scripts that put no spaces between words
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def words(text: Column) -> Column:
     """A hash of each word."""
-    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"([{UNSPACED}&&\p{{L}}]\p{{M}}*+)", " $1 ")
+    split = F.split(apart, rf"[^\p{{L}}\p{{N}}[{UNSPACED}&&\p{{M}}]]+")
     return F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -40,6 +44,15 @@ def seeds(rows: DataFrame, keep: str) -> DataFrame:
     return placed.select(keep, "at", F.explode(F.array(*hashed)).alias("seed"))
 
 
+def runs(rows: DataFrame, keep: str, lengths: list[int]) -> DataFrame:
+    """rows (keep, words) -> keep, at, n, seed: every run of n words, for each of the lengths."""
+    ahead = [F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in range(max(lengths))]
+    placed = rows.select(keep, F.posexplode(F.arrays_zip(*ahead)).alias("at", "w"))
+    # what lies beyond the end is null
+    hashed = [F.when(F.col(f"w.w{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.col(f"w.w{k}") for k in range(n)]).alias("seed"))) for n in lengths]
+    return placed.select(keep, "at", F.explode(F.array(*hashed)).alias("run")).where("run is not null").select(keep, "at", "run.n", "run.seed")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent: int = 75) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> one row for each leaked pair.
 
@@ -49,8 +62,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent:
     items = stash(benchmark.select("item_id", words(F.col("text")).alias("item")).where("item_id is not null").distinct())
     marks = stash(seeds(items.select("item_id", F.col("item").alias("words")), "item_id").withColumnRenamed("at", "item_at").distinct())
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    of_docs = seeds(texts.select("doc_id", words(F.col("text")).alias("words")), "doc_id")
+    of_words = texts.select("doc_id", words(F.col("text")).alias("words"))
+    of_docs = seeds(of_words, "doc_id")
     hits = of_docs.join(small_side(marks), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    short = items.where(F.size("item").between(1, SPAN - 1)).select("item_id", F.col("item").alias("words"), F.size("item").alias("size"))
+    lengths = sorted(r["size"] for r in short.select("size").distinct().collect())
+    if lengths:
+        whole = short.select(F.struct("item_id", "size").alias("of"), "words")
+        wanted = stash(runs(whole, "of", lengths).where("n = of.size").select("of.item_id", "n", "seed").distinct())
+        # the first place in a document is as good as any other
+        found = runs(of_words, "doc_id", lengths).join(small_side(wanted), ["n", "seed"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("shift"))
+        hits = hits.union(found).distinct()
     hits = stash(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")))
     near = texts.join(small_side(hits, 200_000), "doc_id").select("doc_id", words(F.col("text")).alias("doc"), "hits")
     each = near.select("doc_id", "doc", F.explode("hits").alias("hit")).select("doc_id", "doc", "hit.item_id", "hit.shift")
