@@ -25,12 +25,15 @@ MASKS = ["11010001101", "10110110001", "11001010011", "10011101001"]
 SPAN = len(MASKS[0])
 #: Scripts that put no spaces between words
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Ranges that hold all of them; texts without a character of these are spared the slower patterns
+MAY_BE_UNSPACED = r"[\x{0E00}-\x{19FF}\x{2E80}-\x{3FFFF}]"
 
 
 def words(text: Column) -> Column:
     """A hash of each word."""
-    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"([{UNSPACED}&&\p{{L}}]\p{{M}}*+)", " $1 ")
-    split = F.split(apart, rf"[^\p{{L}}\p{{N}}[{UNSPACED}&&\p{{M}}]]+")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.regexp_replace(low, rf"([{UNSPACED}&&\p{{L}}]\p{{M}}*+)", " $1 ")
+    split = F.when(low.rlike(MAY_BE_UNSPACED), F.split(apart, rf"[^\p{{L}}\p{{N}}[{UNSPACED}&&\p{{M}}]]+")).otherwise(F.split(low, r"[^\p{L}\p{N}]+"))
     return F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
