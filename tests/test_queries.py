@@ -32,3 +32,10 @@ def test_query(spark, db, name):
     assert len(found.columns)
     if sql:
         assert rows(found) == rows(db.execute(sql).fetchdf())
+
+
+def test_prose_is_cut_by_bytes(spark, db):
+    # the cap's branch runs, and the start of a long text stays
+    long = db.execute("SELECT count(*) FROM conversations WHERE strlen(text) > 400").fetchone()[0]
+    found = registry.queries()["prose_escape_whole"](spark, DATA).toPandas()["prose"]
+    assert long and found.str.endswith("…").sum() >= long and found.map(lambda x: len(x.encode())).max() <= 256 + len("…".encode())

@@ -243,6 +243,11 @@ POST_EDIT = f"""WITH a AS (SELECT doc_id, {sql_pick('doc_id', PATHS)} AS path, {
 b AS (SELECT doc_id, path, {_listed(_SENSITIVE)} AS f, {_listed(_SUSPECTS.replace('(x,', '(code,'))} AS g FROM a)
 SELECT doc_id, path, f || CASE WHEN f <> '' AND g <> '' THEN '|' ELSE '' END || g AS findings FROM b WHERE f <> '' OR g <> ''"""
 
+_PROSE = replaced(replaced("x", [T.ANSI, INVISIBLE_SQL]), [r"\p{Cc}"], "?")
+PROSE_WHOLE = f"""SELECT conv_id, turn, CASE WHEN strlen(e) <= 256 THEN e
+ELSE left(e, list_max(list_filter(range(0, 257), lambda k: strlen(left(e, CAST(k AS INTEGER))) <= 256))::INTEGER) || {text_literal("…")} END AS prose
+FROM ({_from("conversations", "turn", "text", MARKS + ["a\nb\tc"], _PROSE + " AS e")})"""
+
 QUERIES: dict[str, Query] = {
     "html_strip": Query(html_strip, HTML_STRIP),
     "html_strip_hits": Query(html_strip_hits, HTML_HITS),
@@ -256,6 +261,7 @@ QUERIES: dict[str, Query] = {
         _with("conversations", "turn", "text", MARKS + ["a\nb\tc"], lambda x: [T.escape_for_prose(F.substring(x, -40, 40)).alias("prose")]),
         _from("conversations", "turn", "text", MARKS + ["a\nb\tc"], replaced(replaced("right(x, 40)", [T.ANSI, INVISIBLE_SQL]), [r"\p{Cc}"], "?") + " AS prose"),
     ),
+    "prose_escape_whole": Query(_with("conversations", "turn", "text", MARKS + ["a\nb\tc"], lambda x: [T.escape_for_prose(x).alias("prose")]), PROSE_WHOLE),
     "confusable_fold": Query(
         _with("documents", "doc_id", "text", LOOKS, lambda x: [F.md5(T.fold_look_alikes(x)).alias("folded_md5")]),
         _from("documents", "doc_id", "text", LOOKS, f"md5(translate(x, {text_literal(T._FOLD_FROM)}, {text_literal(T._FOLD_TO)})) AS folded_md5"),
