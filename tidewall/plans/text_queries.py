@@ -248,6 +248,37 @@ PROSE_WHOLE = f"""SELECT conv_id, turn, CASE WHEN strlen(e) <= 256 THEN e
 ELSE left(e, list_max(list_filter(range(0, 257), lambda k: strlen(left(e, CAST(k AS INTEGER))) <= 256))::INTEGER) || {text_literal("…")} END AS prose
 FROM ({_from("conversations", "turn", "text", MARKS + ["a\nb\tc"], _PROSE + " AS e")})"""
 
+_WHOLE_ESCAPES = ", ".join(f"CAST({_count(p)} AS INTEGER) AS n_{k}" for k, p in (("hex", r"\\x[0-9A-Fa-f]{2}"), ("bmp", r"\\u00[0-9A-Fa-f]{2}"), ("octal", r"\\[0-7]{2}[0-7]?"), ("named", r"\\N\{")))
+MARKUP_SNIFF_WHOLE = MARKUP_SNIFF.replace(f"{sql_pick('page_id', SNIFFS)} AS x", f"{sql_pick('page_id', SNIFFS)} || coalesce(html, '') AS x")
+ENVELOPE_WHOLE = f"""SELECT page_id, wrapped_md5, md5(attr) AS attr_md5, md5(neutral) AS neutral_md5
+FROM ({ENVELOPE.replace(f"{sql_pick('page_id', XML)} AS body", f"coalesce(html, '') || {sql_pick('page_id', XML)} AS body")})"""
+POST_EDIT_WHOLE = POST_EDIT.replace(f"{sql_pick('doc_id', BAD_CODE)} AS code", f"coalesce(text, '') || {sql_pick('doc_id', BAD_CODE)} AS code")
+
+
+def markup_sniff_whole(spark, d):
+    # the literal comes first, as only a text's start is looked at
+    p = table(spark, d, "pages").withColumn("x", F.concat(pick("page_id", SNIFFS), F.coalesce("html", F.lit(""))))
+    return p.select("page_id", html.read_looks_like_markup(F.col("x")).alias("as_file"), html.fetch_looks_like_markup(F.col("x")).alias("as_page"))
+
+
+def inspect_report_whole(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), pick("page_id", [a for a, *_ in INSPECTED])).alias("body"))
+    return tools.inspect(p, "body").select("page_id", F.size("findings").alias("n_findings"), "report")
+
+
+def envelope_whole(spark, d):
+    p = table(spark, d, "pages").withColumn("body", F.concat(F.coalesce("html", F.lit("")), pick("page_id", XML)))
+    wrapped = T.wrap_untrusted(F.col("body"), F.col("url"), status=F.lit(200), truncated=F.col("page_id") % 2 == 0, notes=F.array(F.lit("n1"), F.lit("n<2")))
+    return p.select("page_id", F.md5(wrapped).alias("wrapped_md5"), F.md5(T.xml_attr(F.col("body"))).alias("attr_md5"), F.md5(T.neutralize_sentinels(F.col("body"))).alias("neutral_md5"))
+
+
+def post_edit_advisory_whole(spark, d):
+    t = table(spark, d, "documents").withColumn("tool_name", pick("doc_id", ["Write", "Edit", "NotebookEdit", "Read"]))
+    body = F.concat(F.coalesce("text", F.lit("")), pick("doc_id", BAD_CODE))
+    t = t.withColumn("tool_input", F.to_json(F.struct(pick("doc_id", PATHS).alias("file_path"), body.alias("content"), body.alias("new_string"), body.alias("new_source"))))
+    return advisory.edit_advisories(t).select("doc_id", "path", F.array_join("findings", "|").alias("findings"))
+
+
 QUERIES: dict[str, Query] = {
     "html_strip": Query(html_strip, HTML_STRIP),
     "html_strip_hits": Query(html_strip_hits, HTML_HITS),
@@ -289,4 +320,12 @@ QUERIES: dict[str, Query] = {
     "read_envelopes": Query(read_envelopes, f"SELECT p_partkey, {sql_pick('p_partkey', [v for _, v, _ in READS])} AS verdict, {sql_pick('p_partkey', [n for *_, n in READS])} AS notes FROM part"),
     "post_tool_advisory": Query(post_tool_advisory, POST_TOOL),
     "post_edit_advisory": Query(post_edit_advisory, POST_EDIT),
+    # the operators above that are given only literals, on each row's whole text with the literal; without SQL where it can't say it
+    "normalize_scan_whole": Query(_with("documents", "doc_id", "text", [a for a, _ in NORMAL], lambda x: [F.md5(T.normalize_for_scan(x)).alias("normal_md5")])),
+    "secret_redact_overlap_whole": Query(_with("documents", "doc_id", "text", [" " + a for a, _ in OVERLAPS], lambda x: [F.md5(redact.redact(x)).alias("clean_md5")])),
+    "escape_counts_whole": Query(_with("documents", "doc_id", "text", ESCAPES, lambda x: [c.alias(f"n_{k}") for k, c in T.count_escapes(x).items()]), _from("documents", "doc_id", "text", ESCAPES, _WHOLE_ESCAPES)),
+    "markup_sniff_whole": Query(markup_sniff_whole, MARKUP_SNIFF_WHOLE),
+    "inspect_report_whole": Query(inspect_report_whole),
+    "envelope_whole": Query(envelope_whole, ENVELOPE_WHOLE),
+    "post_edit_advisory_whole": Query(post_edit_advisory_whole, POST_EDIT_WHOLE),
 }
