@@ -1,16 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over SPAN words: it hashes the words at its marked positions and ignores the others, so
-that a substituted word spoils only the seeds that mark it. Seeds of documents are joined with seeds of
-benchmark items; a hit says at which shift a document and an item lie on each other. Around each hit the two
-are compared word by word at that shift, and the pair counts as a leak if some `least_words` aligned words (the
-whole item, if it is shorter) hold at least `percent` equal ones.
+A seed is a fixed mask over at most SPAN words: it hashes the words at its marked positions and ignores the others,
+so that a substituted word spoils only the seeds that mark it. The masks are complete for the default rule: wherever
+the substitutions lie that 75 % of 11, 12 or 13 aligned words allow (2, 3 and 3), some mask at some place misses all
+of them. Seeds of documents are joined with seeds of benchmark items; a hit says at which shift a document and an
+item lie on each other. Around each hit the two are compared word by word at that shift, and the pair counts as a leak
+if some `least_words` aligned words (the whole item, if it is shorter) hold at least `percent` equal ones.
 
 Words are lower-cased runs of letters and digits; in scripts without spaces each letter with its marks is a word. Null
 and empty texts have none. An item of fewer words than SPAN has one seed, its whole sequence of words, which is joined
-with equally long runs of every document: it is found where it stands unchanged. Documents and items with a null id are not reported. Repeated rows of a
-document or an item give one row; so do different texts under one id, with the best of their matches. Only
-DataFrame functions are used.
+with equally long runs of every document: it is a leak where it stands unchanged. Documents and items with a null id
+are not reported. Repeated rows of a document or an item give one row; so do different texts under one id, with the
+best of their matches. Other columns are ignored, whatever their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tidewall.llm._spark import small_side, stash
 
-#: Fixed masks: marked positions in a span. Every two differ in most positions.
-MASKS = ["11010001101", "10110110001", "11001010011", "10011101001"]
-SPAN = len(MASKS[0])
+#: Marked positions, found by search
+MASKS = ["1101011", "1110000011", "10011101", "11010000011"]
+SPAN = max(map(len, MASKS))
 #: Scripts that put no spaces between words
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 #: Ranges that hold all of them; texts without a character of these are spared the slower patterns
@@ -40,11 +41,11 @@ def words(text: Column) -> Column:
 def seeds(rows: DataFrame, keep: str) -> DataFrame:
     """rows (keep, words) -> keep, at (the span's first word), seed: every mask at every place."""
     marked = sorted({k for mask in MASKS for k, c in enumerate(mask) if c == "1"})
-    spans = F.greatest(F.size("words") - (SPAN - 1), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice("words", k + 1, spans).alias(f"w{k}") for k in marked])
-    placed = rows.select(keep, F.posexplode(zipped).alias("at", "w"))
-    hashed = [F.xxhash64(F.lit(m), *[F.col(f"w.w{k}") for k, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)]
-    return placed.select(keep, "at", F.explode(F.array(*hashed)).alias("seed"))
+    ahead = F.arrays_zip(*[F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in marked])
+    placed = rows.select(keep, F.posexplode(ahead).alias("at", "w"))
+    # what lies beyond the end is null
+    hashed = [F.when(F.col(f"w.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(m), *[F.col(f"w.w{k}") for k, c in enumerate(mask) if c == "1"])) for m, mask in enumerate(MASKS)]
+    return placed.select(keep, "at", F.explode(F.array(*hashed)).alias("seed")).where("seed is not null")
 
 
 def runs(rows: DataFrame, keep: str, lengths: list[int]) -> DataFrame:
@@ -63,7 +64,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent:
     best alignment, n_item words of the item.
     """
     items = stash(benchmark.select("item_id", words(F.col("text")).alias("item")).where("item_id is not null").distinct())
-    marks = stash(seeds(items.select("item_id", F.col("item").alias("words")), "item_id").withColumnRenamed("at", "item_at").distinct())
+    marks = stash(seeds(items.where(F.size("item") >= SPAN).select("item_id", F.col("item").alias("words")), "item_id").withColumnRenamed("at", "item_at").distinct())
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     of_words = texts.select("doc_id", words(F.col("text")).alias("words"))
     of_docs = seeds(of_words, "doc_id")
