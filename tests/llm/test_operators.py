@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewall.llm import decontaminate, jaccard, langid, mixing, packing, secrets, sharding, substrings, toxicity, vectors
+from tidewall.llm import _components, decontaminate, jaccard, langid, mixing, packing, secrets, sharding, substrings, toxicity, vectors
 from tidewall.llm._components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,6 +83,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], _components.contracted
+    monkeypatch.setattr(_components, "contracted", lambda live: rounds.append(1) or real(live))
+    got = components(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).groupBy("root").count().collect()
+    assert [tuple(r) for r in got] == [(0, 1001)] and len(rounds) <= 8
+
+
 def test_jaccard(docs):
     texts = texts_of(docs)
     sets = shingle_sets(texts)
@@ -131,6 +139,55 @@ def test_substrings(docs):
     assert all(sum(b - a for a, b in r["factors"]) == r["n_removed"] for r in got.values())
 
 
+def words_left(rows, span=50):
+    """By brute force: (id, words, removed words) of every row."""
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    holders = collections.defaultdict(set)
+    for i, w in words:
+        for k in range(len(w) - span + 1):
+            holders[tuple(w[k : k + span])].add(i)
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - span + 1):
+            if min(holders[tuple(w[k : k + span])]) < i:
+                gone[k : k + span] = [True] * span
+        out.append((i, len(w), sum(gone)))
+    return sorted(out)
+
+
+def test_substrings_tell_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (6, f"{c} {b}"), (6, c)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(d).collect())
+    assert got == words_left(rows) and (5, 80, 0) in got and (5, 80, 80) in got and (6, 80, 0) in got
+
+
+def test_substrings_cross_the_boundaries_of_factors(spark):
+    w = [f"w{k}" for k in range(400)]
+    join = " ".join
+    # 10 is covered by two references that overlap in 60 words, 11 by two that only touch, 12 has a copy within itself
+    rows = [(1, join(w[:120])), (2, join(w[60:200])), (3, join(w[200:300])), (10, join(w[:200])), (11, join(w[100:300])), (12, join([*w[300:360], "x", *w[300:360]])), (13, join([*w[300:360], "y", *w[300:360]]))]
+    long = join([*w[:60], *[f"z{k}" for k in range(30_000)], *w[210:290]])
+    rows += [(20, long), (21, join(w[:49])), (22, None), (23, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ref", F.lit("x")).withColumn("marks", F.lit(1))
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(d).collect())
+    assert got == words_left(rows)
+
+
+def test_substrings_compare_the_words_of_factors(spark, monkeypatch):
+    # two texts whose windows and blocks hash alike lose nothing, as their words differ
+    d = spark.createDataFrame([(k, " ".join(f"{x}{j}" for j in range(60))) for k, x in enumerate("ab")], "doc_id long, text string").coalesce(1)
+    windows = spark.createDataFrame([(k, 100 + k, s, s) for k in range(2) for s in range(11)], "doc_id long, key long, start int, window long")
+    (factor,) = substrings.factored(windows, 50).collect()
+    assert factor.asDict() == {"doc_id": 1, "key": 101, "start": 0, "n": 60, "ref": 0, "ref_key": 100, "ref_start": 0}
+    monkeypatch.setattr(substrings, "_of_class", lambda entries, words: entries or [])
+    marked = d.where("doc_id = 1").withColumn("marks", F.array(F.struct(F.lit(101).alias("key"), F.lit(0).alias("start"), F.lit(60).alias("n"), F.lit(bytearray(b"other")).alias("digest"))))
+    (parsed,) = substrings._parsed(marked.toArrow().to_batches())
+    assert parsed.to_pylist()[0]["n_removed"] == 0
+
+
 def test_secrets(spark):
     hexes, key = "0123456789abcdef" * 2, "AKIA" + "Z9" * 8
     texts = [f'token = "{hexes}" end', f"é😀 {key} x", "password: short secret=abc PASSWORD='longenough1'", "secret=token : abcdef12", None, "", "AKIA123", f"{hexes}g{hexes} {hexes}", f"api_key={key}"]
@@ -166,6 +223,15 @@ def test_sharding(docs, spark):
     assert len(sizes) == 40 and sizes.max() < 1.05 * sizes.mean()
 
 
+def test_shards_are_written_whole(docs, tmp_path, spark):
+    rows = docs.union(docs.where("doc_id = 5")).withColumn("same", F.lit(1))
+    sharding.write_shards(rows, str(tmp_path / "out"), shards=5)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    plan = sharding.shard_plan(rows, shards=5).select("doc_id", "shard", "slot")
+    assert sorted(map(tuple, got.select("doc_id", "shard", "slot").collect()), key=str) == sorted(map(tuple, plan.collect()), key=str)
+
+
 def test_packing_plan():
     rng = np.random.default_rng(0)
     counts = collections.Counter(rng.integers(1, 4096, 3000).tolist())
@@ -219,6 +285,28 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_masks_miss_no_substitutions_that_the_rule_allows(spark):
+    item = [f"w{k}" for k in range(40)]
+    items = {11: item[:11], 12: item[11:23], 40: item}
+    rows, want = [], set()
+    for n, most in ((11, 2), (12, 3)):
+        for s in range(most + 1):
+            for places in itertools.combinations(range(n), s):
+                rows.append([f"x{k}" if k in places else w for k, w in enumerate(items[n])])
+                want.add((len(rows) - 1, n))
+    for s in range(4):
+        for places in itertools.combinations(range(13), s):
+            # an overlap of exactly 13 words with the long item
+            rows.append(["p"] * 5 + [f"x{k}" if k in places else w for k, w in enumerate(item[23:36])] + ["q"] * 5)
+            want.add((len(rows) - 1, 40))
+    rows.append([f"x{k}" if k in (1, 4, 7, 10) else w for k, w in enumerate(items[12])])
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()}
+    # the long item begins with the short ones
+    assert {(i, n) for i, n in got if n != 40 or (i, 40) in want} == want and len(rows) - 1 not in {i for i, n in got if n == 12}
+
+
 def test_decontamination_of_short_items_and_unspaced_scripts(spark):
     han = "机器学习模型在训练之前必须先清除所有测试题目否则成绩不可信"
     thai = "การเรียนรู้ของเครื่องต้องล้างข้อมูลทดสอบก่อนการฝึก"

@@ -6,8 +6,9 @@ exact bytes in 256 equal key ranges around every splitter that is not settled ye
 range edge as soon as that edge is within the tolerance of its byte target. A text that a large part of the
 rows repeats has one text hash, so its rounds go on in the id hash. Only (splitters x 256) sums reach the driver.
 
-Null texts have size 16 and the CRC of the empty text; null ids and repeated rows are placed like any other.
-An empty table gives an empty table. Columns besides the id and the text are ignored.
+Null texts have size 16 and the CRC of the empty text; null ids and repeated rows are placed like any other. Rows
+without an id that share one text can't be told apart, so no splitter cuts through them. An empty table gives an
+empty table. Other columns are carried only by write_shards, where their names must differ from PLACED.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewall.llm._spark import stash
+from tidewall.llm._spark import small_side, stash
 
 BITS = 8
+#: Rows of one shard that one task puts in order, about; and the least number of such slices
+SLICE_ROWS, LEAST_SLICES = 1 << 18, 8
 
 
 def _range_of(key: str, level: int) -> Column:
@@ -74,37 +77,58 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
     return [found.get(s) for s in range(1, shards)]
 
 
-def shard_plan(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, slices: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Place every row: doc_id, size, text_crc32, shard, slot.
+PLACED = ["doc_id", "size", "text_crc32", "shard", "slot", "k1", "k2", "slice"]
 
-    slot counts from 0 without gaps in each shard. Rows are numbered within `slices` hash slices of a shard
-    and shifted by the rows of the slices before, so that no task orders a whole shard.
-    """
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = stash(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text).cast("long") + 16).alias("size"),
-            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.xxhash64(text).alias("k1"),
-            F.xxhash64(F.col(id_col)).alias("k2"),
-        )
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text).cast("long") + 16).alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(text).alias("k1"),
+        F.xxhash64(F.col(id_col)).alias("k2"),
+        *carried,
     )
+
+
+def _placed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    """rows with shard and slot. keys: the table whose bytes the splitters count.
+
+    slot counts from 0 without gaps in each shard. Rows are numbered within hash slices of a shard, of about
+    SLICE_ROWS rows, and shifted by the rows of the slices before, so that no task orders a whole shard. The rows
+    are exchanged once, by shard and slice.
+    """
+    slices = max(LEAST_SLICES, -(-keys.count() // (shards * SLICE_ROWS)))
     shard = F.lit(0)
-    for bound in splitters(rows, shards, tolerance):
+    for bound in splitters(keys, shards, tolerance):
         if bound is not None:
             k1, k2 = bound
             above = F.col("k1") >= k1 if k2 is None else (F.col("k1") > k1) | ((F.col("k1") == k1) & (F.col("k2") >= k2))
             shard = shard + above.cast("int")
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn("slice", F.pmod("k2", F.lit(slices)).cast("int"))
-    counts = placed.groupBy("shard", "slice").count()
-    before = counts.select("shard", "slice", (F.sum("count").over(Window.partitionBy("shard").orderBy("slice")) - F.col("count")).alias("before"))
+
+    def put(df):
+        return df.withColumn("shard", shard.cast("int")).withColumn("slice", F.pmod("k2", F.lit(slices)).cast("int"))
+
+    counts = put(keys).groupBy("shard", "slice").count()
+    before = stash(counts.select("shard", "slice", (F.sum("count").over(Window.partitionBy("shard").orderBy("slice")) - F.col("count")).alias("before")))
     nth = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("k1", "k2", "text_crc32"))
-    # `before` has at most shards * slices rows, whatever the input
-    return placed.join(F.broadcast(before), ["shard", "slice"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + nth - 1).alias("slot"))
+    return put(rows).join(small_side(before), ["shard", "slice"]).withColumn("slot", F.col("before") + nth - 1)
+
 
+def shard_plan(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Place every row: doc_id, size, text_crc32, shard, slot."""
+    keys = stash(_keyed(docs, id_col, text_col))
+    return _placed(keys, keys, shards, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
 
-def write_shards(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The one exchange of whole rows: write docs as one folder for each shard, in slot order."""
-    rows = docs.join(plan.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the rows of docs, with their slots, as one folder for each shard.
+
+    The splitters are found from keys alone; then whole rows go through one exchange, by shard and slice. Each slice
+    is written in slot order by one task.
+    """
+    keys = stash(_keyed(docs, id_col, text_col).select("size", "k1", "k2"))
+    rows = _keyed(docs, id_col, text_col, F.struct("*").alias("row"))
+    placed = _placed(rows, keys, shards, tolerance)
+    placed.select("shard", "slot", "row.*").write.partitionBy("shard").parquet(path)
