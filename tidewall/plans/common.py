@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -62,3 +63,45 @@ def replaced(x: str, patterns: list[str], by: str = "") -> str:
 
 def matches(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {text_literal(pattern)})"
+
+
+def _number(key: str, before: int, n: int, division: str) -> str:
+    return f"(({key}) {division} {before}) % {n}"
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Rows of a table whose parts are chosen from options, in all combinations as `key` (SQL of both engines) counts up.
+
+    A template has parts, columns and expressions that both engines know between « and ». The same text comes out in Spark and in SQL, where
+    a rule over the parts can then say what must hold.
+    """
+
+    table: str
+    key: str
+    options: dict[str, list[str]]
+
+    def _steps(self) -> list[tuple[str, int, list[str]]]:
+        out, before = [], 1
+        for name, some in self.options.items():
+            out.append((name, before, some))
+            before *= len(some)
+        return out
+
+    def rows(self, spark: SparkSession, sf_dir: str, **templates: str) -> DataFrame:
+        df = table(spark, sf_dir, self.table)
+        for name, before, some in self._steps():
+            at = F.expr(_number(self.key, before, len(some), "div"))
+            df = df.withColumn(name, F.element_at(F.array(*map(F.lit, some)), (at + 1).cast("int")))
+        for name, template in templates.items():
+            df = df.withColumn(name, F.concat(*[F.expr(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(re.split("[«»]", template))]))
+        return df
+
+    def sql(self, **templates: str) -> str:
+        """The same rows as a parenthesized SELECT."""
+        cases = []
+        for name, before, some in self._steps():
+            when = " ".join(f"WHEN {k} THEN {text_literal(v)}" for k, v in enumerate(some))
+            cases.append(f"CASE {_number(self.key, before, len(some), '//')} {when} END AS {name}")
+        made = [" || ".join(f"CAST({p} AS VARCHAR)" if k % 2 else text_literal(p) for k, p in enumerate(re.split("[«»]", t))) + f" AS {name}" for name, t in templates.items()]
+        return f"(SELECT {', '.join(['*', *made])} FROM (SELECT *, {', '.join(cases)} FROM {self.table}))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewall.config import Policy
 from tidewall.functions import net, paths
 from tidewall.functions import text as T
-from tidewall.plans.common import Query, matches, pick, sql_pick, table, text_literal
+from tidewall.plans.common import Parts, Query, matches, table, text_literal
 
 #: An address from a key, alike in both engines
 IP = "(o_orderkey * 2654435761 % 4294967296)"
@@ -22,57 +22,68 @@ def _v4_case(ip: str) -> str:
     return "CASE " + " ".join(f"WHEN {ip} BETWEEN {lo} AND {hi} THEN {text_literal(label)}" for lo, hi, label in net.v4_bounds()) + " END"
 
 
-V6 = [
-    ([0] * 8, "unspecified (::)"),
-    ([0] * 7 + [1], "loopback (::1)"),
-    ([0xFF02, 0, 0, 0, 0, 0, 0, 1], "multicast (ff00::/8)"),
-    ([0xFE80, 0, 0, 0, 0, 0, 0, 1], "link-local (fe80::/10)"),
-    ([0xFEC0, 0, 0, 0, 0, 0, 0, 1], "deprecated site-local (fec0::/10)"),
-    ([0xFD00, 0xEC2, 0, 0, 0, 0, 0, 0x254], "IMDS v6 (fd00:ec2::/64)"),
-    ([0xFC00, 0, 0, 0, 0, 0, 0, 1], "unique local (fc00::/7)"),
-    ([0x100, 0, 0, 0, 0, 0, 0, 1], "discard-only (100::/64)"),
-    ([0x2001, 0, 0, 0, 0, 0, 0, 1], "Teredo tunneling (2001::/32)"),
-    ([0x2002, 0x7F00, 1, 0, 0, 0, 0, 0], "6to4 tunnel with blocked embedded IPv4 (2002::/16)"),
-    ([0x2002, 0x808, 0x808, 0, 0, 0, 0, 0], "6to4 tunnel (2002::/16)"),
-    ([0x64, 0xFF9B, 0, 0, 0, 0, 0x7F00, 1], "NAT64 well-known prefix (64:ff9b::/96)"),
-    ([0x64, 0xFF9B, 1, 0, 0, 0, 0, 1], "NAT64 local-use prefix (64:ff9b:1::/48)"),
-    ([0, 0, 0, 0, 0, 0xFFFF, 0x7F00, 1], "loopback (127.0.0.0/8)"),
-    ([0, 0, 0, 0, 0, 0, 0x7F00, 1], "loopback (127.0.0.0/8)"),
-    ([0x2001, 0xDB8, 0, 0, 0, 0, 0, 1], "documentation (2001:db8::/32)"),
-    ([0x2606, 0x4700, 0x4700, 0, 0, 0, 0, 0x1111], None),
-]
+#: An IPv6 address: its first hextets are chosen, the last two are counted
+V6 = Parts("orders", "o_orderkey", {
+    "a": ["0", "65282", "65152", "65216", "64768", "64513", "256", "8193", "8194", "100", "9734"], "b": ["0", "3778", "3512", "65435", "32512", "2056"],
+    "c": ["0", "1"], "last": ["counted", "0", "1"], "f": ["0", "65535"],
+})
+V6_LAST = "CASE last WHEN 'counted' THEN o_orderkey * 2654435761 % 4294967296 ELSE CAST(last AS BIGINT) END"
 
 
 def ipv6_block(spark, d):
-    o = table(spark, d, "orders")
-    h = F.lit(None).cast("array<int>")
-    for k, (hextets, _) in enumerate(V6):
-        h = F.when(F.col("o_orderkey") % len(V6) == k, F.array(*map(F.lit, hextets))).otherwise(h)
-    return o.select("o_orderkey", net.blocked_v6(h).alias("label"))
-
-
-URLS = [
-    ("https://example.com/a?b#c", "ok", "ok"),
-    ("ftp://example.com/", "BadScheme", "BadScheme"),
-    ("javascript:alert(1)", "BadScheme", "BadScheme"),
-    ("not a url", "NoHost", "NoHost"),
-    ("http://127.0.0.1/", "RawIpLiteral", "BlockedIp"),
-    ("http://2130706433/", "RawIpLiteral", "BlockedIp"),
-    ("http://0x7f.1/", "RawIpLiteral", "BlockedIp"),
-    ("http://8.8.8.8/", "RawIpLiteral", "ok"),
-    ("http://[::1]/", "RawIpLiteral", "BlockedIp"),
-    ("http://[2606:4700:4700::1111]/", "RawIpLiteral", "ok"),
-    ("HTTP://user:pw@Example.COM:8080/", "ok", "ok"),
-    ("http://256.1.1.1/", "NoHost", "NoHost"),
-    ("http:///", "NoHost", "NoHost"),
-    ("http://exa mple.com/", "NoHost", "NoHost"),
-]
+    o = V6.rows(spark, d).withColumn("low", F.expr(V6_LAST.replace("ELSE CAST(", "ELSE TRY_CAST(")))
+    number = lambda c: F.col(c).cast("int")
+    hextets = F.array(number("a"), number("b"), number("c"), F.lit(0), F.lit(0), number("f"), F.expr("CAST(low DIV 65536 AS INT)"), F.expr("CAST(low % 65536 AS INT)"))
+    return o.select("o_orderkey", net.blocked_v6(hextets).alias("label"))
+
+
+def _v6_sql() -> str:
+    rest = "c = 0 AND f = 0"
+    return f"""SELECT o_orderkey, CASE WHEN a = 0 AND b = 0 AND c = 0 AND (f = 65535 OR low > 1) THEN {_v4_case('low')}
+WHEN a = 0 AND b = 0 AND {rest} AND low = 0 THEN 'unspecified (::)' WHEN a = 0 AND b = 0 AND {rest} AND low = 1 THEN 'loopback (::1)'
+WHEN a // 256 = 255 THEN 'multicast (ff00::/8)' WHEN a // 64 = 1018 THEN 'link-local (fe80::/10)' WHEN a // 64 = 1019 THEN 'deprecated site-local (fec0::/10)'
+WHEN a = 64768 AND b = 3778 THEN 'IMDS v6 (fd00:ec2::/64)' WHEN a // 512 = 126 THEN 'unique local (fc00::/7)' WHEN a = 256 AND b = 0 AND c = 0 THEN 'discard-only (100::/64)'
+WHEN a = 8193 AND b = 0 THEN 'Teredo tunneling (2001::/32)' WHEN a = 8194 AND ({_v4_case('b * 65536 + c')}) IS NOT NULL THEN '6to4 tunnel with blocked embedded IPv4 (2002::/16)'
+WHEN a = 8194 THEN '6to4 tunnel (2002::/16)' WHEN a = 100 AND b = 65435 AND {rest} THEN 'NAT64 well-known prefix (64:ff9b::/96)'
+WHEN a = 100 AND b = 65435 AND c = 1 THEN 'NAT64 local-use prefix (64:ff9b:1::/48)' WHEN a = 100 AND b = 65435 THEN 'NAT64-adjacent unassigned (64:ff9b::/32 outside documented NAT64 ranges)'
+WHEN a = 8193 AND b = 3512 THEN 'documentation (2001:db8::/32)' END AS label
+FROM (SELECT o_orderkey, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(f AS BIGINT) AS f, {V6_LAST.replace("CAST(last", "TRY_CAST(last")} AS low FROM {V6.sql()})"""
+
+
+def resolver_filter(spark, d):
+    """Hosts with up to two IPv4 and one IPv6 addresses each."""
+    o = table(spark, d, "orders").withColumn("ip", F.expr(IP))
+    four = F.filter(F.array(F.when(F.col("o_orderkey") % 3 > 0, F.col("ip")), F.when(F.col("o_orderkey") % 3 > 1, (F.col("ip") + 4096 * F.col("o_custkey")) % 4294967296)), lambda x: x.isNotNull())
+    six = F.when(F.col("o_custkey") % 4 > 0, F.array(F.array(*[F.lit(0x2606), F.lit(0x4700), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(1)]))).otherwise(F.array().cast("array<array<int>>"))
+    six = F.when(F.col("o_custkey") % 4 == 3, F.array(F.array(*[F.lit(x) for x in (0xFE80, 0, 0, 0, 0, 0, 0, 1)]))).otherwise(six)
+    return o.select("o_orderkey", net.resolved_verdict(four, six).alias("verdict"))
+
+
+RESOLVER = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 4 = 0 THEN 'DnsError' WHEN o_custkey % 4 = 3 THEN 'BlockedIp'
+WHEN o_orderkey % 3 > 0 AND ({_v4_case('ip')}) IS NOT NULL THEN 'BlockedIp' WHEN o_orderkey % 3 > 1 AND ({_v4_case('(ip + 4096 * o_custkey) % 4294967296')}) IS NOT NULL THEN 'BlockedIp' ELSE 'ok' END AS verdict
+FROM (SELECT *, {IP} AS ip FROM orders)"""
+
+URLS = Parts("pages", "page_id", {
+    "scheme": ["https://", "HTTP://", "ftp://", "javascript:", "", "http:/"], "login": ["", "u:p@", "a@b@"],
+    "named": ["page", "127.0.0.1", "8.8.8.8", "[::1]", "[2606:4700:4700::1111]", "2130706433", "0x7f.1", "256.1.1.1", "exa mple.com", ""], "port": ["", ":8080", ":99999", ":x"],
+})
+#: The page's own host and path stand where no other host is named
+_URL = "«scheme»«login»«CASE named WHEN 'page' THEN split_part(url, '/', 3) ELSE named END»«port»/x?«split_part(url, '?', 2)»#y"
 
 
 def url_validate(spark, d):
-    p = table(spark, d, "pages").withColumn("u", pick("page_id", [u for u, *_ in URLS]))
+    p = URLS.rows(spark, d, u=_URL)
     strict, open_ = net.validate_url(F.col("u")), net.validate_url(F.col("u"), allow_ip_literals=True)
-    return p.select("page_id", F.coalesce(strict["reason"], F.lit("ok")).alias("strict"), F.coalesce(open_["reason"], F.lit("ok")).alias("literals_allowed"))
+    return p.select("page_id", "u", F.coalesce(strict["reason"], F.lit("ok")).alias("strict"), F.coalesce(open_["reason"], F.lit("ok")).alias("literals_allowed"))
+
+
+# what stands before the first colon is a scheme; with nothing named, the path after further slashes is the host
+_AS_SCHEME = "(scheme = '' AND (login = 'u:p@' OR (login = '' AND named = 'page' AND port <> '')))"
+_BAD_URL = f"((scheme = '' AND NOT {_AS_SCHEME}) OR (scheme NOT IN ('', 'javascript:') AND (named IN ('256.1.1.1', 'exa mple.com') OR (named = '' AND login || port <> '') OR port IN (':99999', ':x'))))"
+_IP_HOST = "named IN ('127.0.0.1', '8.8.8.8', '[::1]', '[2606:4700:4700::1111]', '2130706433', '0x7f.1')"
+_OWN_HOST = "named IN ('127.0.0.1', '[::1]', '2130706433', '0x7f.1')"
+URL_VALIDATE = f"""SELECT page_id, u, CASE WHEN {_BAD_URL} THEN 'NoHost' WHEN scheme IN ('ftp://', 'javascript:') OR {_AS_SCHEME} THEN 'BadScheme' WHEN {_IP_HOST} THEN 'RawIpLiteral' ELSE 'ok' END AS strict,
+CASE WHEN {_BAD_URL} THEN 'NoHost' WHEN scheme IN ('ftp://', 'javascript:') OR {_AS_SCHEME} THEN 'BadScheme' WHEN {_OWN_HOST} THEN 'BlockedIp' ELSE 'ok' END AS literals_allowed FROM {URLS.sql(u=_URL)}"""
 
 
 def url_hosts(spark, d):
@@ -81,61 +92,89 @@ def url_hosts(spark, d):
     return p.select("page_id", v["ok"].alias("ok"), net.redact_url(F.concat(F.regexp_replace("url", "://", "://u:p@"), F.lit("#x"))).alias("redacted"))
 
 
-CHAINS = [(["/b", "c"], "https://a.example/b https://a.example/c", True), (["http://127.0.0.1/"], "http://127.0.0.1/", False), (["//h.example/x"], "https://h.example/x", True), (["/1", "/2", "/3", "/4", "/5", "/6"], " ".join(f"https://a.example/{k}" for k in range(1, 7)), False)]
+CHAINS = Parts("pages", "page_id", {"hop": ["/p%", "p%", "//h%.example/x", "http://127.0.0.1/%", "ftp://h/%", "https://h.example/%#f", "?q=%"], "n": ["0", "1", "2", "5", "6", "7"]})
 
 
 def redirect_chain(spark, d):
-    p = table(spark, d, "pages")
-    hops = F.lit(None).cast("array<string>")
-    for k, (h, *_) in enumerate(CHAINS):
-        hops = F.when(F.col("page_id") % len(CHAINS) == k, F.array(*map(F.lit, h))).otherwise(hops)
-    chained = p.select("page_id", net.follow_redirects(F.lit("https://a.example/a"), hops).alias("all"))
-    hop = chained.select("page_id", "all", F.posexplode("all").alias("k", "hop")).withColumn("ok", net.validate_url(F.col("hop"))["ok"])
-    verdict = hop.groupBy("page_id").agg(F.bool_and("ok").alias("ok"), F.first("all").alias("all"))
-    return verdict.select("page_id", F.array_join(F.slice("all", 2, 100), " ").alias("hops"), (F.col("ok") & (F.size("all") <= 1 + Policy().max_redirects)).alias("ok"))
+    p = CHAINS.rows(spark, d).withColumn("n", F.col("n").cast("int"))
+    hops = F.when(F.col("n") == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda k: F.replace("hop", F.lit("%"), k.cast("string"))))
+    chain = p.withColumn("chain", net.follow_redirects(F.concat(F.lit("https://"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/d/a")), hops))
+    return chain.select("page_id", F.array_join("chain.urls", " ").alias("urls"), "chain.ok", "chain.reason", F.coalesce("chain.at", F.lit(-1)).alias("at"))
+
 
+# what a hop joined to a page of the same host gives
+_JOINED = """CASE WHEN hop LIKE '/p%' THEN 'https://' || host || replace(hop, '%', CAST(k AS VARCHAR)) WHEN hop LIKE 'p%' THEN 'https://' || host || '/d/' || replace(hop, '%', CAST(k AS VARCHAR))
+WHEN hop LIKE '//%' THEN 'https:' || replace(hop, '%', CAST(k AS VARCHAR)) WHEN hop LIKE '?%' THEN 'https://' || host || '/d/a' || replace(hop, '%', CAST(k AS VARCHAR)) ELSE replace(hop, '%', CAST(k AS VARCHAR)) END"""
+_HOP_REASON = "CASE WHEN n > 0 AND hop LIKE 'http://127%' THEN 'RawIpLiteral' WHEN n > 0 AND hop LIKE 'ftp%' THEN 'BadScheme' WHEN n > 5 THEN 'TooManyRedirects' END"
+REDIRECTS = f"""SELECT page_id, array_to_string(list_concat(['https://' || host || '/d/a'], list_transform(range(1, n + 1), lambda k: {_JOINED})), ' ') AS urls,
+{_HOP_REASON} IS NULL AS ok, {_HOP_REASON} AS reason, CAST(CASE {_HOP_REASON} WHEN 'TooManyRedirects' THEN 6 ELSE CASE WHEN {_HOP_REASON} IS NOT NULL THEN 1 ELSE -1 END END AS INTEGER) AS at
+FROM (SELECT page_id, hop, CAST(n AS INTEGER) AS n, split_part(url, '/', 3) AS host FROM {CHAINS.sql()})"""
 
-NAMES = [".env", ".envrc", ".env.prod", ".env.example", ".env.sample", "prod.env", "x.txt"]
-READ_PATHS = [
-    ("/home/u/.ssh/id_rsa", "deny_rule"), ("/home/u/.sshx", "allow"), ("/home/u/.aws", "deny_rule"), ("/srv/app/.env", "deny_rule"), ("/srv/app/.env.example", "allow"),
-    ("/etc/shadow", "deny_rule"), ("/etc/sudoers.d/x", "deny_rule"), ("/etc/hosts", "allow"), ("/home/u/.config/gh/hosts.yml", "deny_rule"), ("/home/u/notes.md", "allow"),
-]
+FILES = Parts("part", "p_partkey", {
+    "folder": ["/home/u/", "/home/u/.ssh/", "/home/u/.sshx/", "/home/u/.aws/", "/srv/app/", "/etc/", "/etc/sudoers.d/", "/home/u/.config/gh/", "/etc/ssh/"],
+    "name": ["%", ".env", ".envrc", ".env.%", ".env.example", "%.env", "shadow", "hosts", ".npmrc", "id_rsa"], "link": ["", "x", "", ""],
+})
+_FILE = "«folder»«replace(replace(name, '%', replace(p_name, ' ', '.')), ' ', '.')»"
 
 
 def dotenv_policy(spark, d):
-    return table(spark, d, "part").select("p_partkey", paths.is_dotenv(pick("p_partkey", NAMES)).alias("hit"))
+    rows = FILES.rows(spark, d, path=_FILE)
+    return rows.select("p_partkey", "path", paths.is_dotenv(F.substring_index("path", "/", -1)).alias("hit"))
+
+
+_IS_DOTENV = "(regexp_matches(path, '/[.]env(rc|[.][^/]*)?$') AND NOT path LIKE '%.example')"
 
 
 def read_policy(spark, d):
-    p = table(spark, d, "part").withColumn("path", pick("p_partkey", [a for a, _ in READ_PATHS]))
-    link = F.col("p_partkey") % 7 == 0
-    open_ = paths.read_verdict(F.col("path"), F.col("path"), link, Policy(allow_paths=("/home/u/.ssh/id_rsa",)))
-    return p.select("p_partkey", paths.read_verdict(F.col("path"), F.col("path"), link).alias("verdict"), open_.alias("with_exception"))
+    p = FILES.rows(spark, d, path=_FILE)
+    excepted = Policy(allow_paths=("/home/u/.ssh/id_rsa", "/etc/shadow"), extra_deny=("/srv/app/hosts",))
+    verdicts = [paths.read_verdict(F.col("path"), F.col("path"), F.col("link") == "x", policy) for policy in (Policy(), excepted, Policy(allow_sensitive=True))]
+    return p.select("p_partkey", *[v.alias(n) for v, n in zip(verdicts, ("verdict", "with_exceptions", "unguarded"), strict=True)])
 
 
-_READ = sql_pick("p_partkey", [b for _, b in READ_PATHS])
-_READ_OPEN = sql_pick("p_partkey", ["allow", *[b for _, b in READ_PATHS[1:]]])
-READ_POLICY = f"SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'deny_symlink' ELSE {_READ} END AS verdict, CASE WHEN p_partkey % 7 = 0 THEN 'deny_symlink' ELSE {_READ_OPEN} END AS with_exception FROM part"
+_DENIED = f"(regexp_matches(path, '^/home/u/([.]ssh/|[.]aws/|[.]config/gh/|[.]npmrc$)|^/etc/(ssh/|sudoers[.]d/|shadow$)') OR {_IS_DOTENV})"
+READ_POLICY = f"""SELECT p_partkey, CASE WHEN link = 'x' THEN 'deny_symlink' WHEN {_DENIED} THEN 'deny_rule' ELSE 'allow' END AS verdict,
+CASE WHEN link = 'x' THEN 'deny_symlink' WHEN path IN ('/home/u/.ssh/id_rsa', '/etc/shadow') THEN 'allow' WHEN {_DENIED} OR path = '/srv/app/hosts' THEN 'deny_rule' ELSE 'allow' END AS with_exceptions,
+CASE WHEN link = 'x' THEN 'deny_symlink' ELSE 'allow' END AS unguarded FROM {FILES.sql(path=_FILE)}"""
 
-TARGETS = [
-    ("/tmp/a.sh", True, False), ("/home/u/.bashrc", True, True), ("data.json", False, False), ("payload", True, False), ("/dev/null", False, False), ("x.PY", True, False),
-    ("payload.", True, False), (".hidden", False, False), ("/home/u/.config/autostart/x.desktop", False, True), ("/etc/profile.d", False, True), ("", False, False), ("repo/.git/hooks/pre-push", True, True),
-]
-MODES = [("+x", True), ("u+x", True), ("755", True), ("644", False), ("0700", True), ("a=rX", True), ("-x", False), ("u-x,g+x", True), ("7", False), ("o+w", False), ("file.sh", False)]
-DIRS = [("/tmp/x", True), ("/tmp/../tmp/x", True), ("/var//tmp/x", True), ("~/Downloads/x", True), ("/home/u/.cache/x", True), ("./x", False), ("/usr/bin/x", False), ("/tmp", False), ("/srv/../run/user/1", True), ("/home/u/x", False)]
+TARGETS = Parts("part", "p_partkey", {
+    "folder": ["/tmp/", "/home/u/", "repo/.git/hooks/", "/etc/profile.d/", "/dev/", "~/.config/autostart/", " ./x/../", "~/.local/share/systemd/user/"],
+    "name": ["%.sh", "%.json", "%", "%.PY", "%.", ".%", ".bashrc", ".zshrc/", "config.fish"],
+})
+_TARGET = "«folder»«replace(name, '%', split_part(p_name, ' ', 1))»"
 
 
 def exec_target(spark, d):
-    x = pick("p_partkey", [a for a, *_ in TARGETS])
-    return table(spark, d, "part").select("p_partkey", paths.is_exec_target(x).alias("runs"), paths.is_persistence_target(x).alias("persists"))
+    rows = TARGETS.rows(spark, d, path=_TARGET)
+    return rows.select("p_partkey", "path", paths.is_exec_target(F.col("path")).alias("runs"), paths.is_persistence_target(F.col("path")).alias("persists"))
+
+
+EXEC_TARGET = f"""SELECT p_partkey, path, folder <> '/dev/' AND (regexp_matches(lower(name), '[.](sh|py)$|rc/?$|config[.]fish|[.]$') OR name = '%') AS runs,
+regexp_matches(folder, '[.]git/hooks|profile[.]d|autostart|systemd/user') OR regexp_matches(name, 'rc/?$|config[.]fish') AS persists FROM {TARGETS.sql(path=_TARGET)}"""
+
+MODES = Parts("part", "p_partkey", {"who": ["", "u", "a", "go"], "sign": ["+", "-", "=", ""], "bits": ["x", "w", "rX", "755", "644", "0711", "7", "600,u+x"]})
 
 
 def chmod_mode(spark, d):
-    return table(spark, d, "part").select("p_partkey", paths.grants_execute(pick("p_partkey", [a for a, _ in MODES])).alias("grants"))
+    rows = MODES.rows(spark, d, mode="«who»«sign»«bits»")
+    return rows.select("p_partkey", "mode", paths.grants_execute(F.col("mode")).alias("grants"))
+
+
+CHMOD = f"""SELECT p_partkey, mode, (sign IN ('+', '=') AND bits IN ('x', 'rX')) OR bits = '600,u+x' OR (who = '' AND sign = '' AND bits IN ('755', '0711')) AS grants FROM {MODES.sql(mode="«who»«sign»«bits»")}"""
+
+DIRS = Parts("part", "p_partkey", {
+    "root": ["/tmp", "/TMP", "/var//tmp", "~/Downloads", "/home/u/.cache", "/usr/bin", "./tmp", "/srv/../run/user", "/tmp/../etc", "/Dev/Shm", "/home/u", "/var/folders/./a"], "more": ["/%", "", "/%/%", "x/%"],
+})
+_DIR = "«root»«replace(replace(more, '%', p_name), ' ', '_')»"
 
 
 def writable_dir(spark, d):
-    return table(spark, d, "part").select("p_partkey", paths.in_writable_dir(pick("p_partkey", [a for a, _ in DIRS]), "/home/u").alias("writable"))
+    rows = DIRS.rows(spark, d, path=_DIR)
+    return rows.select("p_partkey", "path", paths.in_writable_dir(F.col("path"), "/home/u").alias("writable"), net.normalize_host(F.concat(F.lit("["), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("a.B..]"))).alias("host"))
+
+
+WRITABLE = f"""SELECT p_partkey, path, (more LIKE '/_%' AND regexp_matches(lower(root), '^(/tmp|/var//tmp|~/downloads|/home/u/[.]cache|/srv/../run/user|/dev/shm|/var/folders/[.]/a)$') ) OR path LIKE '/var/folders/./a%' AS writable,
+CASE WHEN path LIKE '~%' THEN '~' WHEN path LIKE '.%' THEN '.' ELSE '' END || 'a.B' AS host FROM {DIRS.sql(path=_DIR)}"""
 
 
 def basenames(spark, d):
@@ -144,15 +183,15 @@ def basenames(spark, d):
 
 QUERIES: dict[str, Query] = {
     "ipv4_block": Query(ipv4_block, f"SELECT o_orderkey, CAST({IP} AS BIGINT) AS ip, {_v4_case(IP)} AS label FROM orders"),
-    "ipv6_block": Query(ipv6_block, f"SELECT o_orderkey, {sql_pick('o_orderkey', [b for _, b in V6])} AS label FROM orders"),
-    "url_validate": Query(url_validate, f"SELECT page_id, {sql_pick('page_id', [b for _, b, _ in URLS])} AS strict, {sql_pick('page_id', [c for *_, c in URLS])} AS literals_allowed FROM pages"),
+    "ipv6_block": Query(ipv6_block, _v6_sql()),
+    "resolver_filter": Query(resolver_filter, RESOLVER),
+    "url_validate": Query(url_validate, URL_VALIDATE),
     "url_hosts": Query(url_hosts, f"SELECT page_id, {matches('url', '^https?://[A-Za-z]')} AS ok, regexp_replace(url, '#.*', '') AS redacted FROM pages"),
-    "redirect_chain": Query(redirect_chain, f"SELECT page_id, {sql_pick('page_id', [b for _, b, _ in CHAINS])} AS hops, {sql_pick('page_id', [c for *_, c in CHAINS])} AS ok FROM pages"),
-    "dotenv_policy": Query(dotenv_policy, f"SELECT p_partkey, {sql_pick('p_partkey', [n in ('.env', '.envrc', '.env.prod') for n in NAMES])} AS hit FROM part"),
+    "redirect_chain": Query(redirect_chain, REDIRECTS),
+    "dotenv_policy": Query(dotenv_policy, f"SELECT p_partkey, path, {_IS_DOTENV} AS hit FROM {FILES.sql(path=_FILE)}"),
     "read_policy": Query(read_policy, READ_POLICY),
-    "exec_target": Query(exec_target, f"SELECT p_partkey, {sql_pick('p_partkey', [b for _, b, _ in TARGETS])} AS runs, {sql_pick('p_partkey', [c for *_, c in TARGETS])} AS persists FROM part"),
-    "chmod_mode": Query(chmod_mode, f"SELECT p_partkey, {sql_pick('p_partkey', [b for _, b in MODES])} AS grants FROM part"),
-    "writable_dir": Query(writable_dir, f"SELECT p_partkey, {sql_pick('p_partkey', [b for _, b in DIRS])} AS writable FROM part"),
+    "exec_target": Query(exec_target, EXEC_TARGET),
+    "chmod_mode": Query(chmod_mode, CHMOD),
+    "writable_dir": Query(writable_dir, WRITABLE),
     "basename": Query(basenames, "SELECT p_partkey, split_part('/usr/' || replace(p_name, ' ', '/'), '/', -1) AS name FROM part"),
 }
-

@@ -24,7 +24,9 @@ def decode_events(df: DataFrame, raw: str = "raw", policy: Policy = Policy()) ->
     text = F.when(F.is_valid_utf8(cut), cut)
     out = df.withColumn("_text", text).withColumn("_json", F.from_json("_text", EVENT, {"mode": "PERMISSIVE"})).withColumn("_any", F.try_parse_json("_text"))
     blank = F.trim(F.translate("_text", "\t\r\n", "   ")) == ""
-    state = F.when(F.col("_text").isNull(), "not_utf8").when(blank, "blank").when(F.col("_any").isNull(), "bad_json").otherwise("ok")
+    # the parser stops at the end of the first value; as the only item of a list nothing may follow it
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), "_text", F.lit("]"))) == 1, F.lit(False))
+    state = F.when(F.col("_text").isNull(), "not_utf8").when(blank, "blank").when(F.col("_any").isNull() | ~alone, "bad_json").otherwise("ok")
     return out.withColumn("decoded", state).withColumn("tool_name", F.coalesce("_json.tool_name", F.lit(""))).withColumn("command", F.coalesce("_json.tool_input.command", F.lit(""))).drop("_text", "_json", "_any")
 
 
