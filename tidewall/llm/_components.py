@@ -49,3 +49,14 @@ def components(links: DataFrame) -> DataFrame:
         at = after
     names = at.groupBy("to").agg(F.min("node").alias("root"))
     return stash(at.join(names, "to").select("node", "root"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of more links, given those of the links before: only roots are contracted again."""
+    if links.isEmpty():
+        return labels
+    root = labels.select("node", "root")
+    ends = links.join(root.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+    more = components(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
+    moved = labels.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stash(moved.union(more.join(labels, "node", "left_anti").select("node", "root")))

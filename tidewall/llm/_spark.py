@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of (id, small payload) that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Items of its arrays, together
+#: Items of its arrays and eighths of its texts' bytes, together
 BROADCAST_ITEMS = 8_000_000
 
 _local_dir: dict[str, str] = {}
@@ -48,9 +48,10 @@ def unstash(*tables: DataFrame) -> None:
 
 
 def small_side(stashed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stashed table for broadcast if it has at most `rows` rows and BROADCAST_ITEMS array items; else Spark shuffles it."""
-    arrays = [F.greatest(F.size(c), F.lit(0)).cast("long") for c, kind in stashed.dtypes if kind.startswith("array")]
-    items = F.sum(sum(arrays, F.lit(0).cast("long")))
+    """Mark a stashed table for broadcast if it has at most `rows` rows and BROADCAST_ITEMS items; else Spark shuffles it."""
+    held = [F.greatest(F.size(c), F.lit(0)).cast("long") for c, kind in stashed.dtypes if kind.startswith("array")]
+    held += [F.coalesce(F.octet_length(c) / 8, F.lit(0)).cast("long") for c, kind in stashed.dtypes if kind in ("string", "binary")]
+    items = F.sum(sum(held, F.lit(0).cast("long")))
     count, held = stashed.agg(F.count("*"), F.coalesce(items, F.lit(0))).first()
     return F.broadcast(stashed) if count <= rows and held <= BROADCAST_ITEMS else stashed
 

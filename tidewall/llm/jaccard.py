@@ -16,7 +16,9 @@ components is lost: pairs that are skipped are already connected.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing. A text of fewer than
 five words is one shingle. A text that only rows with a null id have links with nothing; such
-rows never name a component.
+rows never name a component. Repeated rows of an id give a row each, different texts of an id too, each with its own
+class. Columns besides doc_id and text are ignored, whatever their names. Shingles and classes stand for their words
+by 64-bit hashes, and by 48 bits of these in the sets that are compared: links are exact but for collisions.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewall.llm._components import components
-from tidewall.llm._spark import arrow_rows, small_side, stash
+from tidewall.llm._components import components, merged
+from tidewall.llm._spark import arrow_rows, small_side, stash, unstash
 from tidewall.llm._words import gram_hashes, hashed_texts, mix
 
 #: Frequent shingles that the order knows of, at most; the bound of what is broadcast. Any order gives the same links.
@@ -192,25 +194,26 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     copies = rows.join(firsts.withColumnRenamed("doc_id", "first"), "key").where("doc_id > first")
     copies = stash(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")))
 
-    # classes on one prefix item: the lists that hold at least two
+    # classes on one prefix item: the lists that hold at least two. A table of its own each time, so that the list of a
+    # very frequent item is counted by partial sums and can be split in the join
     each = docs.join(small_side(copies), "doc_id", "left").select("text", "copies")
-    item = Window.partitionBy("gram")
+    prefix = stash(each.mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int"))
+    held = stash(prefix.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("gram"))
+    met_lists = stash(prefix.join(small_side(held), "gram"))
+    unstash(prefix)
 
     def shared(lists: DataFrame, priority: Column) -> DataFrame:
-        """Lists that hold classes of several components (root), with their leaders."""
-        lists = lists.withColumn("low", F.min("root").over(item)).withColumn("high", F.max("root").over(item))
-        lists = lists.withColumn("lead", F.max(F.struct(priority.alias("p"), "key", "n", "matches", "root")).over(item))
-        return lists.where("low < high").select("gram", "key", "n", "matches", "met", "root", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root"))
-
-    prefix = each.mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int")
-    prefix = prefix.withColumn("low", F.min("key").over(item)).withColumn("high", F.max("key").over(item))
-    met_lists = stash(prefix.where("low < high").drop("low", "high"))
+        """Lists that hold classes of several components (root), with their leaders and lengths."""
+        leads = lists.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), F.max(F.struct(priority.alias("p"), "key", "n", "matches", "root")).alias("lead"))
+        leads = stash(leads.where("low < high").select("gram", "held", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root")))
+        return stash(lists.select("gram", "key", "n", "matches", "met", "root").join(small_side(leads), "gram"))
+
     # met: how many of its prefix items a class shares with any other
     met = stash(met_lists.groupBy("key").agg(F.count("*").cast("int").alias("met")))
     lists = met_lists.join(small_side(met), "key").withColumn("root", F.col("key"))
     # a leader shares the largest part of its prefix: an original rather than an edited copy
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + F.col("matches")
-    lists = stash(shared(lists, F.struct(F.col("met") / length, "met")))
+    lists = shared(lists, F.struct(F.col("met") / length, "met"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -228,22 +231,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         return pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
     def relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-        lists = lists.select("gram", "key", "n", "matches", "met")
-        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "key", "n", "matches", "met", F.coalesce("root", "key").alias("root"))
+        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "key", "n", "matches", "met", F.coalesce(labels["root"], "key").alias("root"))
 
     # two rounds of stars save pairs; what they pass over is met below. `met` bounds what a pair can share
     first = stash(stars(lists))
-    links = verify(first)
-    labels = components(links)
-    later = stash(shared(relabelled(lists, labels), F.xxhash64("key")))
+    labels = components(verify(first))
+    later = shared(relabelled(lists.drop("root"), labels), F.xxhash64("key"))
     second = stash(stars(later).join(first, ["a", "b"], "left_anti"))
-    links = links.union(verify(second))
-    labels = components(links)
+    labels = merged(labels, verify(second))
     # a class's items by frequency: a pair that shares enough of them meets early enough in both orders
-    now = shared(relabelled(later, labels), F.lit(0)).select("gram", "key", "n", "matches", "root").withColumn("held", F.count("*").over(item))
     own = Window.partitionBy("key")
+    now = shared(relabelled(later.drop("root"), labels), F.lit(0))
     now = now.withColumn("rank", F.row_number().over(own.orderBy("held", "gram"))).withColumn("met", F.count("*").over(own))
-    now = stash(now)
+    now = stash(now.select("gram", "key", "n", "matches", "root", "rank", "met"))
     x, y = now.alias("x"), now.alias("y")
     enough = _enough("x.n", "y.n", "x.matches", "y.matches", percent)
     could = _alike_in_size("x.n", "y.n", percent) & (1 + F.least(F.col("x.met") - F.col("x.rank"), F.col("y.met") - F.col("y.rank")) >= enough)
@@ -254,8 +254,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     items = now.groupBy("key").agg(F.collect_list("gram").alias("grams"))
     met_pairs = met_pairs.join(items.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")), "a").join(items.select(F.col("key").alias("b"), F.col("grams").alias("grams_b")), "b")
     rest = stash(met_pairs.where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("enough")).select("a", "b"))
-    links = links.union(verify(rest))
-    labels = components(links)
+    labels = merged(labels, verify(rest))
     # the smallest document of each class's component
     named = firsts.join(labels, firsts["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
