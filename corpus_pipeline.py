@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes the documents that its predecessor kept and decides by one operator. Only the last returns
-other columns than those of documents. Rows with a null id pass the filtering stages unless their own text
-decides against them, as links and leaks name documents by id.
+other columns than those of documents. Operators name documents by id; rows without an id, and ids that several rows
+have, get ids of their own from their text for that (larger than any other, so that named documents win). So of
+identical rows one stays, and rows that share an id are judged each by its own text. Null and empty texts have no
+language and are dropped by the first stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +30,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+#: Ids made from texts begin here
+OWN_IDS = 1 << 62
+
+
+def with_row_ids(docs: DataFrame, once: bool = False) -> DataFrame:
+    """docs with _row: the id, or for rows that don't have one for themselves an id made from id and text. once: of identical rows only one."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    ids = stash(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_odd")))
+    own = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    if ids.isEmpty():
+        return own
+    marked = own.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    made = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(OWN_IDS)
+    odd = marked.where("_odd").withColumn("_row", made)
+    return marked.where("_odd is null").unionByName(odd.dropDuplicates(["_row"]) if once else odd).drop("_odd")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of linked documents (all rows of that id)."""
-    classes = jaccard.jaccard_classes(docs)
-    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(small_side(stash(dropped)), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """Keeps the smallest doc_id of every component of linked documents, and one of identical rows."""
+    rows = with_row_ids(docs, once=True)
+    classes = jaccard.jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
+    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(small_side(stash(dropped)), "_row", "left_anti").select(*docs.columns)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    leaked = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(small_side(stash(leaked)), "doc_id", "left_anti").select(*docs.columns)
+    rows = with_row_ids(docs)
+    found = decontaminate.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaked = found.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(small_side(stash(leaked)), "_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
