@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidewall.llm._spark import stash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +51,32 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in rows} == set(range(47)) - {40, 41, 42, 44, 45, 46}
+
+
+def through(spark, rows, folder):
+    docs = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stash(stage(spark, docs, folder))
+    return sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None), sorted(r["text"] for r in docs.collect() if r["doc_id"] is None)
+
+
+def test_rows_that_share_an_id_or_have_none(spark, folder):
+    text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdef"}
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (None, "a"), (None, "e"), (4, "e"), (5, "f"), (5, "leak"), (None, "leak too")]
+    text |= {"leak": f"{text['f'][:60]} {item}", "leak too": f"x y z {item}"}
+    got = through(spark, [(i, text[k], "aa", "s", 1) for i, k in rows], folder)
+    # one row of every text: with an id where there is one, and without leaks
+    assert got == (sorted([(1, text["a"]), (2, text["b"]), (3, text["c"]), (4, text["e"]), (5, text["f"])]), [text["d"]])
+
+
+def test_no_documents(spark, folder, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_very_long_document(spark, folder):
+    long = " ".join(f"w{j}" for j in range(200_000))
+    got, _ = through(spark, [(1, long, "aa", "s", 1), (2, long + " end", "aa", "s", 1), (3, "short text of some words", "aa", "s", 1)], folder)
+    assert [i for i, _ in got] == [1, 3]
