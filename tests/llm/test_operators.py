@@ -383,7 +383,7 @@ def mixing_chunks(spark, rows):
     vocab = spark.sparkContext.broadcast(mixing.vocabulary(mixing.word_counts(texts)))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(mixing.FOLDS)).cast("int")
     chunks = mixing.cut_chunks(texts.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("scored"), fold.alias("fold"), "text")).cache()
-    return chunks, mixing.answered(chunks, vocab, 5), vocab
+    return chunks, mixing.answered(chunks, vocab, 5, mixing.key_bits(1 << 16)), vocab
 
 
 def test_mixing_counts_every_context_apart(spark):

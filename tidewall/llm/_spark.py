@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dir.setdefault("dir", tempfile.mkdtemp(prefix="tidewall-"))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
-    Unlike localCheckpoint() the table outlives any executor. It is also what size checks count.
+    Unlike localCheckpoint() the table outlives any executor. It is also what size checks count. The shuffle files of
+    the plan go once the table is written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidewall/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,13 +7,15 @@ log odds with weights that a gate selects (the bit's place and how much the cont
 last table refines the mixed probability by what came true at such a probability. Within its class a word has its
 add-one share. So score = log10 of a product of bit probabilities and shares: every bit's two probabilities add to one.
 
-Counts (words, classes, bits) cover all training texts, each context under its own 54-bit key: no table size and no
-vocabulary bound them. Tasks cut texts into chunks; each distinct (context, class) of a chunk is sent once, with its
-count, to the counting task that owns the context, so that a hot context is at most 2**CLASS_BITS rows of a chunk.
-The counting task sends back how often every prefix of the class followed the context. Weights and refinement are
-learned on all training texts, each with counts that leave its own chunk out (chunks hold texts of one fold of ids, so
-that a small corpus has several), and summed over tasks in Spark.
-The FREQUENT words of largest counts are broadcast; counts of all others are joined.
+Counts (words, classes, bits) cover all training texts, each context under its own key: no table size and no
+vocabulary bound them. Keys have as many bits as the corpus has contexts, and SPARE_BITS more, so that a context shares
+its key with another by a chance of under 1 in 4096 at any size. Tasks cut texts into chunks; each distinct (context,
+class) of a chunk is sent once, with its count, to the counting task that owns the context, so that a hot context is at
+most 2**CLASS_BITS requests of a chunk. The counting task sends back how often, in other chunks, every prefix of the
+class followed the context. Weights and refinement are learned on all training texts, each with counts that leave its
+own chunk out (chunks hold texts of one fold of ids, so that a small corpus has several), and summed over tasks in Spark.
+The counts of the FREQUENT most frequent words are broadcast; those of all others are asked for like contexts, by the
+whole 64-bit hash.
 
 Null and empty texts are one end token. Without training rows all counts are 0. Null ids and repeated rows keep
 their rows.
@@ -39,7 +41,8 @@ CLASS_BITS = 10
 #: A counting task is given about 2 ** TABLE_BITS requests of chunks; the number of tasks follows the tokens
 TABLE_BITS = 20
 FREQUENT, MARKERS = 1 << 17, 256
-FOLDS, CHUNK_TOKENS = 4, 1 << 19
+FOLDS, CHUNK_TOKENS = 4, 1 << 20
+SPARE_BITS, MOST_BITS = 12, 64 - CLASS_BITS
 #: The hash that stands for the end of a text
 END = np.uint64(0x5851F42D4C957F2D)
 CONTEXTS, INPUTS, SEEN = 3, 5, 3
@@ -146,7 +149,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers of one dimension byte plane by byte plane, compressed."""
-    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -198,6 +201,8 @@ class Chunk:
     places: np.ndarray
     first: np.ndarray
     known: np.ndarray  # position of each of `words` in the vocabulary, or -1
+    rare: np.ndarray  # the places of words outside the vocabulary in `words`
+    rare_counts: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
     of_token: np.ndarray
@@ -209,15 +214,27 @@ class Chunk:
         at, there = v.find(words)
         marks = there & (v.ranks[at] < MARKERS) if len(v.words) else there
         of_class = classes(words).astype(np.uint64)[places]
-        low = _U((1 << CLASS_BITS) - 1)
-        keys = contexts(words[places], marks[places], first) & ~low | of_class
+        keys = contexts(words[places], marks[places], first) >> _U(64 - row["bits"]) << _U(CLASS_BITS) | of_class
         keys, of_token, counts = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
-        return cls(words, places, first, np.where(there, at, -1), keys, counts, of_token.reshape(CONTEXTS, -1))
+        rare = np.flatnonzero(~there)
+        return cls(words, places, first, np.where(there, at, -1), rare, np.bincount(places, minlength=len(words))[rare], keys, counts, of_token.reshape(CONTEXTS, -1))
 
 
-def owners(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The counting task of each key; keys of one context have the same, and it never falls with the key."""
-    return ((keys >> _U(32 + CLASS_BITS)) * _U(parts) >> _U(32 - CLASS_BITS)).astype(np.int64)
+def key_bits(tokens: int) -> int:
+    """Bits of a context's key for a corpus of so many tokens."""
+    return min(MOST_BITS, max(24, (CONTEXTS * tokens).bit_length()) + SPARE_BITS)
+
+
+def owners(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """The counting task of each key of so many bits, by its first 24; it never falls with the key."""
+    return ((keys >> _U(bits - 24)) * _U(parts) >> _U(24)).astype(np.int64)
+
+
+def _by_owner(keys: np.ndarray, parts: int, bits: int) -> dict[int, slice]:
+    """Which of the sorted keys each counting task has."""
+    owner = owners(keys, parts, bits)
+    cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+    return {int(owner[lo]): slice(lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
 
 
 def _nodes(keys: np.ndarray, d: int) -> np.ndarray:
@@ -255,32 +272,46 @@ def unpack_paths(keys: np.ndarray, raw: bytes) -> np.ndarray:
     return out
 
 
-def answered(chunks: DataFrame, vocab, parts: int) -> DataFrame:
-    """chunks with answers: by counting task, the prefix counts of the requests in all training texts."""
+def answered(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
+    """chunks with answers: by counting task, what other chunks' training texts have of the prefixes and words asked for."""
+    chunks = chunks.withColumn("parts", F.lit(parts)).withColumn("bits", F.lit(bits))
+    none = slice(0, 0)
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row, vocab.value)
-                owner = owners(chunk.keys, parts)
-                cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
-                blocks = [(int(owner[lo]), row["chunk"], pack(np.diff(chunk.keys[lo:hi], prepend=_U(0))), pack(chunk.counts[lo:hi].astype(np.uint32)) if row["fold"] >= 0 else None) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "keys", "counts"])
+                trains = row["fold"] >= 0
+                words = chunk.words[chunk.rare]
+                of_keys, of_words = _by_owner(chunk.keys, parts, bits + CLASS_BITS), _by_owner(words, parts, 64)
+                blocks = []
+                for part in sorted(of_keys | of_words):
+                    k, w = of_keys.get(part, none), of_words.get(part, none)
+                    numbers = [pack(n.astype(np.uint32)) if trains else None for n in (chunk.counts[k], chunk.rare_counts[w])]
+                    blocks.append((part, row["chunk"], pack(np.diff(chunk.keys[k], prepend=_U(0))), numbers[0], pack(np.diff(words[w], prepend=_U(0))), numbers[1]))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "keys", "counts", "words", "word_counts"])
+
+    def summed(keys, counts):
+        """Distinct keys with their sums; for each request the keys, its own counts and their places."""
+        asked = [np.cumsum(unpack(raw, np.uint64), dtype=np.uint64) for raw in keys]
+        # chunks that don't train ask without counts
+        own = [np.zeros(len(a), np.int64) if raw is None else unpack(raw, np.uint32).astype(np.int64) for a, raw in zip(asked, counts, strict=True)]
+        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(place, np.concatenate(own), len(distinct)).astype(np.int64)
+        return distinct, total, list(zip(asked, own, np.split(place, np.cumsum([len(a) for a in asked])[:-1]), strict=True))
 
     def count(key, frame):
-        asked = [np.cumsum(unpack(raw, np.uint64), dtype=np.uint64) for raw in frame["keys"]]
-        keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-        # chunks that don't train ask without counts
-        n = np.concatenate([np.zeros(len(a), np.uint32) if raw is None else unpack(raw, np.uint32) for a, raw in zip(asked, frame["counts"], strict=True)])
-        path = paths(keys, np.bincount(place, n, len(keys)).astype(np.int64))
-        spans = np.split(place, np.cumsum([len(a) for a in asked])[:-1])
-        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": [pack_paths(a, path[:, at]) for a, at in zip(asked, spans, strict=True)]})
+        distinct, total, requests = summed(frame["keys"], frame["counts"])
+        path = paths(distinct, total)
+        of_keys = [pack_paths(a, path[:, at] - paths(a, own)) for a, own, at in requests]
+        _, total, requests = summed(frame["words"], frame["word_counts"])
+        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": of_keys, "words": [pack((total[at] - own).astype(np.uint32)) for _, own, at in requests]})
 
-    asked = chunks.select("chunk", "fold", "lengths", "words", "places").mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary")
-    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("answers"))
-    return chunks.drop("n").join(by_chunk, "chunk").select(*chunks.drop("n").columns, F.col("answers.counts").alias("answers"), F.lit(parts).alias("parts"))
+    asked = chunks.select("chunk", "fold", "lengths", "words", "places", "bits").mapInArrow(ask, "part int, chunk long, keys binary, counts binary, words binary, word_counts binary")
+    answers = asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary, words binary")
+    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "words"))).alias("answers"))
+    return chunks.drop("n").join(by_chunk, "chunk")
 
 
 def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -306,10 +337,13 @@ def base_odds(counts: np.ndarray) -> np.ndarray:
 
 def model_of(chunk: Chunk, row: dict, totals: np.ndarray, apart: bool) -> tuple:
     """What _inputs needs of a chunk: counts of all training texts; with apart, of all but the chunk's own."""
-    cuts = np.append(np.flatnonzero(np.diff(owners(chunk.keys, row["parts"]), prepend=-1)), len(chunk.keys))
-    path = np.concatenate([unpack_paths(chunk.keys[lo:hi], raw) for lo, hi, raw in zip(cuts[:-1], cuts[1:], row["answers"], strict=True)], axis=1)
+    owned = _by_owner(chunk.keys, row["parts"], row["bits"] + CLASS_BITS)
+    path = [unpack_paths(chunk.keys[owned[x["part"]]], x["counts"]) for x in row["answers"] if x["part"] in owned]
+    path = np.concatenate(path, axis=1) if path else np.zeros((CLASS_BITS + 1, 0), np.uint32)
     if apart:
-        path, totals = path - paths(chunk.keys, chunk.counts), totals - np.array(row["class_counts"])
+        totals = totals - np.array(row["class_counts"])
+    elif row["fold"] >= 0:
+        path = path + paths(chunk.keys, chunk.counts)
     bits = (chunk.keys >> (CLASS_BITS - 1 - _PLACES[:, None]).astype(np.uint64) & _U(1)).astype(bool)
     came, other = path[1:], path[:-1] - path[1:]
     odds = _odds(np.where(bits, came, other), np.where(bits, other, came))
@@ -317,6 +351,15 @@ def model_of(chunk: Chunk, row: dict, totals: np.ndarray, apart: bool) -> tuple:
     return base_odds(totals), [np.ascontiguousarray(odds.T).ravel()] * CONTEXTS, [np.ascontiguousarray(seen.T).ravel()] * CONTEXTS
 
 
+def word_totals(chunk: Chunk, row: dict, v: Vocabulary) -> np.ndarray:
+    """How often each of the chunk's words came in all training texts."""
+    out = np.zeros(len(chunk.words), np.int64)
+    out[chunk.known >= 0] = v.counts[chunk.known[chunk.known >= 0]]
+    if len(chunk.rare):
+        out[chunk.rare] = np.concatenate([unpack(x["words"], np.uint32) for x in row["answers"]]) + (chunk.rare_counts if row["fold"] >= 0 else 0)
+    return out
+
+
 def _inputs(model, of_class: np.ndarray, context: np.ndarray):
     """(log odds of each predictor, gate, bit) of every event. context: each token's request by context."""
     base, odds, seen = model
@@ -368,7 +411,7 @@ def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([[float(n), *(weights.ravel().astype(float) * n).tolist(), *cells.tolist()]])], names=["sums"])
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
-    learned = ready.where("fold >= 0").select("lengths", "words", "places", "class_counts", "answers", "parts").mapInArrow(run, "sums array<double>")
+    learned = ready.where("fold >= 0").select("fold", "lengths", "words", "places", "class_counts", "answers", "parts", "bits").mapInArrow(run, "sums array<double>")
     for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
         sums[k] = x
     return sums
@@ -384,6 +427,9 @@ def fit_mixer(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
 def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, held_out, text), training (doc_id, text; else the docs not held out) -> scores of every document.
 
@@ -402,13 +448,12 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     chunks = stash(cut_chunks(rows))
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = class_totals(chunks)
-    ready = stash(answered(chunks, vocab, 1 + (CONTEXTS * tokens >> TABLE_BITS + 1)))
-    unstash(chunks)
+    ready = stash(answered(chunks, vocab, 1 + (CONTEXTS * tokens >> TABLE_BITS + 1), key_bits(tokens)))
+    unstash(chunks, counts)
     mixer = spark.sparkContext.broadcast(fit_mixer(learned_sums(ready, vocab, totals)))
 
     def run(batches):
         v, (weights, refined) = vocab.value, mixer.value
-        log_counts = np.log10(v.counts + 1)
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row, v)
@@ -426,36 +471,16 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
                     p = np.where(bits, p, 1 - p)
                     logs[part] = np.log10(p.reshape(-1, CLASS_BITS)).sum(axis=1) - v.class_mass[k]
                 number = np.repeat(np.arange(some), np.diff(first))
-                at = chunk.known[chunk.places]
-                there = at >= 0
-                known = np.bincount(number[there], log_counts[at[there]], some) if len(v.words) else np.zeros(some)
-                of_row = (row["chunk"] << 20) + np.arange(some)
-                none = np.zeros(some, np.int64)
-                yield batch_of(of_row, row["doc_ids"], row["held"], np.diff(first), np.bincount(number[there], minlength=some), known, np.bincount(number, logs, some), row["bytes"], none)
-                # other words are looked up by a join
-                rare, n = np.unique(number[~there] * len(chunk.words) + chunk.places[~there], return_counts=True)
-                if len(n):
-                    zero = np.zeros(len(n))
-                    yield batch_of(of_row[rare // len(chunk.words)], pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.bool_()), n, zero, zero, zero, zero, chunk.words[rare % len(chunk.words)].view(np.int64))
-
-    names = ["row", "doc_id", "held_out", "n", "n_known", "known", "logs", "bytes", "word"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-
-    def batch_of(*columns):
-        columns = [c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(k.to_pandas_dtype()) if not isinstance(c, list) else c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    scored = ready.where("scored").select("chunk", "doc_ids", "held", "bytes", "lengths", "words", "places", "answers", "parts")
-    made = stash(scored.mapInArrow(run, "row long, doc_id long, held_out boolean, n long, n_known long, known double, logs double, bytes long, word long"))
+                count = word_totals(chunk, row, v)[chunk.places]
+                known = np.bincount(number, np.log10(count + 1), some)
+                n, score = np.diff(first), known + np.bincount(number, logs, some)
+                size = np.array(row["bytes"], float)
+                columns = [row["doc_ids"], row["held"], n, np.bincount(number, count > 0, some).astype(np.int64), np.full(some, v.tokens), known - n * math.log10(v.tokens + v.distinct + 1), score]
+                rates = pa.array(-score * math.log2(10) / np.maximum(size, 1), pa.float64(), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], rates], names=[c.split(" ")[0] for c in SCORES.split(", ")])
+
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    scored = ready.where("scored").select("fold", "doc_ids", "held", "bytes", "lengths", "words", "places", "class_counts", "answers", "parts", "bits")
+    out = stash(scored.mapInArrow(run, SCORES))
     unstash(ready)
-    rare = made.where("held_out is null").select("row", "word", "n")
-    joined = rare.join(counts.withColumnRenamed("n", "count"), "word")
-    more = joined.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("more"))
-    rows = made.where("held_out is not null").join(more, "row", "left")
-    known = F.col("known") + F.coalesce("more", F.lit(0.0))
-    score = known + F.col("logs")
-    return rows.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"),
-        (known - F.col("n") * math.log10(words.tokens + words.distinct + 1)).alias("base_score"), score.alias("score"),
-        F.when(F.col("bytes") > 0, -score * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
-    )
+    return out
