@@ -16,6 +16,7 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_ITEMS = 8_000_000
 
 _local_dir: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,6 +30,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dir.setdefault("dir", tempfile.mkdtemp(prefix="tidewall-"))
 
 
+def _tables(spark: SparkSession) -> str:
+    """This application's folder of stashed tables, which goes when its driver ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _folders:
+        _folders[name] = f"{scratch_dir(spark)}/tidewall/{name}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[name])
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _folders[name]
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A setting of the session for a while."""
@@ -47,7 +60,7 @@ def stash(df: DataFrame) -> DataFrame:
     the plan go once the table is written.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidewall/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -72,7 +85,10 @@ def small_side(stashed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small. The session's own smaller setting wins."""
+    """Keep Arrow batches of whole texts small. The session's own smaller setting wins.
+
+    It is a setting of the session, as results are planned after this returns. Spark bounds a batch's bytes too.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
