@@ -188,7 +188,7 @@ def test_substrings_compare_the_words_of_factors(spark, monkeypatch):
     assert parsed.to_pylist()[0]["n_removed"] == 0
 
 
-def test_secrets(spark):
+def test_secrets(spark, monkeypatch):
     hexes, key = "0123456789abcdef" * 2, "AKIA" + "Z9" * 8
     texts = [f'token = "{hexes}" end', f"é😀 {key} x", "password: short secret=abc PASSWORD='longenough1'", "secret=token : abcdef12", None, "", "AKIA123", f"{hexes}g{hexes} {hexes}", f"api_key={key}"]
     rows = [(i, t) for i, t in enumerate([*texts, texts[0], texts[0]])]
@@ -203,6 +203,15 @@ def test_secrets(spark):
     # a second run scans nothing that the ledger has, and finds the same
     again, new = secrets.scan_documents(spark.createDataFrame([*rows, (99, "fresh token=abcdefgh")], "doc_id long, text string"), ledger)
     assert new.count() == 1 and by_id(secrets.digest(again))[0] == by_id(digest)[0]
+    # a rule with a new version goes over all blobs by itself, the others over none
+    monkeypatch.setitem(secrets.VERSIONS, "hex", 2)
+    changed, rows_of = secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string"), ledger)
+    assert {tuple(r["seen"]) for r in rows_of.collect()} == {("hex@2",)} and rows_of.count() == len(set(texts) - {None})
+    assert by_id(secrets.digest(changed)) == {i: r for i, r in by_id(digest).items() if i < len(rows)}
+    part, base_ledger = secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string"), kinds=["access"])
+    assert {s["rule"] for r in part.collect() for s in r["spans"]} == {1}
+    whole, more = secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string"), base_ledger)
+    assert by_id(secrets.digest(whole)) == by_id(secrets.digest(changed)) and all("access@1" not in r["seen"] for r in more.collect())
     clean = findings.where("doc_id = 0").limit(1).select(secrets.redact(F.lit(texts[0]), F.col("spans")).alias("t")).first()["t"]
     assert clean == '[secret]" end'
 
