@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewall.llm._components import components, merged
-from tidewall.llm._spark import arrow_rows, small_side, stash, unstash
+from tidewall.llm._spark import arrow_rows, small_side, stash
 from tidewall.llm._words import gram_hashes, hashed_texts, mix
 
 #: Frequent shingles that the order knows of, at most; the bound of what is broadcast. Any order gives the same links.
 FREQUENT = 1 << 17
+#: Rows of a frequent item that one task lists, about
+PART_ROWS = 128
 #: The longest match requirement, and the cost of verifying a candidate in index rows
 MOST_MATCHES, VERIFY_COST = 8, 20
 #: Bytes of a shingle's hash in verification
@@ -118,11 +120,16 @@ def _prefixes(n: int, percent: int, frequent):
                 freq = np.where(known[at] == grams, counts[at], 1) if len(known) else np.ones(len(grams), np.int64)
                 order = np.lexsort((grams, freq))
                 length, matches = choose_prefix(freq[order], len(grams), percent)
-                out.append((grams[order[:length]].view(np.int64), _class_key(grams), len(grams), matches))
+                key = _class_key(grams)
+                # 0: an item of one part; else which part of its rows has this class
+                parts = freq[order[:length]] // PART_ROWS + 1
+                part = np.where(parts > 1, 1 + key % parts, 0)
+                out.append((grams[order[:length]].view(np.int64), part, key, len(grams), matches))
             if out:
                 reps = [len(x[0]) for x in out]
                 column = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in out], t), reps))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), column(1, np.int64), column(2, np.int32), column(3, np.int32)], names=["gram", "key", "n", "matches"])
+                items, part = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(part), column(2, np.int64), column(3, np.int32), column(4, np.int32)], names=["gram", "part", "key", "n", "matches"])
 
     return run
 
@@ -194,19 +201,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     copies = rows.join(firsts.withColumnRenamed("doc_id", "first"), "key").where("doc_id > first")
     copies = stash(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")))
 
-    # classes on one prefix item: the lists that hold at least two. A table of its own each time, so that the list of a
-    # very frequent item is counted by partial sums and can be split in the join
+    # classes on one prefix item: the lists that hold at least two. Items known to be frequent are listed in parts; they
+    # are frequent because several classes have them, so each part stays
     each = docs.join(small_side(copies), "doc_id", "left").select("text", "copies")
-    prefix = stash(each.mapInArrow(_prefixes(n, percent, frequent), "gram long, key long, n int, matches int"))
-    held = stash(prefix.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("gram"))
-    met_lists = stash(prefix.join(small_side(held), "gram"))
-    unstash(prefix)
+    item = Window.partitionBy("gram", "part")
+    prefix = each.mapInArrow(_prefixes(n, percent, frequent), "gram long, part long, key long, n int, matches int")
+    prefix = prefix.withColumn("low", F.min("key").over(item)).withColumn("high", F.max("key").over(item))
+    met_lists = stash(prefix.where("low < high or part > 0").drop("low", "high"))
 
     def shared(lists: DataFrame, priority: Column) -> DataFrame:
         """Lists that hold classes of several components (root), with their leaders and lengths."""
-        leads = lists.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), F.max(F.struct(priority.alias("p"), "key", "n", "matches", "root")).alias("lead"))
-        leads = stash(leads.where("low < high").select("gram", "held", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root")))
-        return stash(lists.select("gram", "key", "n", "matches", "met", "root").join(small_side(leads), "gram"))
+        lead = F.struct(priority.alias("p"), "key", "n", "matches", "root")
+        told = {"low": F.min("root"), "high": F.max("root"), "held": F.count("*"), "lead": F.max(lead)}
+        lists = stash(lists.select("gram", "part", "key", "n", "matches", "met", "root", *[c.over(item).alias(name) for name, c in told.items()]))
+        # what the parts of an item tell together: a row for each frequent item, FREQUENT at most
+        parts = lists.where("part > 0").groupBy("gram", "part").agg(*[F.first(name).alias(name) for name in told])
+        whole = stash(parts.groupBy("gram").agg(F.min("low").alias("low_"), F.max("high").alias("high_"), F.sum("held").alias("held_"), F.max("lead").alias("lead_")))
+        lists = lists.join(F.broadcast(whole), "gram", "left").select("gram", "part", "key", "n", "matches", "met", "root", *[F.coalesce(f"{name}_", name).alias(name) for name in told])
+        return lists.where("low < high").select("gram", "part", "key", "n", "matches", "met", "root", "held", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.matches").alias("lead_matches"), F.col("lead.root").alias("lead_root"))
 
     # met: how many of its prefix items a class shares with any other
     met = stash(met_lists.groupBy("key").agg(F.count("*").cast("int").alias("met")))
@@ -231,7 +243,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         return pairs.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
     def relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "key", "n", "matches", "met", F.coalesce(labels["root"], "key").alias("root"))
+        return lists.join(small_side(labels), F.col("key") == F.col("node"), "left").select("gram", "part", "key", "n", "matches", "met", F.coalesce(labels["root"], "key").alias("root"))
 
     # two rounds of stars save pairs; what they pass over is met below. `met` bounds what a pair can share
     first = stash(stars(lists))
