@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field, replace
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -572,8 +572,15 @@ def walk(command: str, max_depth: int = 8) -> list[tuple]:
     return out
 
 
+#: Commands up to this length are remembered by a worker, as logs repeat them
+SHORT_COMMAND = 512
+_remembered = lru_cache(4096)(walk)
+
+
 def _walk(command):
-    return None if command is None else walk(command)
+    if command is None:
+        return None
+    return _remembered(command) if len(command) <= SHORT_COMMAND else walk(command)
 
 
 @cache
