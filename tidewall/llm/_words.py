@@ -72,9 +72,9 @@ def text_slices(ids: list, texts: pa.Array, limit: int = PIECE) -> Iterator[tupl
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte bounds of all words, and each text's first word with the count at the end."""
-    word = ~IS_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte bounds of all words, and each text's first word with the count at the end. space: the bytes between words."""
+    word = ~space[data]
     full = offsets[:-1][np.diff(offsets) > 0]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.llm import decontaminate, jaccard, langid, mixing, packing, secrets, sharding, sql, substrings, toxicity, vectors
+from tidewall.llm import decontaminate, divergence, jaccard, langid, mixing, negatives, packing, secrets, sharding, sql, substrings, toxicity, urls, vectors
 from tidewall.llm._spark import documents, held_out, stash
 
 
@@ -68,6 +68,23 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = spark.createDataFrame(sql.LISTED, "verdict string, host string, path string")
+    return urls.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
+def op13_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_projection_forest": op1_projection_forest,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -79,10 +96,16 @@ QUERIES = {
     "op8_relative_lz_dedup": op8_relative_lz_dedup,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
+    "op11_blocked_bloom_urls": op11_blocked_bloom_urls,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_dual_tree_negatives": op13_dual_tree_negatives,
 }
 
 ORACLE_SQL = {
     "op4_ngram_jaccard": sql.OP4,
     "op8_relative_lz_dedup": sql.OP8,
     "op9_secret_ledger": sql.OP9,
+    "op11_blocked_bloom_urls": sql.OP11,
+    "op12_source_divergence": sql.OP12,
+    "op13_dual_tree_negatives": sql.OP13,
 }
