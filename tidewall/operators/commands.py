@@ -1,55 +1,33 @@
-"""Command verdicts: parse once, judge every reachable pipeline by Columns, keep the first denial. No shuffle."""
+"""Command verdicts: every script that a command reaches is lexed and judged once, and the first denial decides."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewall.config import Policy
-from tidewall.functions import let
-from tidewall.functions.shell import pipelines
-from tidewall.operators.policies import POLICIES
+from tidewall.functions.shell import STAGE
+from tidewall.operators.scripts import TOO_DEEP, UNPARSABLE, Scripts, script_id
+from tidewall.scratch import small, written
 
-
-def fired(stages: Column, policy: Policy, only: set[int] | None = None) -> Column:
-    """Struct ordinal, policy, reason of the first policy that holds; null: none."""
-    out = None
-    for ordinal, name, test, reason in POLICIES:
-        if only is None or ordinal in only:
-            hit = F.struct(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("policy"), F.lit(reason).alias("reason"))
-            cond = F.coalesce(test(stages, policy), F.lit(False))
-            out = F.when(cond, hit) if out is None else out.when(cond, hit)
-    return out
-
-
-def judge(reached: Column, policy: Policy = Policy(), only: set[int] | None = None) -> Column:  # noqa: B008
-    """Struct key, policy, reason, depth, origin of the first denial among all pipelines of a command; null: allowed."""
-
-    def denial(p: Column, hit: Column) -> Column:
-        where = [p["depth"].alias("depth"), p["origin"].alias("origin")]
-        return F.when(
-            hit.isNotNull(),
-            F.struct(F.concat(p["key"], F.array(hit["ordinal"])).alias("key"), hit["policy"].alias("policy"), hit["reason"].alias("reason"), *where),
-        )
-
-    def one(p: Column) -> Column:
-        bad = F.struct(F.lit(-1).alias("ordinal"), F.lit("malformed").alias("policy"), p["malformed"].alias("reason"))
-        return let(F.when(p["malformed"].isNotNull(), bad).otherwise(fired(p["stages"], policy, only)), lambda hit: denial(p, hit))
-
-    return F.array_min(F.filter(F.transform(reached, one), lambda x: x.isNotNull()))
+RESULTS = ("verdict", "policy", "reason", "depth", "origin")
 
 
 def classify(df: DataFrame, command: str = "command", policy: Policy = Policy(), only: set[int] | None = None) -> DataFrame:  # noqa: B008
-    """df with verdict, policy, reason, depth, origin. Blank and null commands are allowed."""
-    # the parse is a projection of its own, so that it runs once for each row
-    parsed = df.withColumn("_reached", pipelines(F.col(command)))
-    judged = parsed.withColumn("_denial", judge(F.col("_reached"), policy, only))
-    blank = F.coalesce(F.trim(F.col(command)) == "", F.lit(True))
-    d = F.when(~blank, F.col("_denial"))
-    return judged.select(
-        *[c for c in df.columns if c not in ("verdict", "policy", "reason", "depth", "origin")],
-        F.when(d.isNull(), "allow").otherwise("deny").alias("verdict"), d["policy"].alias("policy"), d["reason"].alias("reason"), d["depth"].alias("depth"), d["origin"].alias("origin"),
-    )
+    """df with verdict, policy, reason, depth, origin. Blank and null commands are allowed.
+
+    Distinct commands are judged, and only denials are joined back: by a broadcast while they were counted and are few. df itself is
+    read twice and otherwise only passed through. On streams it is called for each micro-batch (streaming/flows.py).
+    """
+    if df.isStreaming:
+        raise ValueError("judge a stream by micro-batches: flows.judge_commands")
+    kept = [c for c in df.columns if c not in RESULTS]
+    used = F.when(F.trim(F.col(command)) != "", F.col(command))
+    texts = written(df.select(used.alias("text")).where("text is not null").distinct())
+    denials = small(written(Scripts(texts, policy).denials(texts.select(script_id(F.col("text")).alias("root")), only)))
+    judged = df.select(*kept, script_id(used).alias("_script")).join(denials, F.col("_script") == F.col("root"), "left")
+    d = F.col("denial")
+    return judged.select(*kept, F.when(d.isNull(), "allow").otherwise("deny").alias("verdict"), *[d[c].alias(c) for c in RESULTS[1:]])
 
 
 def explain(df: DataFrame, dialect: str = "shell", code: str = "code", policy: Policy = Policy()) -> DataFrame:  # noqa: B008
@@ -62,6 +40,20 @@ def explain(df: DataFrame, dialect: str = "shell", code: str = "code", policy: P
     return out.withColumn("json", line).withColumn("exit", F.when(blank, 1).when(F.col("verdict") == "deny", 2).otherwise(0))
 
 
-def script_rows(df: DataFrame, key: str, command: str = "command") -> DataFrame:
-    """One row for each pipeline that a command reaches: the queryable form of parsed commands."""
-    return df.select(key, F.explode_outer(pipelines(F.col(command))).alias("p")).select(key, "p.*")
+def script_rows(df: DataFrame, key: str, command: str = "command", policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+    """key, place, depth, origin, malformed, stages: one row for each pipeline that a command reaches, the queryable form of parsed commands.
+
+    place sorts like the order in which pipelines are judged. A row of df whose command reaches none has nulls. The column of df is named `key`.
+    """
+    texts = written(df.select(F.col(command).alias("text")).where("text is not null").distinct())
+    found = Scripts(texts, policy)
+    at = found.places(texts.select(script_id(F.col("text")).alias("root"))).join(found.scripts, "sid", "left")
+    bad = F.coalesce("reason", F.when(~F.col("readable") & (F.col("origin") != "stdin"), UNPARSABLE))
+    none = F.array().cast(f"array<array<{STAGE}>>")
+    at = at.select("root", F.col("key").alias("place"), "depth", "origin", bad.alias("malformed"), F.when(bad.isNull(), F.coalesce("pipelines", none)).otherwise(F.array(F.array().cast(f"array<{STAGE}>"))).alias("pipelines"))
+    rows = at.select("root", "place", "depth", "origin", "malformed", F.posexplode("pipelines").alias("p", "stages"))
+    rows = rows.withColumn("place", F.when(F.col("malformed").isNull(), F.concat("place", F.array(F.lit(0), "p"))).otherwise(F.col("place"))).drop("p")
+    return df.select(F.col(key), script_id(F.col(command)).alias("root")).join(rows, "root", "left").drop("root")
+
+
+__all__ = ["TOO_DEEP", "UNPARSABLE", "classify", "explain", "script_rows"]

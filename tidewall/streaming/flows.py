@@ -13,9 +13,14 @@ from tidewall.operators.commands import classify
 from tidewall.sources import audit
 
 
-def command_verdicts(stream: DataFrame, command: str = "command", policy: Policy = Policy()) -> DataFrame:  # noqa: B008
-    """Stateless: each micro-batch is judged like a table."""
-    return classify(stream, command, policy)
+def judge_commands(stream: DataFrame, out: str, checkpoint: str, command: str = "command", policy: Policy = Policy()) -> StreamingQuery:  # noqa: B008
+    """Verdicts of a stream of commands as Parquet below `out`. Each micro-batch is judged like a table, its distinct commands once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces its own files
+        classify(batch, command, policy).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def redacted_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
