@@ -308,6 +308,7 @@ class Index:
             depth = min(DEPTH, max(0, math.ceil(math.log2(count / CELL))), max(0, int(math.log2(max(1, len(sample)) / 4))))
             trees[dim] = Balls(whole_parts(sample, dim), CELL, depth)
         known = spark.sparkContext.broadcast(trees)
+        rows = rows.select("dim", "id", "label", "vector", "tag")
         routed = stash(rows.mapInArrow(_routed(known), f"dim int, id long, label long, vector {self.kind}, tag long, cell int, far double"))
         room = F.greatest(F.lit(1), F.floor(ROWS / F.greatest("dim", F.lit(1))))
         cells = stash(routed.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / room).cast("int").alias("blocks")))
