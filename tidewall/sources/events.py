@@ -14,8 +14,11 @@ PAYLOAD = "tool_name string, tool_input string, tool_response string, session_id
 
 
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    """One event for each line, as bytes in `raw`."""
-    return spark.read.text(path).select(F.encode("value", "UTF-8").alias("raw"))
+    """One event for each line, as the file's bytes in `raw`: what is no UTF-8 must reach its denial.
+
+    The format tidewall_lines (tables.py) reads the same and cuts lines at a cap while it reads; it also streams.
+    """
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("raw"))
 
 
 def decode_events(df: DataFrame, raw: str = "raw", policy: Policy = Policy()) -> DataFrame:  # noqa: B008
