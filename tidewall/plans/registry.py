@@ -6,9 +6,9 @@ from tidewall.plans.common import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from tidewall.plans import command_queries, policy_queries, text_queries
+    from tidewall.plans import command_queries, flow_queries, policy_queries, text_queries
 
-    return text_queries.QUERIES | policy_queries.QUERIES | command_queries.QUERIES
+    return text_queries.QUERIES | policy_queries.QUERIES | command_queries.QUERIES | flow_queries.QUERIES
 
 
 def queries():

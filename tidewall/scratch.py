@@ -50,8 +50,13 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _write(df: DataFrame) -> str:
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     with settings(df.sparkSession, spark_sql_adaptive_coalescePartitions_minPartitionSize=PART_BYTES, spark_sql_files_openCostInBytes=PART_BYTES):
         df.write.parquet(path)
     return path
