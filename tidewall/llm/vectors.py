@@ -10,12 +10,13 @@ is indexed in every tree.
 Rows are compared within leaves by their cosines in double precision. Only pairs at or above the threshold
 are links. A pair that meets in several leaves counts in the smallest of them, which both rows' leaf lists
 tell, so that sums of links need no list of pairs. A leaf sends a count for each of its rows, and for the
-components one link to each row from its smallest alike row. A leaf with more than BLOCK rows is dealt to
+components one pair for each row, with the smallest row that it reaches along links in the leaf. A leaf with more than BLOCK rows is dealt to
 tasks in pairs of blocks, whatever its size.
 
 Equal vectors are one class, compared once. Null and zero vectors and those with null or non-finite
 components link with nothing. Vectors of different lengths never link. Rows with a null id are left out of
-links. Repeated rows (of one id) are members of their class like other copies.
+links. Repeated rows (of one id) are members of their class like other copies; rows that share an id and have different vectors
+are members each of their own vector's class. Columns other than vec_id and embedding are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from tidewall.llm._spark import arrow_rows, small_side, stash
 TREES, LEAF, BLOCK = 6, 400, 1500
 SAMPLE, NODE = 20_000, 16
 MARGIN = 0.5
+#: Names of classes whose smallest id is not theirs alone begin here; ids stay below
+OWN_NAMES = 1 << 62
 
 
 class Forest:
@@ -120,11 +123,23 @@ def _first_shared(lists: list[np.ndarray], leaf: int) -> np.ndarray:
     return member @ member.T > 0
 
 
+def _lowest_reached(hit: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The smallest key that each row reaches along links; to its smallest neighbour alone a row could lose touch with the others."""
+    low = keys
+    while len(keys):
+        new = np.minimum(low, np.where(hit, low[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (new == low).all():
+            break
+        # and on from there at once, as far as it has come
+        low = np.minimum(new, new[np.searchsorted(keys, new)]) if (keys[:-1] < keys[1:]).all() else new
+    return low
+
+
 def _compared(alike: float):
-    """The rows of one pair of blocks of a leaf -> key, links that are first met here, its smallest alike row."""
+    """The rows of one pair of blocks of a leaf -> key, links that are first met here, the smallest key that it reaches here."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        table = table.sort_by("key").combine_chunks()
         leaf, dim = table["leaf"][0].as_py(), table["dim"][0].as_py()
         one, two = table["one"][0].as_py(), table["two"][0].as_py()
         unit = _matrix(table["vector"].combine_chunks(), dim)
@@ -141,16 +156,16 @@ def _compared(alike: float):
         hit, keys, copies = hit[np.ix_(some, some)], keys[some], copies[some]
         lists = [np.asarray(x) for x in table["leaves"].take(pa.array(some)).to_pylist()]
         new = hit & ~_first_shared(lists, leaf)
-        low = np.where(hit, keys[None, :], np.iinfo(np.int64).max).min(axis=1) if len(some) else keys
+        low = _lowest_reached(hit, keys)
         return pa.table({"key": keys, "links": (new @ copies.astype(np.int64)).astype(np.int64), "low": low})
 
     return run
 
 
 def near_vectors(rows: DataFrame, alike: float = 0.9, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """rows (vec_id, embedding) -> (links of every row: vec_id, n_links, component_id; links between classes: a, b).
+    """rows (vec_id, embedding) -> (links of every row: vec_id, n_links, component_id; pairs of classes that reach each other: a, b).
 
-    The second table has a spanning set of the links found: classes are named by their smallest vec_id.
+    The pairs hold all components together. Classes are named by their smallest vec_id, where no other class has it.
     """
     spark = rows.sparkSession
     arrow_rows(spark, 4000)
@@ -158,9 +173,13 @@ def near_vectors(rows: DataFrame, alike: float = 0.9, trees: int = TREES) -> tup
     valid = rows.where(F.col("vec_id").isNotNull() & F.coalesce(_valid(F.col("vector")), F.lit(False)))
     name = F.unhex(F.md5(F.array_join(F.col("vector").cast("array<string>"), ",")))
     named = stash(valid.select("vec_id", name.alias("name")))
-    classes = named.groupBy("name").agg(F.min("vec_id").alias("key"), F.count("*").alias("copies"))
+    classes = stash(named.groupBy("name").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")))
+    # a class is a node named by its smallest id; classes that share one get names of their own, above all ids
+    shared = stash(classes.groupBy("low").count().where("count > 1").select("low", F.lit(True).alias("odd")))
+    own = F.shiftrightunsigned(F.xxhash64("name"), 2) + F.lit(OWN_NAMES)
+    classes = classes.join(small_side(shared), "low", "left").select("name", "low", "copies", F.when(F.col("odd"), own).otherwise(F.col("low")).alias("key"))
     classes = stash(classes)
-    firsts = valid.select(F.col("vec_id").alias("key"), "vector").dropDuplicates(["key"]).join(classes.select("key", "copies"), "key")
+    firsts = valid.select(name.alias("name"), F.col("vec_id").alias("low"), "vector").join(classes, ["name", "low"]).dropDuplicates(["key"])
     firsts = stash(firsts.select("key", "vector", F.size("vector").alias("dim"), "copies"))
     forests = {}
     for dim, count in firsts.groupBy("dim").count().collect():
@@ -178,7 +197,10 @@ def near_vectors(rows: DataFrame, alike: float = 0.9, trees: int = TREES) -> tup
     labels = components(links)
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     of_class = classes.join(counts, "key", "left").join(labels, F.col("key") == F.col("node"), "left")
-    of_class = stash(of_class.select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("component_id")))
+    of_class = of_class.select("name", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
+    of_class = stash(of_class)
+    roots = small_side(stash(of_class.groupBy("root").agg(F.min("low").alias("component_id"))))
+    of_class = stash(of_class.join(roots, "root").select("name", "n_links", "component_id"))
     out = named.join(small_side(of_class), "name").select("vec_id", "n_links", "component_id")
     rest = rows.where(~(F.col("vec_id").isNotNull() & F.coalesce(_valid(F.col("vector")), F.lit(False))))
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
