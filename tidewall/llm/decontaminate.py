@@ -8,14 +8,17 @@ item lie on each other. Around each hit the two are compared word by word at tha
 if some `least_words` aligned words (the whole item, if it is shorter) hold at least `percent` equal ones.
 
 Words are lower-cased runs of letters and digits; in scripts without spaces each letter with its marks is a word. Null
-and empty texts have none. An item of fewer words than SPAN has one seed, its whole sequence of words, which is joined
-with equally long runs of every document: it is a leak where it stands unchanged. Documents and items with a null id
+and empty texts have none. An item of fewer words than SPAN has masks of its own over all its words, joined with equally long runs
+of every document: whatever substitutions the rule allows (1 of 4 to 7 words, 2 of 8 to 10, none of fewer), one mask misses them.
+Texts of any length are read whole. Documents and items with a null id
 are not reported. Repeated rows of a document or an item give one row; so do different texts under one id, with the
 best of their matches. Other columns are ignored, whatever their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +51,26 @@ def seeds(rows: DataFrame, keep: str) -> DataFrame:
     return placed.select(keep, "at", F.explode(F.array(*hashed)).alias("seed")).where("seed is not null")
 
 
-def runs(rows: DataFrame, keep: str, lengths: list[int]) -> DataFrame:
-    """rows (keep, words) -> keep, at, n, seed: every run of n words, for each of the lengths."""
+def short_masks(n: int, percent: int) -> list[str]:
+    """Masks over a whole item of n words, one of which misses all substitutions that percent allows, wherever they are.
+
+    The places fall into two more blocks than there may be substitutions; each mask ignores as many blocks as there may be.
+    """
+    wrong = n - -(-n * percent // 100)
+    blocks = [k * (wrong + 2) // n for k in range(n)]
+    return ["".join("0" if b in gone else "1" for b in blocks) for gone in combinations(range(wrong + 2), wrong)]
+
+
+def runs(rows: DataFrame, keep: str, lengths: list[int], percent: int) -> DataFrame:
+    """rows (keep, words) -> keep, at, n, seed: every short mask at every run of n words, for each of the lengths."""
     ahead = [F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in range(max(lengths))]
     placed = rows.select(keep, F.posexplode(F.arrays_zip(*ahead)).alias("at", "w"))
     # what lies beyond the end is null
-    hashed = [F.when(F.col(f"w.w{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.col(f"w.w{k}") for k in range(n)]).alias("seed"))) for n in lengths]
+    hashed = []
+    for n in lengths:
+        for m, mask in enumerate(short_masks(n, percent)):
+            seed = F.xxhash64(F.lit(m), *[F.col(f"w.w{k}") for k, c in enumerate(mask) if c == "1"])
+            hashed.append(F.when(F.col(f"w.w{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), seed.alias("seed"))))
     return placed.select(keep, "at", F.explode(F.array(*hashed)).alias("run")).where("run is not null").select(keep, "at", "run.n", "run.seed")
 
 
@@ -73,9 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent:
     lengths = sorted(r["size"] for r in short.select("size").distinct().collect())
     if lengths:
         whole = short.select(F.struct("item_id", "size").alias("of"), "words")
-        wanted = stash(runs(whole, "of", lengths).where("n = of.size").select("of.item_id", "n", "seed").distinct())
-        # the first place in a document is as good as any other
-        found = runs(of_words, "doc_id", lengths).join(small_side(wanted), ["n", "seed"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("shift"))
+        wanted = stash(runs(whole, "of", lengths, percent).where("n = of.size").select("of.item_id", "n", "seed").distinct())
+        found = runs(of_words, "doc_id", lengths, percent).join(small_side(wanted), ["n", "seed"]).select("doc_id", "item_id", F.col("at").alias("shift"))
         hits = hits.union(found).distinct()
     hits = stash(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")))
     near = texts.join(small_side(hits, 200_000), "doc_id").select("doc_id", words(F.col("text")).alias("doc"), "hits")
