@@ -6,9 +6,11 @@ exact bytes in 256 equal key ranges around every splitter that is not settled ye
 range edge as soon as that edge is within the tolerance of its byte target. A text that a large part of the
 rows repeats has one text hash, so its rounds go on in the id hash. Only (splitters x 256) sums reach the driver.
 
-Null texts have size 16 and the CRC of the empty text; null ids and repeated rows are placed like any other. Rows
-without an id that share one text can't be told apart, so no splitter cuts through them. An empty table gives an
-empty table. Other columns are carried only by write_shards, where their names must differ from PLACED.
+Null texts have size 16 and the CRC of the empty text. Rows that share id and text (repeated rows, rows without an id) are
+numbered, and the number goes into their id hash, so a splitter can cut through any number of them. They are numbered by
+the tasks that read them, each from where the tasks before it end, so that no task holds a group; as such rows are equal in all that
+is returned, the result doesn't depend on who numbers which. An empty table gives an empty table. Texts of any length count with
+all their bytes. Other columns are carried only by write_shards, where their names must differ from PLACED.
 """
 
 from __future__ import annotations
@@ -92,6 +94,26 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> Dat
     )
 
 
+def _repeated(keys: DataFrame) -> DataFrame:
+    """k1, k2 of the rows that can't be told apart."""
+    return stash(keys.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+
+
+def _numbered(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows with a k2 of its own for each of the rows that share (k1, k2)."""
+    if twice.isEmpty():
+        return rows
+    side = small_side(twice)
+    again = stash(rows.join(side, ["k1", "k2"], "left_semi").select(*rows.columns, F.spark_partition_id().alias("_task")))
+    parts = again.groupBy("k1", "k2", "_task").count()
+    before = (F.sum("count").over(Window.partitionBy("k1", "k2").orderBy("_task")) - F.col("count")).alias("_before")
+    parts = stash(parts.select("k1", "k2", "_task", before))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2", "_task").orderBy("size"))
+    told = again.join(small_side(parts), ["k1", "k2", "_task"]).withColumn("_n", F.col("_before") + nth)
+    told = told.withColumn("k2", F.when(F.col("_n") == 1, F.col("k2")).otherwise(F.xxhash64("k2", "_n")))
+    return rows.join(side, ["k1", "k2"], "left_anti").select(*rows.columns).unionByName(told.select(*rows.columns))
+
+
 def _placed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float) -> DataFrame:
     """rows with shard and slot. keys: the table whose bytes the splitters count.
 
@@ -108,7 +130,7 @@ def _placed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float) ->
             shard = shard + above.cast("int")
 
     def put(df):
-        return df.withColumn("shard", shard.cast("int")).withColumn("slice", F.pmod("k2", F.lit(slices)).cast("int"))
+        return df.withColumn("shard", shard.cast("int")).withColumn("slice", F.pmod(F.xxhash64("k1", "k2"), F.lit(slices)).cast("int"))
 
     counts = put(keys).groupBy("shard", "slice").count()
     before = stash(counts.select("shard", "slice", (F.sum("count").over(Window.partitionBy("shard").orderBy("slice")) - F.col("count")).alias("before")))
@@ -119,16 +141,20 @@ def _placed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float) ->
 def shard_plan(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Place every row: doc_id, size, text_crc32, shard, slot."""
     keys = stash(_keyed(docs, id_col, text_col))
+    twice = _repeated(keys)
+    keys = keys if twice.isEmpty() else stash(_numbered(keys, twice))
     return _placed(keys, keys, shards, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the rows of docs, with their slots, as one folder for each shard.
 
-    The splitters are found from keys alone; then whole rows go through one exchange, by shard and slice. Each slice
-    is written in slot order by one task.
+    The splitters are found from keys alone; then whole rows go through one exchange, by shard and slice (those that
+    can't be told apart are written once before). Each slice is written in slot order by one task.
     """
     keys = stash(_keyed(docs, id_col, text_col).select("size", "k1", "k2"))
-    rows = _keyed(docs, id_col, text_col, F.struct("*").alias("row"))
+    twice = _repeated(keys)
+    keys = keys if twice.isEmpty() else stash(_numbered(keys, twice))
+    rows = _numbered(_keyed(docs, id_col, text_col, F.struct("*").alias("row")), twice)
     placed = _placed(rows, keys, shards, tolerance)
     placed.select("shard", "slot", "row.*").write.partitionBy("shard").parquet(path)
