@@ -4,7 +4,8 @@ Each stage takes the documents that its predecessor kept and decides by one oper
 other columns than those of documents. Operators name documents by id; rows without an id, and ids that several rows
 have, get ids of their own from their text for that (larger than any other, so that named documents win). So of
 identical rows one stays, and rows that share an id are judged each by its own text. Null and empty texts have no
-language and are dropped by the first stage. An empty table gives no rows.
+language and are dropped by the first stage. An empty table gives no rows. Texts of any length are judged whole. Further
+columns of documents stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewall.llm import decontaminate, jaccard, langid, packing, secrets
-from tidewall.llm._spark import held_out, small_side, stash
+from tidewall.llm._spark import held_out, small_side, stash, unstash
 from tidewall.llm.queries import tokenizer_path
 
 #: Texts whose best cosine is under this resemble no language
@@ -34,43 +35,54 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 OWN_IDS = 1 << 62
 
 
-def with_row_ids(docs: DataFrame, once: bool = False) -> DataFrame:
-    """docs with _row: the id, or for rows that don't have one for themselves an id made from id and text. once: of identical rows only one."""
+def unused(docs: DataFrame, name: str) -> str:
+    """name, made longer until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_row_ids(docs: DataFrame, row: str, once: bool = False) -> DataFrame:
+    """docs with a column `row`: the id, or for rows that don't have one for themselves an id made from id and text. once: of identical rows only one."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    ids = stash(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_odd")))
-    own = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    id_, odd_ = unused(docs, "odd_id"), unused(docs, "odd")
+    ids = stash(ids.select(F.col("doc_id").alias(id_), F.lit(True).alias(odd_)))
+    own = docs.withColumn(row, F.col("doc_id").cast("long"))
     if ids.isEmpty():
         return own
-    marked = own.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    marked = own.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
     made = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(OWN_IDS)
-    odd = marked.where("_odd").withColumn("_row", made)
-    return marked.where("_odd is null").unionByName(odd.dropDuplicates(["_row"]) if once else odd).drop("_odd")
+    odd = marked.where(odd_).withColumn(row, made)
+    return marked.where(F.col(odd_).isNull()).unionByName(odd.dropDuplicates([row]) if once else odd).drop(odd_)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of every component of linked documents, and one of identical rows."""
-    rows = with_row_ids(docs, once=True)
-    classes = jaccard.jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
-    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(small_side(stash(dropped)), "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row_id")
+    rows = with_row_ids(docs, row, once=True)
+    classes = jaccard.jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"))
+    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(small_side(stash(dropped)), row, "left_anti").select(*docs.columns)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    rows = with_row_ids(docs)
-    found = decontaminate.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = found.select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(small_side(stash(leaked)), "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row_id")
+    rows = with_row_ids(docs, row)
+    found = decontaminate.leaks(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaked = found.select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(small_side(stash(leaked)), row, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in a text; n_chars follows the new text. Keeps all documents."""
     findings, _ = secrets.scan_documents(docs)
-    found = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    marked = docs.withColumn("_blob", blob).join(small_side(stash(found.withColumnRenamed("blob", "_blob")), 100_000), "_blob", "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    chars = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    blob_, spans_ = unused(docs, "blob_id"), unused(docs, "blob_spans")
+    found = findings.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob_)).agg(F.first("spans").alias(spans_))
+    marked = docs.withColumn(blob_, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(small_side(stash(found), 100_000), blob_, "left")
+    text = F.when(F.col(spans_).isNotNull(), secrets.redact(F.col("text"), F.col(spans_))).otherwise(F.col("text"))
+    chars = F.when(F.col(spans_).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return marked.withColumn("text", text).withColumn("n_chars", chars).select(*docs.columns)
 
 
@@ -89,7 +101,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir))
+        if before is not None:
+            unstash(before)  # what a stage left goes when the next one has read it
+        before = docs
     return docs
