@@ -2,54 +2,23 @@
 
 from __future__ import annotations
 
-import json
 import re
-from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewall.functions import jsontext
 from tidewall.functions import text as T
 
 SCHEMA = (
     "ts string, event string, tool string, session string, cwd string, input string, path string, findings array<string>, "
     "dialect string, decision string, body_sha256 string, reason string, detail string, exit int"
 )
-_ANSI = re.compile(T.ANSI)
-
-
-def _clean(value, cap: int):
-    if isinstance(value, str):
-        value = _ANSI.sub("", value)
-        raw = value.encode()
-        if len(raw) > cap:
-            kept = raw[:cap].decode(errors="ignore")
-            return f"{kept}...[truncated {len(raw) - len(kept.encode())} bytes]"
-        return value
-    if isinstance(value, dict):
-        return {_clean(k, cap): _clean(v, cap) for k, v in value.items()}
-    return [_clean(v, cap) for v in value] if isinstance(value, list) else value
-
-
-def _cleaned(rows: pd.Series) -> pd.Series:
-    def one(raw):
-        try:
-            return json.dumps(_clean(json.loads(raw), 4000), ensure_ascii=False)
-        except (TypeError, ValueError, RecursionError):
-            return None
-
-    return rows.map(one)
-
-
-@cache
-def _sanitize():
-    return F.pandas_udf(_cleaned, "string")
 
 
 def sanitize_json(raw: Column) -> Column:
-    """JSON text whose strings and keys have no terminal escapes and at most 4000 bytes."""
-    return _sanitize()(raw)
+    """JSON text whose strings and keys have no terminal escapes and at most 4000 bytes; null for what is no JSON."""
+    return jsontext.with_strings(raw, T.sanitize_field)
 
 
 def _nulls(df: DataFrame, **columns: Column) -> DataFrame:
