@@ -69,7 +69,8 @@ def _normalized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @cache
 def _nfkc():
-    return F.pandas_udf(_normalized, "string")
+    # marked so that plans keep it in one place: a filter on what comes of it would else copy it, with its input
+    return F.pandas_udf(_normalized, "string").asNondeterministic()
 
 
 def nfkc(x: Column) -> Column:
