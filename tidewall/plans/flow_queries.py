@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewall import sqlfunctions
 from tidewall.config import Policy
-from tidewall.operators import rule_tables
+from tidewall.operators import needles, rule_tables
 from tidewall.plans.common import Parts, Query, table
-from tidewall.plans.rules import BAD_SCRIPT, NUMBER, SCRIPT, URL
+from tidewall.plans.rules import BAD_SCRIPT, NUMBER, RULES, SCRIPT, URL
 from tidewall.scratch import new_folder
-from tidewall.sources import audit, events, tables
-from tidewall.streaming import lines
+from tidewall.sources import audit, events, sketches, tables
+from tidewall.streaming import lines, reports
 
 # lines of a file, some with a byte that is no text
 
@@ -170,6 +171,95 @@ UNION ALL SELECT start, target, hops + 1, list_append(seen, target), CASE WHEN t
 SELECT CAST(split_part(start, '/', 4) AS BIGINT) AS page_id, arg_max(now_at, hops) AS final_url, max(hops)::INTEGER AS hops, max(reason) AS reason FROM walk GROUP BY start"""
 
 
+# the first policy and two kernels in SQL text
+
+
+def sql_text_stages(spark, d):
+    """Downloads that are piped to a shell, over the stages that a table function gives."""
+    options, template, _ = RULES[0]
+    sqlfunctions.register(spark)
+    commands = Parts("events", NUMBER, options).rows(spark, d, command=template).select("event_id", "command")
+    return spark.sql(
+        """WITH stages AS (SELECT c.event_id, s.* FROM {commands} c, LATERAL parse_shell(c.command) s),
+        bad AS (SELECT DISTINCT a.event_id FROM stages a JOIN stages b USING (event_id, pipeline) WHERE a.name IN ('curl', 'wget') AND b.stage > a.stage
+          AND b.name IN ('bash', 'sh', 'zsh', 'dash', 'ksh', 'ash', 'fish', 'tcsh', 'csh', 'source', '.', 'eval'))
+        SELECT c.event_id, CASE WHEN b.event_id IS NULL THEN 'allow' ELSE 'deny' END AS verdict, whatwg_url(nfkc(concat('https://h', c.event_id, '.ｅxample/'))).host AS host
+        FROM {commands} c LEFT JOIN bad b ON c.event_id = b.event_id""",
+        commands=commands,
+    )
+
+
+SQL_TEXT_STAGES = f"SELECT event_id, CASE WHEN {RULES[0][2]} THEN 'deny' ELSE 'allow' END AS verdict, 'h' || event_id || '.example' AS host FROM {Parts('events', NUMBER, RULES[0][0]).sql()}"
+
+# openings of conversations as needles, in another case
+
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def needle_hits(spark, d):
+    c = table(spark, d, "conversations")
+    some = c.where("turn = 0").select(F.translate(F.substring("text", 1, 9), SMALL, CAPITALS).alias("needle"))
+    hits = needles.needle_hits(c, some)
+    return hits.select("conv_id", "turn", F.explode("hits").alias("h")).select("conv_id", "turn", "h.needle", "h.first")
+
+
+NEEDLE_HITS = f"""WITH needles AS (SELECT DISTINCT translate(substr(text, 1, 9), '{SMALL}', '{CAPITALS}') AS needle FROM conversations WHERE turn = 0),
+found AS (SELECT conv_id, turn, needle, strpos(translate(text, '{SMALL}', '{CAPITALS}'), needle) AS place FROM conversations, needles WHERE needle <> '')
+SELECT conv_id, turn, needle, CAST(place - 1 AS INTEGER) AS first FROM found WHERE place > 0"""
+
+# reports by event time over whole tables
+
+_JUDGED = "CASE WHEN user_id % 4 = event_id % 4 THEN 'deny' ELSE 'allow' END"
+
+
+def session_report(spark, d):
+    e = table(spark, d, "events").selectExpr("user_id", "ts", f"{_JUDGED} as verdict", "event_type as policy")
+    out = reports.sessions(e, "user_id", gap="6 hours")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select("user", stamp("start"), stamp("end"), "n", "denials", F.array_join("policies", ",").alias("policies"))
+
+
+SESSION_REPORT = f"""WITH marked AS (SELECT *, {_JUDGED} AS verdict, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true)::INTEGER AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM marked)
+SELECT user_id AS "user", strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n, count(*) FILTER (verdict = 'deny') AS denials,
+coalesce(string_agg(DISTINCT CASE WHEN verdict = 'deny' THEN event_type END, ',' ORDER BY CASE WHEN verdict = 'deny' THEN event_type END), '') AS policies FROM numbered GROUP BY user_id, nth"""
+
+
+def advised_denials(spark, d):
+    e = table(spark, d, "events").withColumn("session", F.col("user_id").cast("string"))
+    verdicts = e.selectExpr("session", "ts", f"{_JUDGED} as verdict", "event_type as policy")
+    advice = e.where("event_id % 3 = 0").selectExpr("session", "ts", "props as event")
+    out = reports.denials_after_advisories(verdicts, advice, within="2 days")
+    return out.groupBy("session", "policy").agg(F.count("*").alias("n"), F.countDistinct("event").alias("events"), F.date_format(F.min("denied_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"))
+
+
+ADVISED_DENIALS = f"""WITH v AS (SELECT CAST(user_id AS VARCHAR) AS session, ts, event_type AS policy FROM events WHERE {_JUDGED} = 'deny'),
+a AS (SELECT CAST(user_id AS VARCHAR) AS session, ts, props AS event FROM events WHERE event_id % 3 = 0)
+SELECT session, policy, count(*) AS n, count(DISTINCT event) AS events, strftime(min(v.ts), '%Y-%m-%d %H:%M:%S.%f') AS first FROM a JOIN v USING (session)
+WHERE v.ts >= a.ts AND v.ts <= a.ts + INTERVAL 2 DAY GROUP BY session, policy"""
+
+# stored daily sketches, merged, against what is exact
+
+
+def audit_sketches(spark, d):
+    """Whether the merged sketches of all stored months keep their stated errors, by decision."""
+    path, o = new_folder(spark), table(spark, d, "orders")
+    c = F.col
+    days = sketches.daily(o, F.trunc("o_orderdate", "month"), c("o_orderstatus"), c("o_custkey"), c("o_totalprice"), c("o_orderpriority"))
+    sketches.append_days(days, path)
+    found = sketches.report(sketches.merged(spark.read.parquet(path), "grp"), "grp").withColumnRenamed("n", "merged_n")
+    exact = o.groupBy(c("o_orderstatus").alias("grp")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("items"))
+    ranks = o.join(found.select(c("grp").alias("o_orderstatus"), "p50", "p90", "p99"), "o_orderstatus").groupBy(c("o_orderstatus").alias("grp"))
+    ranks = ranks.agg(*[F.avg((c("o_totalprice") <= c(p)).cast("int")).alias(f"rank_{p}") for p in ("p50", "p90", "p99")])
+    near = [(F.abs(c(f"rank_{p}") - q) < 0.03).alias(f"{p}_near") for p, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]
+    joined = found.withColumnRenamed("items", "guess").join(exact, "grp").join(ranks, "grp")
+    return joined.select("grp", (c("merged_n") == c("n")).alias("whole"), "n", (F.abs(c("guess") / c("items") - 1) < 0.06).alias("items_near"), *near, F.array_join(F.transform("top", lambda t: F.concat(t["key"], F.lit(":"), t["n"])), ",").alias("top"))
+
+
+AUDIT_SKETCHES = """WITH keys AS (SELECT o_orderstatus AS grp, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY ALL)
+SELECT grp, true AS whole, CAST(sum(n) AS BIGINT) AS n, true AS items_near, true AS p50_near, true AS p90_near, true AS p99_near, string_agg(key || ':' || n, ',' ORDER BY n DESC, key) AS top FROM keys GROUP BY grp"""
+
+
 QUERIES: dict[str, Query] = {
     "event_lines": Query(event_lines, EVENT_LINES),
     "line_chunks": Query(line_chunks, LINE_CHUNKS),
@@ -178,5 +268,10 @@ QUERIES: dict[str, Query] = {
     "path_rule_table": Query(path_rule_table, PATH_RULE_TABLE),
     "link_table": Query(link_table, LINK_TABLE),
     "redirect_table": Query(redirect_table, REDIRECT_TABLE),
+    "sql_text_stages": Query(sql_text_stages, SQL_TEXT_STAGES),
+    "needle_hits": Query(needle_hits, NEEDLE_HITS),
+    "session_report": Query(session_report, SESSION_REPORT),
+    "advised_denials": Query(advised_denials, ADVISED_DENIALS),
+    "audit_sketches": Query(audit_sketches, AUDIT_SKETCHES),
 }
 

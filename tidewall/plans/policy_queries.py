@@ -19,7 +19,13 @@ def ipv4_block(spark, d):
 
 
 def _v4_case(ip: str) -> str:
-    return "CASE " + " ".join(f"WHEN {ip} BETWEEN {lo} AND {hi} THEN {text_literal(label)}" for lo, hi, label in net.v4_bounds()) + " END"
+    """The label of an address by its octets, written from the registries and not from the code's table."""
+    one, two, three = f"(({ip}) // 16777216)", f"((({ip}) // 65536) % 256)", f"((({ip}) // 256) % 256)"
+    return f"""CASE WHEN {one} = 0 THEN 'this network' WHEN {one} = 127 THEN 'loopback' WHEN ({ip}) = 4294967295 THEN 'broadcast' WHEN {one} BETWEEN 224 AND 239 THEN 'multicast'
+WHEN {one} = 169 AND {two} = 254 THEN 'link-local' WHEN {one} = 10 THEN 'private 10/8' WHEN {one} = 172 AND {two} BETWEEN 16 AND 31 THEN 'private 172.16/12'
+WHEN {one} = 192 AND {two} = 168 THEN 'private 192.168/16' WHEN {one} = 100 AND {two} BETWEEN 64 AND 127 THEN 'shared by carriers' WHEN {one} = 192 AND {two} = 0 AND {three} = 0 THEN 'protocol assignments'
+WHEN ({one} = 192 AND {two} = 0 AND {three} = 2) OR ({one} = 198 AND {two} = 51 AND {three} = 100) OR ({one} = 203 AND {two} = 0 AND {three} = 113) THEN 'for documentation'
+WHEN {one} = 198 AND {two} IN (18, 19) THEN 'for benchmarks' WHEN {one} = 240 THEN 'reserved' END"""
 
 
 #: An IPv6 address: its first hextets are chosen, the last two are counted
@@ -40,13 +46,13 @@ def ipv6_block(spark, d):
 def _v6_sql() -> str:
     rest = "c = 0 AND f = 0"
     return f"""SELECT o_orderkey, CASE WHEN a = 0 AND b = 0 AND c = 0 AND (f = 65535 OR low > 1) THEN {_v4_case('low')}
-WHEN a = 0 AND b = 0 AND {rest} AND low = 0 THEN 'unspecified (::)' WHEN a = 0 AND b = 0 AND {rest} AND low = 1 THEN 'loopback (::1)'
-WHEN a // 256 = 255 THEN 'multicast (ff00::/8)' WHEN a // 64 = 1018 THEN 'link-local (fe80::/10)' WHEN a // 64 = 1019 THEN 'deprecated site-local (fec0::/10)'
-WHEN a = 64768 AND b = 3778 THEN 'IMDS v6 (fd00:ec2::/64)' WHEN a // 512 = 126 THEN 'unique local (fc00::/7)' WHEN a = 256 AND b = 0 AND c = 0 THEN 'discard-only (100::/64)'
-WHEN a = 8193 AND b = 0 THEN 'Teredo tunneling (2001::/32)' WHEN a = 8194 AND ({_v4_case('b * 65536 + c')}) IS NOT NULL THEN '6to4 tunnel with blocked embedded IPv4 (2002::/16)'
-WHEN a = 8194 THEN '6to4 tunnel (2002::/16)' WHEN a = 100 AND b = 65435 AND {rest} THEN 'NAT64 well-known prefix (64:ff9b::/96)'
-WHEN a = 100 AND b = 65435 AND c = 1 THEN 'NAT64 local-use prefix (64:ff9b:1::/48)' WHEN a = 100 AND b = 65435 THEN 'NAT64-adjacent unassigned (64:ff9b::/32 outside documented NAT64 ranges)'
-WHEN a = 8193 AND b = 3512 THEN 'documentation (2001:db8::/32)' END AS label
+WHEN a = 0 AND b = 0 AND {rest} AND low = 0 THEN 'v6 unspecified' WHEN a = 0 AND b = 0 AND {rest} AND low = 1 THEN 'v6 loopback'
+WHEN a // 256 = 255 THEN 'v6 multicast' WHEN a // 64 = 1018 THEN 'v6 link-local' WHEN a // 64 = 1019 THEN 'v6 site-local'
+WHEN a = 64768 AND b = 3778 THEN 'v6 cloud metadata' WHEN a // 512 = 126 THEN 'v6 private' WHEN a = 256 AND b = 0 AND c = 0 THEN 'v6 discarded'
+WHEN a = 8193 AND b = 0 THEN 'v6 Teredo' WHEN a = 8194 AND ({_v4_case('b * 65536 + c')}) IS NOT NULL THEN '6to4 to a blocked address'
+WHEN a = 8194 THEN '6to4' WHEN a = 100 AND b = 65435 AND {rest} THEN 'NAT64'
+WHEN a = 100 AND b = 65435 AND c = 1 THEN 'NAT64 for local use' WHEN a = 100 AND b = 65435 THEN 'beside NAT64'
+WHEN a = 8193 AND b = 3512 THEN 'v6 for documentation' END AS label
 FROM (SELECT o_orderkey, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(f AS BIGINT) AS f, {V6_LAST.replace("CAST(last", "TRY_CAST(last")} AS low FROM {V6.sql()})"""
 
 
