@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewall.llm import decontaminate, sharding, vectors
+from tidewall.llm import decontaminate, mixing, sharding, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,3 +102,18 @@ def test_columns_named_like_inner_ones_pass_the_stages(spark, tmp_path):
     rows = kept.collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["2", "3", "None"] and all(r[name] == f"my {name}" for r in rows for name in names)
     assert "[secret]" in next(r["text"] for r in rows if r["doc_id"] == 3)
+
+
+def test_scores_do_not_hang_on_partitions(spark):
+    rng = np.random.default_rng(7)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(300)]
+    rows = [(k, k % 5 == 2, " ".join(rng.choice(vocab, int(rng.integers(0, 60))))) for k in range(300)]
+    rows += [(None, False, "one text without an id")] * 60 + [(None, False, None), rows[7], rows[7]]
+    schema, found = "doc_id long, held_out boolean, text string", []
+    for parts in (2, 7):
+        scored = mixing.score_documents(spark.createDataFrame(rows, schema).repartition(parts)).collect()
+        found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in scored))
+    assert len(found[0]) == len(rows) and [x[:3] for x in found[0]] == [x[:3] for x in found[1]]
+    assert np.allclose([x[3] for x in found[0]], [x[3] for x in found[1]], rtol=1e-6, atol=1e-9)
+    # equal texts score alike wherever they are
+    assert np.ptp([x[3] for x in found[0] if x[0] and x[2] > 1]) < 1e-6

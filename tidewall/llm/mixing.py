@@ -13,12 +13,14 @@ its key with another by a chance of under 1 in 4096 at any size. Tasks cut texts
 class) of a chunk is sent once, with its count, to the counting task that owns the context, so that a hot context is at
 most 2**CLASS_BITS requests of a chunk. The counting task sends back how often, in other chunks, every prefix of the
 class followed the context. Weights and refinement are learned on all training texts, each with counts that leave its
-own chunk out (chunks hold texts of one fold of ids, so that a small corpus has several), and summed over tasks in Spark.
+own chunk out (chunks hold texts of one fold of ids, so that a small corpus has several), and summed over chunks in Spark.
+Texts are dealt to chunks by hash and in the order of hashes, and each chunk learns from the same start, so that scores hang on the
+rows alone and not on how they are partitioned, or on which task runs again.
 The counts of the FREQUENT most frequent words are broadcast; those of all others are asked for like contexts, by the
 whole 64-bit hash.
 
 Null and empty texts are one end token. Without training rows all counts are 0. Null ids and repeated rows keep
-their rows.
+their rows. Texts of any length are scored whole. Columns other than doc_id, held_out and text are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewall.llm._spark import arrow_rows, stash, unstash
 from tidewall.llm._words import hash_words, mix, text_slices, word_bounds
+from tidewall.llm.sharding import numbered, repeated
 
 CLASS_BITS = 10
 #: A counting task is given about 2 ** TABLE_BITS requests of chunks; the number of tasks follows the tokens
@@ -48,6 +51,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 CONTEXTS, INPUTS, SEEN = 3, 5, 3
 GATES, CELLS = CLASS_BITS * SEEN * SEEN, 41
 RATE, CHUNK_WORDS = 0.02, 1 << 15
+#: Into how many parts texts are dealt: LEAST_PARTS, and one more for so many training tokens
+LEAST_PARTS, PART_TOKENS = 8, 4 << 20
 _U = np.uint64
 
 
@@ -387,14 +392,13 @@ START = np.array([0.4, 0.2, 0.5, 0.1, 0.0], np.float32)
 
 
 def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
-    """Events, weights by gate (times events) and what came true by gate and cell, learned online in each task and summed."""
+    """Events, weights by gate (times events) and what came true by gate and cell, learned online in each chunk and summed."""
 
     def run(batches):
-        weights = np.tile(START, (GATES, 1))
-        cells = np.zeros(GATES * CELLS * 2)
-        n = 0
+        total = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
         for batch in batches:
             for row in batch.to_pylist():
+                weights, cells, n = np.tile(START, (GATES, 1)), np.zeros(GATES * CELLS * 2), 0
                 chunk = Chunk.read(row, vocab.value)
                 model = model_of(chunk, row, totals, apart=True)
                 of_class = classes(chunk.words)[chunk.places]
@@ -408,7 +412,8 @@ def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
                         weights[:, k] += RATE * np.bincount(gate, step[k], GATES) / np.sqrt(hits)
                     cells += np.bincount((gate * CELLS + _cell(z)) * 2 + bits, minlength=len(cells))
                     n += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array([[float(n), *(weights.ravel().astype(float) * n).tolist(), *cells.tolist()]])], names=["sums"])
+                total += np.concatenate(([n], weights.ravel().astype(float) * n, cells))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sums"])
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
     learned = ready.where("fold >= 0").select("fold", "lengths", "words", "places", "class_counts", "answers", "parts", "bits").mapInArrow(run, "sums array<double>")
@@ -445,7 +450,10 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.lit(True).alias("scored"), (F.when(~F.col("held_out"), fold).otherwise(no) if training is None else no).alias("fold"), "text")
     if training is not None:
         rows = rows.union(training.select(F.col("doc_id").cast("long"), F.lit(False), F.lit(False), fold, "text"))
-    chunks = stash(cut_chunks(rows))
+    keyed = rows.withColumns({"k1": F.xxhash64(F.coalesce("text", F.lit(""))), "k2": F.xxhash64("doc_id", "scored", "fold"), "size": F.lit(0)})
+    keyed = numbered(keyed, repeated(keyed))
+    dealt = keyed.repartition(LEAST_PARTS + words.tokens // PART_TOKENS, F.xxhash64("k1", "k2")).sortWithinPartitions("k1", "k2")
+    chunks = stash(cut_chunks(dealt))
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = class_totals(chunks)
     ready = stash(answered(chunks, vocab, 1 + (CONTEXTS * tokens >> TABLE_BITS + 1), key_bits(tokens)))

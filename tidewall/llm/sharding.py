@@ -94,12 +94,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> Dat
     )
 
 
-def _repeated(keys: DataFrame) -> DataFrame:
+def repeated(keys: DataFrame) -> DataFrame:
     """k1, k2 of the rows that can't be told apart."""
     return stash(keys.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
 
 
-def _numbered(rows: DataFrame, twice: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, twice: DataFrame) -> DataFrame:
     """rows with a k2 of its own for each of the rows that share (k1, k2)."""
     if twice.isEmpty():
         return rows
@@ -141,8 +141,8 @@ def _placed(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float) ->
 def shard_plan(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Place every row: doc_id, size, text_crc32, shard, slot."""
     keys = stash(_keyed(docs, id_col, text_col))
-    twice = _repeated(keys)
-    keys = keys if twice.isEmpty() else stash(_numbered(keys, twice))
+    twice = repeated(keys)
+    keys = keys if twice.isEmpty() else stash(numbered(keys, twice))
     return _placed(keys, keys, shards, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
@@ -153,8 +153,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float
     can't be told apart are written once before). Each slice is written in slot order by one task.
     """
     keys = stash(_keyed(docs, id_col, text_col).select("size", "k1", "k2"))
-    twice = _repeated(keys)
-    keys = keys if twice.isEmpty() else stash(_numbered(keys, twice))
-    rows = _numbered(_keyed(docs, id_col, text_col, F.struct("*").alias("row")), twice)
+    twice = repeated(keys)
+    keys = keys if twice.isEmpty() else stash(numbered(keys, twice))
+    rows = numbered(_keyed(docs, id_col, text_col, F.struct("*").alias("row")), twice)
     placed = _placed(rows, keys, shards, tolerance)
     placed.select("shard", "slot", "row.*").write.partitionBy("shard").parquet(path)
