@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 _U = np.uint64
 
 IS_SPACE = np.zeros(256, bool)
