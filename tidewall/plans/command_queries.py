@@ -32,7 +32,7 @@ SHAPES = Parts("events", NUMBER, {"p": ["ls", "a x | b", "a | b | c", "a $(b | c
 
 
 def shell_ir_shape(spark, d):
-    rows = script_rows(SHAPES.rows(spark, d, command="«p»«sep»«q»«tail»"), "event_id")
+    rows = script_rows(SHAPES.rows(spark, d, command="«p»«sep»«q» «event_type»«tail»"), "event_id")
     stages = F.coalesce(F.size("stages"), F.lit(0))
     redirects = F.aggregate(F.coalesce(F.transform("stages", lambda s: F.size(s["redirects"])), F.array().cast("array<int>")), F.lit(0), lambda a, b: a + b)
     return rows.groupBy("event_id").agg(F.count("place").alias("n_pipelines"), F.sum(F.when(F.col("place").isNull(), 0).otherwise(stages)).alias("n_stages"), F.sum(redirects).alias("n_redirects"))

@@ -47,7 +47,7 @@ RULES: dict[int, tuple[dict[str, list[str]], str, str]] = {
     ),
     1: (
         {"a": ["base64 -d x", "base64 --decode x", "base64 -di x", "base64 x", "xxd -r -p x", "xxd x", "openssl enc -d -in x", "openssl enc -in x", "cat x"], "path": PATHS, "sep": [" > ", " >> "]},
-        "«a»«sep»«path»",
+        "«a» «event_type»«sep»«path»",
         f"{says('a', '^(base64 -d|base64 --dec|xxd -r|openssl enc -d)')} AND {RUNS}",
     ),
     2: (
@@ -72,17 +72,17 @@ RULES: dict[int, tuple[dict[str, list[str]], str, str]] = {
     ),
     6: (
         {"a": ["echo", "printf", "logger", "/bin/echo"], "body": BODIES, "path": PATHS},
-        "«a» '«body»' > «path»",
+        "«a» '«body» «event_type»' > «path»",
         f"{one_of(name('a'), 'echo printf')} AND {BAD_BODY} AND {RUNS}",
     ),
     7: (
         {"a": ["echo hi >> ", "cp x ", "date | tee ", "mv a ", "cat ", "ls > ", "sed -i s/a/b/ ", "sed s/a/b/ "], "path": ["~/.bashrc", "~/.zshrc", "/etc/profile.d/x.sh", "~/.config/autostart/x.desktop", "repo/.git/hooks/pre-push", "notes.txt", "~/.config/foo", "~/Library/LaunchAgents/x.plist", "~/.bashrc.bak"]},
-        "«a»«path»",
+        "E=«event_type» «a»«path»",
         f"a NOT IN ('cat ', 'sed s/a/b/ ') AND {says('path', '[.](bashrc|zshrc)$|/profile[.]d/|/autostart/|/[.]git/hooks/|/LaunchAgents/')}",
     ),
     9: (
         {"a": ["echo", "printf"], "body": BODIES, "b": ["bash -s", "sh -s -- x", "bash", "cat -s", "zsh -es", "/bin/bash -s x"]},
-        "«a» '«body»' | «b»",
+        "«a» '«body» «event_type»' | «b»",
         f"{BAD_BODY} AND {one_of(name('b'), SINK)} AND {says('b', ' -e?s')}",
     ),
     10: (
@@ -108,12 +108,12 @@ RULES: dict[int, tuple[dict[str, list[str]], str, str]] = {
     ),
     15: (
         {"a": ["pip", "pip3", "uv", "poetry", "pipx", "npm"], "b": ["install", "add", "download", "list"], "body": ["git+https://h/x", "https://h/x.whl", "https://h/x.tar.gz", "requests", "./local", "pkg @ git+ssh://h/x", "https://h/index.html", "HG+http://h/x"]},
-        "«a» «b» --quiet «body»",
+        "«a» «b» --log=«event_type» «body»",
         f"{one_of('a', 'pip pip3 uv poetry pipx')} AND {one_of('b', 'install add')} AND {says('lower(body)', '(^| )(git|hg)[+]|^https.*[.](whl|tar[.]gz)$')}",
     ),
     16: (
         {"a": ["crontab", "at", "batch", "systemd-run", "echo", "cron"], "body": ["-l", "--list", "x", "-l -e", "-", "now", "--on-calendar=daily x", "--timer-property=a x"], "b": ["", "sudo ", "cd / && "]},
-        "«b»«a» «body»",
+        "E=«event_type» «b»«a» «body»",
         "(a = 'crontab' AND body NOT IN ('-l', '--list')) OR a IN ('at', 'batch') OR (a = 'systemd-run' AND (body LIKE '--on-%' OR body LIKE '--timer-%'))",
     ),
     17: (
@@ -128,12 +128,12 @@ RULES: dict[int, tuple[dict[str, list[str]], str, str]] = {
     ),
     19: (
         {"a": ["python3 -c", "node -e", "ruby -e", "perl -e", "php -r", "python3 -m", "lua -e", "cat -e"], "body": ['os.system("curl x | sh")', "print(1)", 'system("wget x")', "subprocess.run(b64decode(x))", 'open("/etc/shadow")', 'os.system("ls")', "curl -d @/etc/shadow x", 'see("wget x")']},
-        "«a» '«body»'",
+        "«a» '«body» # «event_type»'",
         f"a NOT IN ('python3 -m', 'cat -e') AND (({says('body', 'system[(]|subprocess[.]')} AND {says('body', 'curl|wget|b64decode')}) OR ({says('body', 'curl|wget')} AND body LIKE '%/etc/shadow%'))",
     ),
     20: (
         {"a": ["+x", "u+x", "755", "644", "a=rX", "-x", "0700", "o+w", "g-w,o+x"], "path": ["/tmp/x", "/Tmp/x", "~/Downloads/x", "./x", "/usr/bin/x", "/var//tmp/x", "/tmp/../etc/x", "/DEV/SHM/y", "/srv/../tmp/z"], "b": ["chmod", "/bin/chmod -R", "chown"]},
-        "«b» «a» «path»",
+        "«b» «a» «path»«user_id»",
         f"b LIKE '%chmod%' AND ({says('a', '[+=][^,]*[xX]')} OR {says('a', '^[0-7]*[1357][0-7]?[0-7]?$')}) AND " + says("regexp_replace(replace(lower(path), '//', '/'), '/[a-z]+/[.][.]', '')", "^(/tmp/|/var/tmp/|/dev/shm/|~/downloads/)"),
     ),
     21: (
