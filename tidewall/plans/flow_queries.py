@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewall import sqlfunctions
 from tidewall.config import Policy
+from tidewall.functions import scan
 from tidewall.operators import needles, rule_tables
 from tidewall.plans.common import Parts, Query, table
 from tidewall.plans.rules import BAD_SCRIPT, NUMBER, RULES, SCRIPT, URL
@@ -33,6 +34,39 @@ def event_lines(spark, d):
 EVENT_LINES = f"""SELECT event_id, CASE WHEN bad THEN 'not_utf8' ELSE 'ok' END AS decoded, CASE WHEN bad OR script THEN 'deny' ELSE 'allow' END AS verdict,
 CASE WHEN bad OR script THEN 2 ELSE 0 END AS exit FROM (SELECT event_id, mark IN ('ff', 'e9') AS bad, {BAD_SCRIPT} AS script FROM {LINES.sql()})"""
 
+# payloads in text files, of which some lines are no payload
+
+PAYLOADS = Parts("events", NUMBER, {"head": ['{"tool_name":"Edit",', '{"tool_name":"mcp__@x",', "{", '[{"tool_name":"Edit",'], "tail": ["}", "", "}x", "} {}", "}  "]})
+_PAYLOAD = '«replace(head, \'@\', event_type)»"tool_input":{"n":[«event_id»]},"session_id":"s«user_id»","cwd":"/w"«tail»'
+
+
+def payload_lines(spark, d):
+    path = new_folder(spark)
+    PAYLOADS.rows(spark, d, line=_PAYLOAD).select("line").write.text(path)
+    found = events.read_payloads(spark, path)
+    return found.select("tool_name", "tool_input", "session_id", F.col("tool_response").isNull().alias("no_response"), "cwd")
+
+
+PAYLOAD_LINES = f"""SELECT CASE WHEN head LIKE '%Edit%' THEN 'Edit' ELSE 'mcp__' || event_type || 'x' END AS tool_name, '{{"n":[' || event_id || ']}}' AS tool_input,
+'s' || user_id AS session_id, true AS no_response, '/w' AS cwd FROM {PAYLOADS.sql()} WHERE head LIKE '{{"tool_name%' AND trim(tail) = '}}'"""
+
+# code that hides its words
+
+HIDDEN = Parts("conversations", "conv_id * 7 + turn", {
+    "unit": ["\\x63", "\\u0063", "\\143", "\\N{LATIN SMALL LETTER C}", "chr(99)", "CHR(99)", "fromCharCode(1,", "b64decode(", "Buffer.from(", "plain ", "'cu'", '"wg"', "'ba'"],
+    "times": ["1", "2", "3", "4"], "glue": ["+", " . ", "..", "(string-append ", "<>", " & ", ";"], "rest": ["'rl'", '"et"', "'x'", "'sh'", "'SH'"],
+})
+
+
+def obfuscation_marks(spark, d):
+    rows = HIDDEN.rows(spark, d, code="say_«role»(«repeat(unit, CAST(times AS INT))»«glue»«rest»)")
+    return rows.select("conv_id", "turn", scan.is_obfuscated(F.col("code")).alias("hidden"))
+
+
+_HALVES = "(unit = '''cu''' AND rest = '''rl''') OR (unit = '\"wg\"' AND rest = '\"et\"') OR (unit = '''ba''' AND lower(rest) = '''sh''')"
+OBFUSCATION_MARKS = f"""SELECT conv_id, turn, CASE WHEN unit IN ('b64decode(', 'Buffer.from(') THEN true WHEN unit = 'plain ' THEN false
+WHEN unit LIKE '''%' OR unit LIKE '"%' THEN glue NOT IN (' & ', ';') AND ({_HALVES}) ELSE CAST(times AS INT) >= 3 END AS hidden FROM {HIDDEN.sql()}"""
+
 # a conversation's turns as pieces of one stream; every cut goes through a token
 
 
@@ -262,6 +296,8 @@ SELECT grp, true AS whole, CAST(sum(n) AS BIGINT) AS n, true AS items_near, true
 
 QUERIES: dict[str, Query] = {
     "event_lines": Query(event_lines, EVENT_LINES),
+    "payload_lines": Query(payload_lines, PAYLOAD_LINES),
+    "obfuscation_marks": Query(obfuscation_marks, OBFUSCATION_MARKS),
     "line_chunks": Query(line_chunks, LINE_CHUNKS),
     "trail_appends": Query(trail_appends, TRAIL_APPENDS),
     "ip_range_table": Query(ip_range_table, IP_RANGE_TABLE),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewall.config import Policy
+from tidewall.functions import jsontext
 from tidewall.functions import text as T
 from tidewall.operators.commands import classify
 
@@ -42,8 +43,8 @@ def event_verdicts(df: DataFrame, raw: str = "raw", policy: Policy = Policy()) -
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Post-event payloads; lines that aren't JSON objects give no row. Nested inputs stay JSON text."""
-    raw = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    """Post-event payloads; lines that aren't one JSON object give no row. Nested inputs stay JSON text."""
+    raw = spark.read.text(path).where(jsontext.is_json(F.col("value")))
     return raw.select(F.from_json("value", PAYLOAD).alias("p")).select("p.*").where("tool_name is not null")
 
 
