@@ -100,27 +100,23 @@ class Scripts:
     def __init__(self, texts: DataFrame, policy: Policy = Policy()):  # noqa: B008
         self.policy = policy
         self._derived = [_inside(F.col("pipelines")).alias("inside"), _wrappers(F.col("pipelines")).alias("wraps")]
-        self.lexed, self.rounds, links = Pile(), Pile(), Pile()
-        found = self._read(texts.where("text is not null").select(script_id(F.col("text")).alias("sid"), "text").distinct())
+        self.lexed, self.rounds, self.spliced = Pile(), Pile(), Pile()
+        found = self._lexed_now(texts.where("text is not null").select(script_id(F.col("text")).alias("sid"), "text").distinct())
         for depth in range(policy.max_depth + 1):
             facts = self._round(found)
             inside, wraps = facts.agg(F.sum(F.size("inside")), F.sum(F.size("wraps"))).first()
-            more = []
-            if inside:
-                kids = facts.select("sid", F.explode("inside").alias("x")).select("sid", "x.suffix", "x.origin", script_id(F.col("x.text")).alias("child"), "x.text")
-                links.add(kids.select("sid", "suffix", "origin", "child", F.lit(None).cast("string").alias("reason")))
-                more.append(self._texts(kids.select(F.col("child").alias("sid"), "text").distinct()))
-            if wraps:
-                spliced = self._unwrapped(facts)
-                ways = spliced.select("sid", F.array(F.lit(0), "p", F.lit(UNWRAP)).alias("suffix"), "child", "reason", "pipelines")
-                ends = F.explode(F.filter(F.array(F.struct(F.when(F.col("pipelines").isNotNull(), F.col("child")).alias("child"), F.lit(None).cast("string").alias("reason")), F.struct(F.lit(None).cast("binary").alias("child"), F.col("reason").alias("reason"))), lambda x: x["child"].isNotNull() | x["reason"].isNotNull()))
-                links.add(ways.select("sid", "suffix", F.lit("unwrap").alias("origin"), ends.alias("x")).select("sid", "suffix", "origin", "x.child", "x.reason"))
-                more.append(self._unmet(spliced.where("pipelines is not null").select(F.col("child").alias("sid"), F.lit(True).alias("readable"), "pipelines")))
-            if not more or depth == policy.max_depth:
+            if not (inside or wraps):
                 break
-            found = reduce(DataFrame.unionByName, more)
+            kids = self._unmet(self._kids(facts).select(F.col("child").alias("sid"), "text").distinct())
+            items = self._items(facts)
+            new = kids.unionByName(items.where("text is not null").select(F.col("inner_id").alias("sid"), "text").distinct()).dropDuplicates(["sid"])
+            self._lexed_now(new.join(self.lexed.all().select("sid"), "sid", "left_anti"))
+            found = self._as_scripts(self.lexed.all().join(kids.select("sid"), "sid", "left_semi"))
+            if wraps:
+                spliced = self.spliced.add(self._unwrapped(items)).where("pipelines is not null")
+                found = found.unionByName(self._unmet(spliced.select(F.col("child").alias("sid"), F.lit(True).alias("readable"), "pipelines")))
         self.scripts = self.rounds.all().select("sid", "readable", "pipelines")
-        self.edges = links.all() if links.paths else None
+        self.edges = written(self._edges())
 
     def _round(self, found: DataFrame) -> DataFrame:
         pipelines = F.coalesce("pipelines", F.array().cast(f"array<array<{STAGE}>>"))
@@ -130,7 +126,7 @@ class Scripts:
         """Rows of scripts that no round has."""
         return rows.join(self.rounds.all().select("sid"), "sid", "left_anti")
 
-    def _read(self, texts: DataFrame) -> DataFrame:
+    def _lexed_now(self, texts: DataFrame) -> DataFrame:
         """sid, text of texts not lexed before -> sid, readable, pipelines."""
         return self._as_scripts(self.lexed.add(texts.select("sid", lex(F.col("text")).alias("x"))))
 
@@ -138,35 +134,42 @@ class Scripts:
     def _as_scripts(lexed: DataFrame) -> DataFrame:
         return lexed.select("sid", (F.col("x.whole") & F.col("x.pipelines").isNotNull()).alias("readable"), F.when(F.col("x.whole"), F.col("x.pipelines")).alias("pipelines"))
 
-    def _texts(self, texts: DataFrame) -> DataFrame:
-        """sid, text -> sid, readable, pipelines of those that no round has, each text lexed once."""
-        unmet = self._unmet(texts)
-        known = self.lexed.all()
-        old = self._as_scripts(known.join(unmet.select("sid"), "sid", "left_semi"))
-        return self._read(unmet.join(known.select("sid"), "sid", "left_anti")).unionByName(old)
+    @staticmethod
+    def _kids(facts: DataFrame) -> DataFrame:
+        """sid, suffix, origin, child, text of the texts that run inside scripts."""
+        return facts.select("sid", F.explode("inside").alias("x")).select("sid", "x.suffix", "x.origin", script_id(F.col("x.text")).alias("child"), "x.text")
 
-    def _unwrapped(self, facts: DataFrame) -> DataFrame:
-        """sid, p, child, pipelines (null: nothing runs), reason of the pipelines with wrappers."""
+    @staticmethod
+    def _items(facts: DataFrame) -> DataFrame:
+        """sid, p, k, stage, text, refused, inner_id of the stages of pipelines with wrappers."""
         items = facts.select("sid", F.explode("wraps").alias("w")).select("sid", "w.p", F.posexplode("w.items").alias("k", "i"))
-        items = items.select("sid", "p", "k", "i.*", script_id(F.col("i.text")).alias("inner_id"))
-        new = items.where("text is not null").select(F.col("inner_id").alias("sid"), "text").distinct()
-        self._read(new.join(self.lexed.all().select("sid"), "sid", "left_anti"))
+        return items.select("sid", "p", "k", "i.*", script_id(F.col("i.text")).alias("inner_id"))
+
+    def _unwrapped(self, items: DataFrame) -> DataFrame:
+        """sid, p, child, pipelines (null: nothing runs), reason of the pipelines with wrappers."""
         known = self.lexed.all().select(F.col("sid").alias("inner_id"), F.col("x.pipelines").alias("inner"))
         of = items.join(known, "inner_id", "left").groupBy("sid", "p").agg(F.sort_array(F.collect_list(F.struct("k", "stage", "text", "refused", "inner"))).alias("items"))
         unread = F.exists("items", lambda i: i["text"].isNotNull() & i["inner"].isNull())
         refused = F.get(F.filter(F.transform("items", lambda i: i["refused"]), lambda r: r.isNotNull()), F.lit(0))
         child = F.unhex(F.sha2(F.concat(F.col("sid"), F.encode(F.col("p").cast("string"), "UTF-8")), 256))
-        return written(of.select("sid", "p", child.alias("child"), _spliced(F.col("items")).alias("pipelines"), F.coalesce(refused, F.when(unread, UNPARSABLE)).alias("reason")))
+        return of.select("sid", "p", child.alias("child"), _spliced(F.col("items")).alias("pipelines"), F.coalesce(refused, F.when(unread, UNPARSABLE)).alias("reason"))
+
+    def _edges(self) -> DataFrame:
+        none = F.lit(None).cast("string").alias("reason")
+        edges = self._kids(self.rounds.all()).select("sid", "suffix", "origin", "child", none)
+        if not self.spliced.paths:
+            return edges
+        ways = self.spliced.all().select("sid", F.array(F.lit(0), "p", F.lit(UNWRAP)).alias("suffix"), F.lit("unwrap").alias("origin"), "child", "reason", F.col("pipelines").isNotNull().alias("runs"))
+        leads = ways.where("runs").select("sid", "suffix", "origin", "child", none)
+        return edges.unionByName(leads).unionByName(ways.where("reason is not null").select("sid", "suffix", "origin", F.lit(None).cast("binary").alias("child"), "reason"))
 
     def places(self, roots: DataFrame) -> DataFrame:
         """roots (root: a sid) -> root, key, depth, origin, sid, reason: every place that a script has below a root. reason: nothing is there."""
         none = F.lit(None).cast("string").alias("reason")
         at = roots.select("root", F.array().cast("array<int>").alias("key"), F.lit(0).alias("depth"), F.lit("top").alias("origin"), F.col("root").alias("sid"), none)
         levels, top = [at], self.policy.max_depth
-        edges = small(self.edges) if self.edges is not None else None
+        edges = small(self.edges)
         for depth in range(top + 1):
-            if edges is None:
-                break
             # scripts of options and here-bodies end where substitutions and wrappers are denied
             below = at.where("reason is null").join(edges.where(F.lit(depth < top) | F.col("origin").isin("subst", "unwrap")).withColumnRenamed("reason", "why").withColumnRenamed("origin", "how"), "sid")
             why = F.coalesce("why", F.lit(TOO_DEEP if depth == top else None).cast("string"))
