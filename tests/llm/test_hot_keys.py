@@ -104,13 +104,14 @@ def test_columns_named_like_inner_ones_pass_the_stages(spark, tmp_path):
     assert "[secret]" in next(r["text"] for r in rows if r["doc_id"] == 3)
 
 
-def test_scores_do_not_hang_on_partitions(spark):
+def test_scores_do_not_hang_on_partitions_or_slices(spark, monkeypatch):
     rng = np.random.default_rng(7)
     vocab = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(300)]
     rows = [(k, k % 5 == 2, " ".join(rng.choice(vocab, int(rng.integers(0, 60))))) for k in range(300)]
     rows += [(None, False, "one text without an id")] * 60 + [(None, False, None), rows[7], rows[7]]
     schema, found = "doc_id long, held_out boolean, text string", []
-    for parts in (2, 7):
+    for parts, least in ((2, 1 << 22), (7, 0)):
+        monkeypatch.setattr(mixing, "SLICE_TOKENS", least)
         scored = mixing.score_documents(spark.createDataFrame(rows, schema).repartition(parts)).collect()
         found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in scored))
     assert len(found[0]) == len(rows) and [x[:3] for x in found[0]] == [x[:3] for x in found[1]]

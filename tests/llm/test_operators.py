@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewall.llm import _components, decontaminate, jaccard, langid, mixing, packing, secrets, sharding, substrings, toxicity, vectors
 from tidewall.llm._components import components
+from tidewall.llm._spark import stash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -392,7 +393,8 @@ def mixing_chunks(spark, rows):
     vocab = spark.sparkContext.broadcast(mixing.vocabulary(mixing.word_counts(texts)))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(mixing.FOLDS)).cast("int")
     chunks = mixing.cut_chunks(texts.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("scored"), fold.alias("fold"), "text")).cache()
-    return chunks, mixing.answered(chunks, vocab, 5, mixing.key_bits(1 << 16)), vocab
+    bits = mixing.key_bits(1 << 16)
+    return chunks, mixing.answered(chunks, stash(mixing.answers_to(chunks, vocab, 5, bits)), 5, bits, 1, 0), vocab
 
 
 def test_mixing_counts_every_context_apart(spark):

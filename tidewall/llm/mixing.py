@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm._spark import arrow_rows, stash, unstash
+from tidewall.llm._spark import arrow_rows, setting, stash, unstash
 from tidewall.llm._words import hash_words, mix, text_slices, word_bounds
 from tidewall.llm.sharding import numbered, repeated
 
@@ -53,6 +54,8 @@ GATES, CELLS = CLASS_BITS * SEEN * SEEN, 41
 RATE, CHUNK_WORDS = 0.02, 1 << 15
 #: Into how many parts texts are dealt: LEAST_PARTS, and one more for so many training tokens
 LEAST_PARTS, PART_TOKENS = 8, 4 << 20
+#: Into how many slices chunks are met with their answers, beyond so many tokens
+SLICES, SLICE_TOKENS = 4, 1 << 22
 _U = np.uint64
 
 
@@ -277,9 +280,9 @@ def unpack_paths(keys: np.ndarray, raw: bytes) -> np.ndarray:
     return out
 
 
-def answered(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
-    """chunks with answers: by counting task, what other chunks' training texts have of the prefixes and words asked for."""
-    chunks = chunks.withColumn("parts", F.lit(parts)).withColumn("bits", F.lit(bits))
+def answers_to(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
+    """chunk, part, counts, words: by counting task, what other chunks' training texts have of the prefixes and words asked for."""
+    chunks = chunks.withColumn("bits", F.lit(bits))
     none = slice(0, 0)
 
     def ask(batches):
@@ -314,9 +317,14 @@ def answered(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
         return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": of_keys, "words": [pack((total[at] - own).astype(np.uint32)) for _, own, at in requests]})
 
     asked = chunks.select("chunk", "fold", "lengths", "words", "places", "bits").mapInArrow(ask, "part int, chunk long, keys binary, counts binary, words binary, word_counts binary")
-    answers = asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary, words binary")
-    by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "words"))).alias("answers"))
-    return chunks.drop("n").join(by_chunk, "chunk")
+    return asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary, words binary")
+
+
+def answered(chunks: DataFrame, answers: DataFrame, parts: int, bits: int, slices: int, k: int) -> DataFrame:
+    """One slice of the chunks, each with all its answers. Slices are met one by one, as chunks with answers are the largest thing that is shuffled."""
+    mine = F.pmod(F.xxhash64("chunk"), F.lit(slices)) == k
+    by_chunk = answers.where(mine).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "words"))).alias("answers"))
+    return chunks.where(mine).drop("n").withColumn("parts", F.lit(parts)).withColumn("bits", F.lit(bits)).join(by_chunk, "chunk")
 
 
 def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -417,8 +425,9 @@ def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
     learned = ready.where("fold >= 0").select("fold", "lengths", "words", "places", "class_counts", "answers", "parts", "bits").mapInArrow(run, "sums array<double>")
-    for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
-        sums[k] = x
+    with setting(ready.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
+            sums[k] = x
     return sums
 
 
@@ -456,9 +465,11 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     chunks = stash(cut_chunks(dealt))
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = class_totals(chunks)
-    ready = stash(answered(chunks, vocab, 1 + (CONTEXTS * tokens >> TABLE_BITS + 1), key_bits(tokens)))
-    unstash(chunks, counts)
-    mixer = spark.sparkContext.broadcast(fit_mixer(learned_sums(ready, vocab, totals)))
+    parts, bits, slices = 1 + (CONTEXTS * tokens >> TABLE_BITS + 1), key_bits(tokens), SLICES if tokens > SLICE_TOKENS else 1
+    answers = stash(answers_to(chunks, vocab, parts, bits))
+    unstash(counts)
+    ready = [answered(chunks, answers, parts, bits, slices, k) for k in range(slices)]
+    mixer = spark.sparkContext.broadcast(fit_mixer(sum(learned_sums(r, vocab, totals) for r in ready)))
 
     def run(batches):
         v, (weights, refined) = vocab.value, mixer.value
@@ -488,7 +499,7 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], rates], names=[c.split(" ")[0] for c in SCORES.split(", ")])
 
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    scored = ready.where("scored").select("fold", "doc_ids", "held", "bytes", "lengths", "words", "places", "class_counts", "answers", "parts", "bits")
-    out = stash(scored.mapInArrow(run, SCORES))
-    unstash(ready)
-    return out
+    wanted = ["fold", "doc_ids", "held", "bytes", "lengths", "words", "places", "class_counts", "answers", "parts", "bits"]
+    out = [stash(r.where("scored").select(*wanted).mapInArrow(run, SCORES)) for r in ready]
+    unstash(chunks, answers)
+    return reduce(DataFrame.unionByName, out)
