@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 4 << 20
 _U = np.uint64
 
 IS_SPACE = np.zeros(256, bool)
@@ -86,12 +86,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SP
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; with lower, of its bytes with A-Z lower-cased."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, piece: int = PIECE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; with lower, of its bytes with A-Z lower-cased. About `piece` bytes at a time."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, "right")))
         s, lens = starts[at:to], ends[at:to] - starts[at:to]
         first = np.concatenate(([0], np.cumsum(lens)[:-1]))
         inside = np.arange(lens.sum()) - np.repeat(first, lens)
@@ -111,10 +111,10 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * powers(GRAM_INV, len(words) - n + 1))
 
 
-def hashed_texts(ids: list, texts: pa.Array, lower: bool) -> Iterator[tuple[object, np.ndarray]]:
-    """(id, word hashes) of every text."""
-    for some, data, offsets in text_slices(ids, texts):
+def hashed_texts(ids: list, texts: pa.Array, lower: bool, piece: int = PIECE) -> Iterator[tuple[object, np.ndarray]]:
+    """(id, word hashes) of every text; about `piece` bytes are at work at a time."""
+    for some, data, offsets in text_slices(ids, texts, piece):
         starts, ends, first = word_bounds(data, offsets)
-        hashes = hash_words(data, starts, ends, lower)
+        hashes = hash_words(data, starts, ends, lower, piece)
         for k, i in enumerate(some):
             yield i, hashes[first[k] : first[k + 1]]

@@ -38,6 +38,8 @@ FREQUENT = 1 << 17
 PART_ROWS = 128
 #: The longest match requirement, and the cost of verifying a candidate in index rows
 MOST_MATCHES, VERIFY_COST = 8, 20
+#: Bytes of text that a task hashes at a time, and shingles that it holds to find the repeated ones
+PIECE, HELD = 1 << 20, 1 << 21
 #: Bytes of a shingle's hash in verification
 KEPT_BYTES = 6
 
@@ -65,7 +67,7 @@ def _described(n: int):
         size = 0
         for batch in batches:
             ids, keys, sizes = [], [], []
-            for i, words in hashed_texts(batch.column(0).to_pylist(), batch.column(1), lower=True):
+            for i, words in hashed_texts(batch.column(0).to_pylist(), batch.column(1), lower=True, piece=PIECE):
                 grams = shingles(words, n)
                 key = _class_key(grams)
                 ids.append(i)
@@ -76,7 +78,7 @@ def _described(n: int):
                     held.append(grams)
                     size += len(grams)
             yield _rows(np.zeros(len(ids), np.int8), ids, keys, sizes)
-            if size > 1 << 22:
+            if size > HELD:
                 yield from repeated(held)
                 held, size = [], 0
                 seen.clear()
@@ -111,7 +113,7 @@ def _prefixes(n: int, percent: int, frequent):
         for batch in batches:
             out: list[tuple] = []
             copies = batch.column(1).to_pylist()
-            for k, words in hashed_texts(list(range(batch.num_rows)), batch.column(0), lower=True):
+            for k, words in hashed_texts(list(range(batch.num_rows)), batch.column(0), lower=True, piece=PIECE):
                 grams = shingles(words, n)
                 if not len(grams) or (copies[k] and _class_key(grams) in copies[k]):
                     continue
@@ -138,7 +140,7 @@ def _sets(n: int):
     def run(batches):
         for batch in batches:
             keys, sets, wanted = [], [], batch.column(0).to_pylist()
-            for k, words in hashed_texts(list(range(batch.num_rows)), batch.column(1), lower=True):
+            for k, words in hashed_texts(list(range(batch.num_rows)), batch.column(1), lower=True, piece=PIECE):
                 grams = shingles(words, n)
                 if _class_key(grams) != wanted[k]:
                     continue  # another text of a repeated id
