@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,18 +13,28 @@ from tidewall.functions.redact import redact_line
 from tidewall.operators.advisory import emissions, tool_output_advisories
 from tidewall.operators.commands import classify
 from tidewall.sources import audit
+from tidewall.sources.events import event_verdicts
 
 
-def judge_commands(stream: DataFrame, out: str, checkpoint: str, command: str = "command", policy: Policy = Policy()) -> StreamingQuery:  # noqa: B008
-    """Verdicts of a stream of commands as Parquet below `out`. Each micro-batch is judged like a table, its distinct commands once."""
+def by_batches(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Writes judge(micro-batch) as Parquet below `out`; a batch that is run again replaces its own files."""
 
     def write(batch: DataFrame, number: int) -> None:
-        # a batch that is run again replaces its own files
-        classify(batch, command, policy).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        judge(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def judge_commands(stream: DataFrame, out: str, checkpoint: str, command: str = "command", policy: Policy = Policy()) -> StreamingQuery:  # noqa: B008
+    """Verdicts of a stream of commands. Each micro-batch is judged like a table, its distinct commands once."""
+    return by_batches(stream, lambda batch: classify(batch, command, policy), out, checkpoint)
+
+
+def judge_events(stream: DataFrame, out: str, checkpoint: str, raw: str = "raw", policy: Policy = Policy()) -> StreamingQuery:  # noqa: B008
+    """Verdicts of a stream of raw events, such as tidewall_lines gives."""
+    return by_batches(stream, lambda batch: event_verdicts(batch, raw, policy), out, checkpoint)
+
+
 def redacted_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Lines of text files as they come, without known tokens; lines of over a MiB are redacted in pieces."""
     return spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", "\n").text(path).select(redact_line(F.col("value")).alias("value"))
