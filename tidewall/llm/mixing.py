@@ -26,6 +26,7 @@ their rows. Texts of any length are scored whole. Columns other than doc_id, hel
 from __future__ import annotations
 
 import math
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,7 +46,7 @@ CLASS_BITS = 10
 #: A counting task is given about 2 ** TABLE_BITS requests of chunks; the number of tasks follows the tokens
 TABLE_BITS = 20
 FREQUENT, MARKERS = 1 << 17, 256
-FOLDS, CHUNK_TOKENS = 4, 1 << 20
+FOLDS, CHUNK_TOKENS = 4, 1 << 19
 SPARE_BITS, MOST_BITS = 12, 64 - CLASS_BITS
 #: The hash that stands for the end of a text
 END = np.uint64(0x5851F42D4C957F2D)
@@ -201,6 +202,24 @@ def cut_chunks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "held_out", "scored", "fold", "text").mapInArrow(run, CHUNK)
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows as dicts, one at a time: each is a whole chunk."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+#: Chunks that go to a Python worker at a time, with the shuffle files of a plan dropped when it is done
+FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def few_at_a_time(spark):
+    with ExitStack() as stack:
+        for key, value in FEW.items():
+            stack.enter_context(setting(spark, key, value))
+        yield
+
+
 @dataclass
 class Chunk:
     """A chunk's tokens, and its requests: distinct (context, class) keys in order, counts, each token's place in them by context."""
@@ -287,7 +306,7 @@ def answers_to(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 chunk = Chunk.read(row, vocab.value)
                 trains = row["fold"] >= 0
                 words = chunk.words[chunk.rare]
@@ -357,11 +376,14 @@ def model_of(chunk: Chunk, row: dict, totals: np.ndarray, apart: bool) -> tuple:
         totals = totals - np.array(row["class_counts"])
     elif row["fold"] >= 0:
         path = path + paths(chunk.keys, chunk.counts)
-    bits = (chunk.keys >> (CLASS_BITS - 1 - _PLACES[:, None]).astype(np.uint64) & _U(1)).astype(bool)
-    came, other = path[1:], path[:-1] - path[1:]
-    odds = _odds(np.where(bits, came, other), np.where(bits, other, came))
-    seen = (path[:-1] > 2).astype(np.uint8) + (path[:-1] > 30).astype(np.uint8)
-    return base_odds(totals), [np.ascontiguousarray(odds.T).ravel()] * CONTEXTS, [np.ascontiguousarray(seen.T).ravel()] * CONTEXTS
+    # bit by bit, as a chunk has millions of keys
+    odds, seen = np.empty((len(chunk.keys), CLASS_BITS), np.float32), np.empty((len(chunk.keys), CLASS_BITS), np.uint8)
+    for d in range(CLASS_BITS):
+        bit = (chunk.keys >> _U(CLASS_BITS - 1 - d) & _U(1)).astype(bool)
+        came, other = path[d + 1], path[d] - path[d + 1]
+        odds[:, d] = _odds(np.where(bit, came, other), np.where(bit, other, came))
+        seen[:, d] = (path[d] > 2).astype(np.uint8) + (path[d] > 30).astype(np.uint8)
+    return base_odds(totals), [odds.ravel()] * CONTEXTS, [seen.ravel()] * CONTEXTS
 
 
 def word_totals(chunk: Chunk, row: dict, v: Vocabulary) -> np.ndarray:
@@ -405,7 +427,7 @@ def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
     def run(batches):
         total = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 weights, cells, n = np.tile(START, (GATES, 1)), np.zeros(GATES * CELLS * 2), 0
                 chunk = Chunk.read(row, vocab.value)
                 model = model_of(chunk, row, totals, apart=True)
@@ -425,7 +447,7 @@ def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
     learned = ready.where("fold >= 0").select("fold", "lengths", "words", "places", "class_counts", "answers", "parts", "bits").mapInArrow(run, "sums array<double>")
-    with setting(ready.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with few_at_a_time(ready.sparkSession):
         for k, x in learned.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
             sums[k] = x
     return sums
@@ -466,7 +488,8 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = class_totals(chunks)
     parts, bits, slices = 1 + (CONTEXTS * tokens >> TABLE_BITS + 1), key_bits(tokens), SLICES if tokens > SLICE_TOKENS else 1
-    answers = stash(answers_to(chunks, vocab, parts, bits))
+    with few_at_a_time(spark):
+        answers = stash(answers_to(chunks, vocab, parts, bits))
     unstash(counts)
     ready = [answered(chunks, answers, parts, bits, slices, k) for k in range(slices)]
     mixer = spark.sparkContext.broadcast(fit_mixer(sum(learned_sums(r, vocab, totals) for r in ready)))
@@ -474,7 +497,7 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     def run(batches):
         v, (weights, refined) = vocab.value, mixer.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 chunk = Chunk.read(row, v)
                 model = model_of(chunk, row, totals, apart=False)
                 of_class, first, some = classes(chunk.words)[chunk.places], chunk.first, len(chunk.first) - 1
@@ -500,6 +523,7 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
 
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     wanted = ["fold", "doc_ids", "held", "bytes", "lengths", "words", "places", "class_counts", "answers", "parts", "bits"]
-    out = [stash(r.where("scored").select(*wanted).mapInArrow(run, SCORES)) for r in ready]
+    with few_at_a_time(spark):
+        out = [stash(r.where("scored").select(*wanted).mapInArrow(run, SCORES)) for r in ready]
     unstash(chunks, answers)
     return reduce(DataFrame.unionByName, out)
