@@ -24,7 +24,7 @@ from tidewall.llm._spark import arrow_rows
 
 DIM = 512
 #: Characters of one text that are bundled at a time, and trigram vectors that a worker keeps
-PIECE, KEPT = 1 << 20, 1 << 15
+PIECE, KEPT = 1 << 20, 1 << 14
 UND = "und"
 
 
