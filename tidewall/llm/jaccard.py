@@ -39,11 +39,21 @@ PART_ROWS = 128
 #: The longest match requirement, and the cost of verifying a candidate in index rows
 MOST_MATCHES, VERIFY_COST = 8, 20
 #: Bytes of text that a task hashes at a time, and shingles that it holds to find the repeated ones
-PIECE, HELD = 1 << 20, 1 << 21
+PIECE, HELD = 1 << 19, 1 << 20
 #: Bytes of a shingle's hash in verification
 KEPT_BYTES = 6
 
 
+def freeing(run):
+    """run, and at the end of a task what Arrow holds without use goes back, as workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """The sorted distinct hashes of a text's n-word shingles."""
     if len(words) == 0:
@@ -194,7 +204,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stash(docs.mapInArrow(_described(n), "kind byte, id long, key long, n long"))
+    described = stash(docs.mapInArrow(freeing(_described(n)), "kind byte, id long, key long, n long"))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "key", F.col("n").alias("n_shingles"))
     top = described.where("kind = 1").groupBy("id").agg(F.sum("key").alias("count")).orderBy(F.desc("count"), "id").limit(FREQUENT).toPandas().sort_values("id", key=lambda s: s.astype("int64").to_numpy().view(np.uint64))
     frequent = spark.sparkContext.broadcast((top["id"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)))
@@ -207,7 +217,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # are frequent because several classes have them, so each part stays
     each = docs.join(small_side(copies), "doc_id", "left").select("text", "copies")
     item = Window.partitionBy("gram", "part")
-    prefix = each.mapInArrow(_prefixes(n, percent, frequent), "gram long, part long, key long, n int, matches int")
+    prefix = each.mapInArrow(freeing(_prefixes(n, percent, frequent)), "gram long, part long, key long, n int, matches int")
     prefix = prefix.withColumn("low", F.min("key").over(item)).withColumn("high", F.max("key").over(item))
     met_lists = stash(prefix.where("low < high or part > 0").drop("low", "high"))
 
@@ -232,10 +242,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         wanted = small_side(stash(keys.join(firsts, "key")))
-        sets = docs.join(wanted, "doc_id").select("key", "text").mapInArrow(_sets(n), "key long, items binary")
+        sets = docs.join(wanted, "doc_id").select("key", "text").mapInArrow(freeing(_sets(n)), "key long, items binary")
         left = sets.select(F.col("key").alias("a"), F.col("items").alias("items_a"))
         right = sets.select(F.col("key").alias("b"), F.col("items").alias("items_b"))
-        return stash(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long"))
+        return stash(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(freeing(_verified(percent)), "a long, b long"))
 
     def stars(lists: DataFrame) -> DataFrame:
         """Pairs of a class and a leader on enough lists."""
