@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewall.config import Policy
 from tidewall.functions.shell import STAGE
-from tidewall.operators.scripts import TOO_DEEP, UNPARSABLE, Scripts, script_id
+from tidewall.operators.scripts import UNPARSABLE, Scripts, script_id
 from tidewall.scratch import small, written
 
 RESULTS = ("verdict", "policy", "reason", "depth", "origin")
@@ -55,5 +55,3 @@ def script_rows(df: DataFrame, key: str, command: str = "command", policy: Polic
     rows = rows.withColumn("place", F.when(F.col("malformed").isNull(), F.concat("place", F.array(F.lit(0), "p"))).otherwise(F.col("place"))).drop("p")
     return df.select(F.col(key), script_id(F.col(command)).alias("root")).join(rows, "root", "left").drop("root")
 
-
-__all__ = ["TOO_DEEP", "UNPARSABLE", "classify", "explain", "script_rows"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewall.config import Policy
 from tidewall.functions import net, paths
 from tidewall.functions import text as T
-from tidewall.plans.common import Parts, Query, matches, table, text_literal
+from tidewall.plans.common import Parts, Query, matches, table
 
 #: An address from a key, alike in both engines
 IP = "(o_orderkey * 2654435761 % 4294967296)"
