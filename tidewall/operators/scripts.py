@@ -4,7 +4,8 @@ A command reaches more scripts than itself: what its wrappers run, here-bodies,
 substitutions. `Scripts` finds them in rounds. A round lexes the distinct texts that no round before it met, judges
 their pipelines, derives the texts inside them by Column rules, and puts what a wrapper runs in the wrapper's place, which makes a
 spliced script of the next round. So a text that a million commands share is lexed and judged once. Each round
-is written to the shared folder, so that plans don't grow with depth and a lost executor costs tasks only.
+is written to the shared folder, so that plans don't grow with depth and a lost executor costs tasks only. A lexed text says why it was lexed,
+so a round takes its parsed texts from those it has just written; only ids of all texts are shuffled in each round, not what was parsed of them.
 
 The result is a graph: scripts, and edges that say where in a script another one stands. Commands are joined down along
 the edges, at most max_depth deep, and every place has a key that sorts like the order in which it is judged:
@@ -79,56 +80,74 @@ def _wrappers(pipelines: Column) -> Column:
 
 def _spliced(items: Column) -> Column:
     """The script that has a pipeline's wrapped commands in their wrappers' place. What a wrapper redirects, its command's last stage does."""
-    runs = lambda i: i["text"].isNotNull() & (F.coalesce(F.size(i["inner"]), F.lit(0)) > 0)
+    runs = lambda i: i["asks"] & (F.coalesce(F.size(i["inner"]), F.lit(0)) > 0)
 
     def grafted(i: Column) -> Column:
         last = lambda s: s.withField("redirects", F.concat(s["redirects"], i["stage"]["redirects"]))
         return F.transform(i["inner"], lambda pipeline: F.transform(pipeline, lambda s, k: F.when(k == F.size(pipeline) - 1, last(s)).otherwise(s)))
 
     before = F.flatten(F.transform(F.filter(items, runs), lambda i: F.slice(grafted(i), F.lit(1), F.size(i["inner"]) - 1)))
-    stages = F.flatten(F.transform(items, lambda i: F.when(i["text"].isNull(), F.array(i["stage"])).when(runs(i), F.element_at(grafted(i), -1)).otherwise(F.array().cast(f"array<{STAGE}>"))))
+    stages = F.flatten(F.transform(items, lambda i: F.when(~i["asks"], F.array(i["stage"])).when(runs(i), F.element_at(grafted(i), -1)).otherwise(F.array().cast(f"array<{STAGE}>"))))
     return F.when(F.exists(items, runs), F.array_append(before, stages))
 
 
 class Scripts:
     """All scripts that the texts (column text) reach.
 
-    scripts: sid, readable, pipelines.
-    edges: sid, suffix, origin, child, reason (of edges that lead to no script).
+    scripts: sid, readable, pipelines, first (one of the texts themselves).
+    edges: sid, suffix, origin, child, reason (of edges that lead to no script), first (from one of the texts).
     """
 
     def __init__(self, texts: DataFrame, policy: Policy = Policy()):  # noqa: B008
         self.policy = policy
         self._derived = [_inside(F.col("pipelines")).alias("inside"), _wrappers(F.col("pipelines")).alias("wraps")]
         self.lexed, self.rounds, self.spliced = Pile(), Pile(), Pile()
-        found = self._lexed_now(texts.where("text is not null").select(script_id(F.col("text")).alias("sid"), "text").distinct())
+        tops = texts.where("text is not null").select("text").distinct()
+        found = self._as_scripts(self._lexed_now(tops.select(script_id(F.col("text")).alias("sid"), "text", F.lit(True).alias("kid"), F.lit(False).alias("item"))))
         for depth in range(policy.max_depth + 1):
-            facts = self._round(found)
+            facts = self._round(found, depth == 0)
             inside, wraps = facts.agg(F.sum(F.size("inside")), F.sum(F.size("wraps"))).first()
             if not (inside or wraps):
                 break
-            kids = self._unmet(self._kids(facts).select(F.col("child").alias("sid"), "text").distinct())
             items = self._items(facts)
-            new = kids.unionByName(items.where("text is not null").select(F.col("inner_id").alias("sid"), "text").distinct()).dropDuplicates(["sid"])
-            self._lexed_now(new.join(self.lexed.all().select("sid"), "sid", "left_anti"))
-            found = self._as_scripts(self.lexed.all().join(kids.select("sid"), "sid", "left_semi"))
+            met = self._met(facts, items)
+            late, again = met.agg(F.max(F.col("known") & F.col("kid") & ~F.col("was_kid")), F.max(F.col("known") & F.col("item"))).first()
+            earlier = self.lexed.all()
+            new = self._lexed_now(met.where("not known"))
+            found = self._as_scripts(new.where("kid"))
+            if late:  # lexed before for a wrapper, now a script of its own
+                ids = self._unmet(met.where("known and kid and not was_kid").select("sid"))
+                found = found.unionByName(self._as_scripts(earlier.join(small(written(ids)), "sid", "left_semi")))
             if wraps:
-                spliced = self.spliced.add(self._unwrapped(items)).where("pipelines is not null")
-                found = found.unionByName(self._unmet(spliced.select(F.col("child").alias("sid"), F.lit(True).alias("readable"), "pipelines")))
-        self.scripts = self.rounds.all().select("sid", "readable", "pipelines")
+                inner = new.where("item")
+                if again:
+                    inner = inner.unionByName(earlier.join(small(written(met.where("known and item").select("sid"))), "sid", "left_semi"))
+                spliced = self.spliced.add(self._unwrapped(items, inner).withColumn("first", F.lit(depth == 0))).where("pipelines is not null")
+                # a spliced script's id comes from the script that it is made of, which no other round has
+                found = found.unionByName(spliced.select(F.col("child").alias("sid"), F.lit(True).alias("readable"), "pipelines"))
+        self.scripts = self.rounds.all().select("sid", "readable", "pipelines", "first")
         self.edges = written(self._edges())
 
-    def _round(self, found: DataFrame) -> DataFrame:
+    def _round(self, found: DataFrame, first: bool) -> DataFrame:
         pipelines = F.coalesce("pipelines", F.array().cast(f"array<array<{STAGE}>>"))
-        return self.rounds.add(found.select("sid", "readable", pipelines.alias("pipelines")).select("*", *self._derived))
+        return self.rounds.add(found.select("sid", "readable", pipelines.alias("pipelines"), F.lit(first).alias("first")).select("*", *self._derived))
+
+    def _met(self, facts: DataFrame, items: DataFrame) -> DataFrame:
+        """sid, text, kid, item, known, was_kid of a round's distinct texts: whether they are scripts or in a wrapper, were lexed, and as what."""
+        kids = self._kids(facts).select(F.col("child").alias("sid"), "text", F.lit(True).alias("kid"), F.lit(False).alias("item"))
+        asked = items.where("asks").select(F.col("inner_id").alias("sid"), "text", F.lit(False).alias("kid"), F.lit(True).alias("item"))
+        texts = kids.unionByName(asked).groupBy("text").agg(F.max("kid").alias("kid"), F.max("item").alias("item"))
+        known = self.lexed.all().select("sid", F.col("kid").alias("was_kid"))
+        joined = texts.select(script_id(F.col("text")).alias("sid"), "text", "kid", "item").join(known, "sid", "left")
+        return written(joined.select("sid", "text", "kid", "item", F.col("was_kid").isNotNull().alias("known"), F.coalesce("was_kid", F.lit(False)).alias("was_kid")))
 
     def _unmet(self, rows: DataFrame) -> DataFrame:
         """Rows of scripts that no round has."""
         return rows.join(self.rounds.all().select("sid"), "sid", "left_anti")
 
     def _lexed_now(self, texts: DataFrame) -> DataFrame:
-        """sid, text of texts not lexed before -> sid, readable, pipelines."""
-        return self._as_scripts(self.lexed.add(texts.select("sid", lex(F.col("text")).alias("x"))))
+        """sid, text, kid, item of texts not lexed before -> sid, kid, item, x."""
+        return self.lexed.add(texts.select("sid", "kid", "item", lex(F.col("text")).alias("x")))
 
     @staticmethod
     def _as_scripts(lexed: DataFrame) -> DataFrame:
@@ -136,54 +155,71 @@ class Scripts:
 
     @staticmethod
     def _kids(facts: DataFrame) -> DataFrame:
-        """sid, suffix, origin, child, text of the texts that run inside scripts."""
-        return facts.select("sid", F.explode("inside").alias("x")).select("sid", "x.suffix", "x.origin", script_id(F.col("x.text")).alias("child"), "x.text")
+        """sid, first, suffix, origin, child, text of the texts that run inside scripts."""
+        return facts.select("sid", "first", F.explode("inside").alias("x")).select("sid", "first", "x.suffix", "x.origin", script_id(F.col("x.text")).alias("child"), "x.text")
 
     @staticmethod
     def _items(facts: DataFrame) -> DataFrame:
-        """sid, p, k, stage, text, refused, inner_id of the stages of pipelines with wrappers."""
+        """sid, p, k, stage, text, refused, asks, inner_id of the stages of pipelines with wrappers. asks: it runs a text."""
         items = facts.select("sid", F.explode("wraps").alias("w")).select("sid", "w.p", F.posexplode("w.items").alias("k", "i"))
-        return items.select("sid", "p", "k", "i.*", script_id(F.col("i.text")).alias("inner_id"))
+        return items.select("sid", "p", "k", "i.*", F.col("i.text").isNotNull().alias("asks"), script_id(F.col("i.text")).alias("inner_id"))
 
-    def _unwrapped(self, items: DataFrame) -> DataFrame:
+    @staticmethod
+    def _unwrapped(items: DataFrame, lexed: DataFrame) -> DataFrame:
         """sid, p, child, pipelines (null: nothing runs), reason of the pipelines with wrappers."""
-        known = self.lexed.all().select(F.col("sid").alias("inner_id"), F.col("x.pipelines").alias("inner"))
-        of = items.join(known, "inner_id", "left").groupBy("sid", "p").agg(F.sort_array(F.collect_list(F.struct("k", "stage", "text", "refused", "inner"))).alias("items"))
-        unread = F.exists("items", lambda i: i["text"].isNotNull() & i["inner"].isNull())
+        known = lexed.select(F.col("sid").alias("inner_id"), F.col("x.pipelines").alias("inner"))
+        # without a text there is nothing to look up, and no key that all those rows would share
+        asking, plain = items.where("asks").join(known, "inner_id", "left"), items.where("not asks").withColumn("inner", F.lit(None).cast(known.schema["inner"].dataType))
+        parts = asking.drop("text").unionByName(plain.drop("text"))
+        of = parts.groupBy("sid", "p").agg(F.sort_array(F.collect_list(F.struct("k", "stage", "asks", "refused", "inner"))).alias("items"))
+        unread = F.exists("items", lambda i: i["asks"] & i["inner"].isNull())
         refused = F.get(F.filter(F.transform("items", lambda i: i["refused"]), lambda r: r.isNotNull()), F.lit(0))
         child = F.unhex(F.sha2(F.concat(F.col("sid"), F.encode(F.col("p").cast("string"), "UTF-8")), 256))
         return of.select("sid", "p", child.alias("child"), _spliced(F.col("items")).alias("pipelines"), F.coalesce(refused, F.when(unread, UNPARSABLE)).alias("reason"))
 
     def _edges(self) -> DataFrame:
         none = F.lit(None).cast("string").alias("reason")
-        edges = self._kids(self.rounds.all()).select("sid", "suffix", "origin", "child", none)
+        edges = self._kids(self.rounds.all()).select("sid", "suffix", "origin", "child", none, "first")
         if not self.spliced.paths:
             return edges
-        ways = self.spliced.all().select("sid", F.array(F.lit(0), "p", F.lit(UNWRAP)).alias("suffix"), F.lit("unwrap").alias("origin"), "child", "reason", F.col("pipelines").isNotNull().alias("runs"))
-        leads = ways.where("runs").select("sid", "suffix", "origin", "child", none)
-        return edges.unionByName(leads).unionByName(ways.where("reason is not null").select("sid", "suffix", "origin", F.lit(None).cast("binary").alias("child"), "reason"))
+        ways = self.spliced.all().select("sid", F.array(F.lit(0), "p", F.lit(UNWRAP)).alias("suffix"), F.lit("unwrap").alias("origin"), "child", "reason", F.col("pipelines").isNotNull().alias("runs"), "first")
+        leads = ways.where("runs").select("sid", "suffix", "origin", "child", none, "first")
+        return edges.unionByName(leads).unionByName(ways.where("reason is not null").select("sid", "suffix", "origin", F.lit(None).cast("binary").alias("child"), "reason", "first"))
 
-    def places(self, roots: DataFrame) -> DataFrame:
-        """roots (root: a sid) -> root, key, depth, origin, sid, reason: every place that a script has below a root. reason: nothing is there."""
+    def places(self) -> DataFrame:
+        """root (the sid of a text), key, depth, origin, sid, reason: every place that a script has below a text. reason: nothing is there."""
         none = F.lit(None).cast("string").alias("reason")
-        at = roots.select("root", F.array().cast("array<int>").alias("key"), F.lit(0).alias("depth"), F.lit("top").alias("origin"), F.col("root").alias("sid"), none)
-        levels, top = [at], self.policy.max_depth
+        at = self.scripts.where("first").select(F.col("sid").alias("root"), F.array().cast("array<int>").alias("key"), F.lit(0).alias("depth"), F.lit("top").alias("origin"), "sid", none)
+        return reduce(DataFrame.unionByName, self._below(), at)
+
+    def _below(self) -> list[DataFrame]:
+        """The places at each depth from 1 on. Those at depth 1 are the edges from the texts, deeper ones are joined to edges."""
+        levels, top = [], self.policy.max_depth
         edges = small(self.edges)
         for depth in range(top + 1):
             # scripts of options and here-bodies end where substitutions and wrappers are denied
-            below = at.where("reason is null").join(edges.where(F.lit(depth < top) | F.col("origin").isin("subst", "unwrap")).withColumnRenamed("reason", "why").withColumnRenamed("origin", "how"), "sid")
+            ways = (edges if depth else self.edges.where("first")).where(F.lit(depth < top) | F.col("origin").isin("subst", "unwrap")).withColumnRenamed("reason", "why").withColumnRenamed("origin", "how")
+            below = levels[-1].where("reason is null").select("root", "key", "sid").join(ways, "sid") if depth else ways.select("*", F.col("sid").alias("root"), F.array().cast("array<int>").alias("key"))
             why = F.coalesce("why", F.lit(TOO_DEEP if depth == top else None).cast("string"))
-            at = written(below.select("root", F.concat("key", "suffix").alias("key"), F.lit(depth + 1).alias("depth"), F.col("how").alias("origin"), F.col("child").alias("sid"), why.alias("reason")))
+            at = below.select("root", F.concat("key", "suffix").alias("key"), F.lit(depth + 1).alias("depth"), F.col("how").alias("origin"), F.col("child").alias("sid"), why.alias("reason"))
+            at = written(at) if depth else at
             if at.isEmpty():
                 break
             levels.append(at)
-        return reduce(DataFrame.unionByName, levels)
+        return levels
 
-    def denials(self, roots: DataFrame, only: set[int] | None = None) -> DataFrame:
-        """root -> denial (policy, reason, depth, origin): the first of each root that has one. only: the ordinals that judge."""
+    def denials(self, only: set[int] | None = None) -> DataFrame:
+        """root -> denial (policy, reason, depth, origin): the first of each text (by sid) that has one. only: the ordinals that judge."""
         hit = _first_hit(F.col("pipelines"), self.policy, only)
-        facts = written(self.scripts.select("sid", "readable", hit.alias("hit")).where("hit is not null or not readable"))
-        at = self.places(roots).join(facts, "sid", "left")
+        facts = written(self.scripts.select("sid", "readable", "first", hit.alias("hit")).where("hit is not null or not readable"))
+        none = F.lit(None).cast("string").alias("reason")
+        at = facts.where("first").select(F.col("sid").alias("root"), F.array().cast("array<int>").alias("key"), F.lit(0).alias("depth"), F.lit("top").alias("origin"), none, "readable", "hit")
+        columns, ways = at.columns, self._below()
+        if ways:
+            deep = reduce(DataFrame.unionByName, ways)
+            ends = deep.where("reason is not null").withColumn("readable", F.lit(None).cast("boolean")).withColumn("hit", F.lit(None).cast(facts.schema["hit"].dataType))
+            judged = deep.where("reason is null").join(small(facts).drop("first"), "sid")
+            at = at.unionByName(ends.select(columns)).unionByName(judged.select(columns))
         bad = F.coalesce("reason", F.when(~F.col("readable") & (F.col("origin") != "stdin"), UNPARSABLE))
         name = F.when(bad.isNull(), F.col("hit.policy")).when(bad.isin(UNPARSABLE, TOO_DEEP), "malformed").otherwise("foreign_config")
         key = F.concat("key", F.when(bad.isNull(), F.col("hit.key")).otherwise(F.array(F.lit(-1))))
