@@ -116,3 +116,20 @@ def test_redirects_are_followed(spark):
     assert seen["https://l.example/"] == ("https://l.example/", 2, "Loop") and seen["https://b.example/"] == ("http://10.0.0.1/x", 1, "RawIpLiteral") and seen["https://f.example/"][1:] == (1, "BadScheme")
     assert seen["https://r.example/a/b"] == (urljoin("https://r.example/a/b", "../c?d"), 1, None) and seen["https://alone.example/"] == ("https://alone.example/", 0, None)
     assert seen["nonsense"] == ("nonsense", 0, "NoHost") and seen[None] == (None, 0, "NoHost")
+
+
+def test_addresses_are_merged_in_parts(spark, monkeypatch):
+    # an address is one row however many networks hold it, and networks go on over the parts of the address space
+    plans, written = [], R.written
+    monkeypatch.setattr(R, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    nets = [(f"10.0.0.0/{bits}", f"n{bits}", 40 - bits if bits % 2 else 90) for bits in range(8, 33)] + [(f"2001:db8::/{bits}", f"s{bits}", None if bits == 40 else bits) for bits in range(16, 120, 8)]
+    table = spark.createDataFrame(nets, "cidr string, label string, priority long")
+    ips = [str(ipaddress.IPv4Address(0x0A000000 + (1 << k % 24) + k)) for k in range(150)] + [str(ipaddress.IPv6Address((0x20010DB8 << 96) + (1 << k))) for k in range(96)]
+    rows = spark.createDataFrame([(i,) for i in ips], "ip string")
+    for size in (16_384, 4):
+        monkeypatch.setattr(R, "PART_ROWS", size, raising=False)
+        monkeypatch.setattr(R, "STARTS", 2, raising=False)
+        for r in R.label_addresses(rows, table).collect():
+            held = [((p is not None, p or 0, c), label) for c, label, p in nets if ipaddress.ip_address(r["ip"]) in ipaddress.ip_network(c, strict=False)]
+            assert r["label"] == (min(held)[1] if held else None)
+    assert not any("explode(" in plan and "_ip" in plan for plan in plans)

@@ -1,7 +1,8 @@
-"""Rules that are tables: address ranges, path rules, links and redirects. All are equi-joins on what a record asks for.
+"""Rules that are tables: address ranges, path rules, links and redirects. Ranges are merged in order, the others are equi-joins on what a record asks for.
 
-Ranges: an address asks for its prefixes of the lengths that occur near it (in the first 16 bits; shorter ones everywhere), and the
-range of least priority that has one of them decides. Path rules: a path asks for its ancestors of the depths that occur, and
+Ranges: addresses and networks are sorted together, in parts of the address space of nearly equal numbers of rows (their starts are found among
+positions chosen by hash). Networks nest, so those around an address make a stack, and the best of the stack decides: a row is shuffled
+once, however many networks hold it. Path rules: a path asks for its ancestors of the depths that occur, and
 the first rule in order decides. Links and redirects: each round joins what is not at its end yet to the table of links.
 
 Records are made distinct first, so a hot address or path is looked up once. A table is broadcast only if it was counted and is small;
@@ -13,7 +14,9 @@ from __future__ import annotations
 from functools import cache
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,9 @@ from tidewall.config import Policy
 from tidewall.functions import let, net, paths
 from tidewall.scratch import small, written
 
-SALT, BUCKET = 16, 16
+SALT = 16
+#: Rows of a part of the address space, and those whose hash chooses them as its starts
+PART_ROWS, STARTS = 16_384, 8
 
 
 def _looked_up(asking: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
@@ -106,27 +111,66 @@ def range_table(ranges: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(best.alias("b")).select(*KEY, "b.label", "b.priority", "b.cidr")
 
 
+def _position(at: Column) -> Column:
+    """17 bytes that sort like addresses: the family, then its 128 bits. A network stands where its first address does."""
+    bits = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    return F.concat(bits(at["family"], 2), bits(at["hi"], 16), bits(at["lo"], 16))
+
+
+def _part_of(starts: list[bytes]):
+    """Column function: the number of the starts that are not after a position."""
+    sorted_ = np.array(starts, "S17")
+
+    def part(positions: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sorted_, positions.to_numpy().astype("S17"), side="right"), dtype="int32")
+
+    return F.pandas_udf(part, "int")
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Addresses of a part (bits null) with the best of the networks around them: networks nest, so those that are open make a stack."""
+    rows = rows.sort_by([("pos", "ascending"), ("bits", "ascending")])  # nulls, which are addresses, come last
+    open_, out = [], ([], [], [])
+    for pos, bits, priority, cidr, label, ip in zip(*(rows[c].to_pylist() for c in MERGED), strict=True):
+        at = int.from_bytes(pos)
+        while open_ and open_[-1][0] < at:
+            open_.pop()
+        if bits is None:
+            best = open_[-1][1] if open_ else (None, None, None, None)
+            for column, value in zip(out, (ip, best[3], best[2]), strict=True):
+                column.append(value)
+        else:
+            own = (priority is not None, priority or 0, cidr, label)
+            open_.append((at | (1 << (128 - bits)) - 1, min(own, open_[-1][1], key=lambda b: b[:3]) if open_ else own))
+    return pa.table(dict(zip(("_ip", "label", "cidr"), (pa.array(column, pa.string()) for column in out), strict=True)))
+
+
+MERGED = ["pos", "bits", "priority", "cidr", "label", "ip"]
+
+
 def label_addresses(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     """df with valid, label, cidr of the range of least priority that holds the address (null: none); ties go by cidr.
 
     ranges: cidr, label, priority, of any number of IPv4 and IPv6 networks.
     """
-    table = written(range_table(ranges))
-    short = table.where(F.col("bits") < BUCKET).select("family", "bits").distinct().collect()  # at most 2 * BUCKET rows
-    bucket = F.shiftrightunsigned("hi", 64 - BUCKET).alias("bucket")
-    # 2 ** BUCKET buckets of at most 113 lengths in each family
-    near = F.broadcast(table.where(F.col("bits") >= BUCKET).groupBy("family", bucket).agg(F.collect_set("bits").alias("near")))
-    asked = written(df.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().select("_ip", address(F.col("_ip")).alias("at")))
-    everywhere = F.when(F.lit(False), F.array().cast("array<int>"))
-    for family in {r["family"] for r in short}:
-        everywhere = everywhere.when(F.col("at.family") == family, F.array(*[F.lit(r["bits"]) for r in short if r["family"] == family]))
-    rows = asked.where("at is not null").select("_ip", "at", F.col("at.family").alias("family"), F.shiftrightunsigned("at.hi", 64 - BUCKET).alias("bucket"))
-    none = F.array().cast("array<int>")
-    rows = rows.join(near, ["family", "bucket"], "left").select("_ip", "at", F.explode(F.concat(F.coalesce(everywhere, none), F.coalesce("near", none))).alias("_bits"))
-    hits = _looked_up(rows.select("_ip", *_prefix(F.col("at"), F.col("_bits"))), table, KEY)
-    best = written(hits.groupBy("_ip").agg(F.min(F.struct("priority", "cidr", "label")).alias("b")))
-    known = asked.select("_ip", F.col("at").isNotNull().alias("valid")).join(best, "_ip", "left")
-    found = small(written(known.select("_ip", "valid", F.col("b.label").alias("label"), F.col("b.cidr").alias("cidr"))))
+    table = written(range_table(ranges).withColumn("pos", _position(F.struct("family", "hi", "lo"))))
+    asked = written(df.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().select("_ip", _position(address(F.col("_ip"))).alias("pos")))
+    seen = table.select("pos").unionByName(asked.where("pos is not null").select("pos"))
+    chosen = seen.where(F.pmod(F.xxhash64("pos"), F.lit(PART_ROWS // STARTS)) == 0).orderBy("pos").collect()
+    starts = sorted({bytes(r["pos"]) for r in chosen[STARTS - 1 :: STARTS]})
+    part = _part_of(starts)
+    # a network is merged in the part where it begins, and in those that begin within it
+    begins = df.sparkSession.createDataFrame([(k + 1, bytearray(p), p[0], int.from_bytes(p[1:9], signed=True), int.from_bytes(p[9:], signed=True)) for k, p in enumerate(starts)], "part int, start binary, family int, hi bigint, lo bigint")
+    lengths = table.select("family", "bits").distinct()  # at most 162 rows
+    at = F.struct("family", "hi", "lo")
+    around = begins.join(F.broadcast(lengths), "family").select("part", "start", *_prefix(at, F.col("bits")))
+    within = table.join(small(written(around)), KEY).where("pos < start")
+    nets = ["pos", "bits", "priority", "cidr", "label", F.lit(None).cast("string").alias("ip")]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("bits", "int"), ("priority", "long"), ("cidr", "string"), ("label", "string"))]
+    rows = table.select(*nets).unionByName(asked.where("pos is not null").select("pos", *none, F.col("_ip").alias("ip"))).withColumn("part", part("pos"))
+    best = rows.unionByName(within.select(*nets, "part")).groupBy("part").applyInArrow(_merged, "_ip string, label string, cidr string")
+    known = best.withColumn("valid", F.lit(True)).unionByName(asked.where("pos is null").select("_ip", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("cidr"), F.lit(False).alias("valid")))
+    found = small(written(known))
     kept = [c for c in df.columns if c not in ("valid", "label", "cidr")]
     out = df.select(*kept, F.col(ip).alias("_ip")).join(found, "_ip", "left")
     return out.select(*kept, F.coalesce("valid", F.lit(False)).alias("valid"), "label", "cidr")
