@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,16 +59,16 @@ def fold_look_alikes(x: Column) -> Column:
     return F.translate(x, _FOLD_FROM, _FOLD_TO)
 
 
-def _normalized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        # most rows are ASCII, which is normal already
-        yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _normalized(t: str | None) -> str | None:
+    # most rows are ASCII, which is normal already
+    return t if t is None or t.isascii() else unicodedata.normalize("NFKC", t)
 
 
 @cache
 def _nfkc():
+    # whole texts go in small batches of rows: an Arrow batch of 10,000 of them would grow a worker with the texts' lengths.
     # marked so that plans keep it in one place: a filter on what comes of it would else copy it, with its input
-    return F.pandas_udf(_normalized, "string").asNondeterministic()
+    return F.udf(_normalized, "string", useArrow=False).asNondeterministic()
 
 
 def nfkc(x: Column) -> Column:
