@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from tidewall.functions import text as T
-from tidewall.plans import registry, text_queries
+from tidewall.plans import common, registry, text_queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -66,3 +66,15 @@ def test_rules_have_commands_on_both_sides(spark, db):
         if name.startswith("policy_") or name in ("malformed_commands", "unwrap_families", "recursive_scripts"):
             found = dict(db.execute(f"SELECT verdict, count(*) FROM ({sql}) GROUP BY verdict").fetchall())
             assert found.get("deny", 0) > 20 and found.get("allow", 0) > 20, name
+
+
+def test_a_large_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(5000).coalesce(1).selectExpr("id as event_id", "timestamp'2024-01-02 03:04:05' as ts", "id as user_id", "'view' as event_type", "concat('p', id) as props").write.parquet(str(tmp_path / "events.parquet"))
+    events = common.table(spark, str(tmp_path), "events")
+    dealt = common.spread(events)
+    assert dealt.rdd.getNumPartitions() == 2 * cores and sorted(dealt.collect()) == sorted(events.collect())
+    assert common.spread(events.limit(100)).rdd.getNumPartitions() == 1
+    for name in ("hook_audit",):
+        plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name

@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewall.functions import let
+
 ANSI = r"\x1b\[[0-9;?]*[A-Za-z]"
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}\x{180E}]"
 
@@ -46,9 +48,12 @@ def is_truncated(x: Column, cap: int) -> Column:
 
 
 def truncate_with_marker(x: Column, cap: int) -> Column:
-    cut = truncate_bytes(x, cap)
-    dropped = (F.octet_length(x) - F.octet_length(cut)).cast("string")
-    return F.when(F.octet_length(x) <= cap, x).otherwise(F.concat(cut, F.lit("...[truncated "), dropped, F.lit(" bytes]")))
+    def cut(t: Column) -> Column:
+        dropped = lambda c: (F.octet_length(t) - F.octet_length(c)).cast("string")
+        marked = let(truncate_bytes(t, cap), lambda c: F.concat(c, F.lit("...[truncated "), dropped(c), F.lit(" bytes]")))
+        return F.when(F.octet_length(t) <= cap, t).otherwise(marked)
+
+    return let(x, cut)
 
 
 def sanitize_field(x: Column, cap: int = 4000) -> Column:

@@ -9,7 +9,7 @@ from tidewall.functions import argv
 from tidewall.functions import text as T
 from tidewall.operators.commands import classify, explain, script_rows
 from tidewall.operators.policies import POLICIES
-from tidewall.plans.common import Parts, Query, table
+from tidewall.plans.common import Parts, Query, spread, table
 from tidewall.plans.rules import BAD_SCRIPT, INERT, MALFORMED, NUMBER, RECURSIVE, RULES, SCRIPT, URL, WRAPPERS, placed
 from tidewall.sources import audit, events
 
@@ -110,7 +110,7 @@ GROUP BY ROLLUP (day, event, decision)"""
 
 def hook_audit(spark, d):
     """The cut at 4000 bytes, and nested strings and keys without terminal escapes."""
-    e = table(spark, d, "events").withColumn("text", F.concat(F.lit("\x1b[1m"), "event_type", F.repeat(F.lit("é"), 2500)))
+    e = spread(table(spark, d, "events")).withColumn("text", F.concat(F.lit("\x1b[1m"), "event_type", F.repeat(F.lit("é"), 2500)))
     e = e.withColumn("inputs", F.to_json(F.struct(F.struct(F.concat(F.lit("\x1b[2J"), "props").alias("a\x1b[1m b"), F.array("event_type").alias("list")).alias("nested"))))
     rows = audit.hook_rows(e, F.col("ts"), F.lit("PostToolUse"), F.col("text"), F.col("user_id").cast("string"), F.lit("/w"), F.col("inputs"))
     return rows.select("ts", "session", F.md5("tool").alias("tool_md5"), F.get_json_object("input", "$.nested['a b']").alias("nested"), F.get_json_object("input", "$.nested.list[0]").alias("listed"))

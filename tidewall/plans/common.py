@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Least rows of a task, for rows that take much work
+TASK_ROWS = 250
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose rows are dealt to all cores: one task reads a whole row group, however much work its rows take."""
+    tasks = min(2 * df.sparkSession.sparkContext.defaultParallelism, df.count() // TASK_ROWS)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def pick(key: str, options: list) -> Column:
     """The option that the key's remainder chooses."""
     out = F.lit(options[-1])
