@@ -75,6 +75,11 @@ def test_a_large_row_group_is_dealt_to_all_cores(spark, tmp_path):
     dealt = common.spread(events)
     assert dealt.rdd.getNumPartitions() == 2 * cores and sorted(dealt.collect()) == sorted(events.collect())
     assert common.spread(events.limit(100)).rdd.getNumPartitions() == 1
-    for name in ("hook_audit",):
+    for name in ("hook_audit", "sql_text_stages"):
         plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_sql_text_lexes_each_command_once(spark):
+    plan = registry.queries()["sql_text_stages"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_shell") == 1 or plan.count("EvalPythonUDTF") == 1

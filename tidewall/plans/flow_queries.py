@@ -8,7 +8,7 @@ from tidewall import sqlfunctions
 from tidewall.config import Policy
 from tidewall.functions import scan
 from tidewall.operators import needles, rule_tables
-from tidewall.plans.common import Parts, Query, table
+from tidewall.plans.common import Parts, Query, spread, table
 from tidewall.plans.rules import BAD_SCRIPT, NUMBER, RULES, SCRIPT, URL
 from tidewall.scratch import new_folder
 from tidewall.sources import audit, events, sketches, tables
@@ -212,11 +212,11 @@ def sql_text_stages(spark, d):
     """Downloads that are piped to a shell, over the stages that a table function gives."""
     options, template, _ = RULES[0]
     sqlfunctions.register(spark)
-    commands = Parts("events", NUMBER, options).rows(spark, d, command=template).select("event_id", "command")
+    commands = spread(Parts("events", NUMBER, options).rows(spark, d, command=template).select("event_id", "command"))
     return spark.sql(
         """WITH stages AS (SELECT c.event_id, s.* FROM {commands} c, LATERAL parse_shell(c.command) s),
-        bad AS (SELECT DISTINCT a.event_id FROM stages a JOIN stages b USING (event_id, pipeline) WHERE a.name IN ('curl', 'wget') AND b.stage > a.stage
-          AND b.name IN ('bash', 'sh', 'zsh', 'dash', 'ksh', 'ash', 'fish', 'tcsh', 'csh', 'source', '.', 'eval'))
+        bad AS (SELECT DISTINCT event_id FROM stages GROUP BY event_id, pipeline HAVING min(stage) FILTER (WHERE name IN ('curl', 'wget'))
+          < max(stage) FILTER (WHERE name IN ('bash', 'sh', 'zsh', 'dash', 'ksh', 'ash', 'fish', 'tcsh', 'csh', 'source', '.', 'eval')))
         SELECT c.event_id, CASE WHEN b.event_id IS NULL THEN 'allow' ELSE 'deny' END AS verdict, whatwg_url(nfkc(concat('https://h', c.event_id, '.ｅxample/'))).host AS host
         FROM {commands} c LEFT JOIN bad b ON c.event_id = b.event_id""",
         commands=commands,
