@@ -68,6 +68,14 @@ def test_multi_edit(spark):
     assert found["findings"] == ["writes to bash start-up (.bashrc)", "writes to system settings in /etc (where its link leads)", "pipes a download to a shell"]
 
 
+def test_edits_are_searched_once(spark):
+    rows = [("Write", json.dumps({"file_path": "/x/a", "content": t})) for t in ("cat /dev/tcp/a/1", "cat ／dev／tcp／a", "fine", "ﬁne")]
+    found = advisory.edit_advisories(spark.createDataFrame(rows, "tool_name string, tool_input string"))
+    assert [r["findings"] for r in found.collect()] == [["opens a socket device"]] * 2
+    # no filter on the findings, which would search for them again
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("evaluates decoded base64") <= 4
+
+
 def test_read_and_fetch(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"<script>x</script>hi\xff")
     files = events.read_text_files(spark, str(tmp_path))
