@@ -276,3 +276,12 @@ def test_texts_of_wrappers_and_scripts_meet(spark):
     for c in some[2:6:2]:
         alone = script_rows(spark.createDataFrame([(c,)], "command string"), "command").collect()
         assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in together if r["command"] == c)
+
+
+def test_plain_runs_of_a_word_are_one_step(monkeypatch):
+    from tidewall.functions import shell
+
+    steps, skip = [], shell.Lexer._skip
+    monkeypatch.setattr(shell.Lexer, "_skip", lambda self: steps.append(1) or skip(self))
+    whole, pipelines = shell.lexed("echo " + "a/b-" * 500 + ' "' + "x y" * 500 + '" $(' + "c " * 500 + ")")
+    assert whole and len(pipelines) == 1 and len(pipelines[0]) == 1 and len(steps) < 10
