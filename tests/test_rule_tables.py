@@ -133,3 +133,15 @@ def test_addresses_are_merged_in_parts(spark, monkeypatch):
             held = [((p is not None, p or 0, c), label) for c, label, p in nets if ipaddress.ip_address(r["ip"]) in ipaddress.ip_network(c, strict=False)]
             assert r["label"] == (min(held)[1] if held else None)
     assert not any("explode(" in plan and "_ip" in plan for plan in plans)
+
+
+def test_links_of_many_rounds_share_one_broadcast(spark, monkeypatch):
+    from tidewall import scratch
+
+    monkeypatch.setattr(scratch, "SMALL_ROWS", 100)
+    links = spark.range(90).selectExpr("concat('/c/', id) as link", "concat('/c/', id + 1) as target").where("link not like '%9'")
+    table = scratch.written(links)
+    assert scratch.small(table) is not table and scratch.small(table, 40) is table
+    rows = spark.range(90).selectExpr("id", "concat('/c/', id, '/f') as path")
+    found = R.real_paths(rows, links).collect()
+    assert {(r["id"], r["canonical"], r["hops"], r["looped"]) for r in found} == {(k, f"/c/{k // 10 * 10 + 9}/f", 9 - k % 10, False) for k in range(90)}

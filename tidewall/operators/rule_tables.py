@@ -29,12 +29,13 @@ SALT = 16
 PART_ROWS, STARTS = 16_384, 8
 
 
-def _looked_up(asking: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """asking joined to a written table of distinct keys."""
-    side = small(table)
+def _looked_up(asking: DataFrame, table: DataFrame, on: list[str], times: int = 1) -> DataFrame:
+    """asking joined to a written table of distinct keys. times: how many joins may send such a table."""
+    side = small(table, times)
     if side is table:
         asking = asking.withColumn("_salt", F.pmod(F.xxhash64(*asking.columns), F.lit(SALT)).cast("int"))
-        side, on = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*on, "_salt"]
+        # a size guessed from the file, which doesn't know of the salt, must not broadcast it after all
+        side, on = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge"), [*on, "_salt"]
     return asking.join(side, on)
 
 
@@ -240,8 +241,10 @@ def real_paths(df: DataFrame, links: DataFrame, path: str = "path", max_hops: in
     done = []
     for _ in range(max_hops + 1):
         asked = at.select("now").distinct().select("now", F.explode(_ancestors(F.col("now"), depths)).alias("link"))
-        hits = _looked_up(asked, table, ["link"]).groupBy("now").agg(F.min_by(F.struct("link", "end"), F.length("link")).alias("hit"))
-        step = written(at.join(small(written(hits)), "now", "left"))
+        hits = _looked_up(asked, table, ["link"], max_hops).groupBy("now").agg(F.min_by(F.struct("link", "end"), F.length("link")).alias("hit"))
+        hits = written(hits)
+        near = small(hits, max_hops)
+        step = written(at.join(hits.hint("merge") if near is hits else near, "now", "left"))
         done.append(step.where("hit is null").select("_from", F.col("now").alias("canonical"), F.size("seen").alias("hops"), "looped"))
         moved = norm(F.concat(F.col("hit.end"), F.expr("substring(now, length(hit.link) + 1)")))
         more = step.where("hit is not null").select("_from", moved.alias("now"), F.array_append("seen", F.col("now")).alias("seen"))

@@ -89,8 +89,11 @@ class Pile:
         return self._read(*self.paths)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its rows and the bytes of its texts were counted and are few."""
+def small(table: DataFrame, times: int = 1) -> DataFrame:
+    """A written table, marked for broadcast if its rows and the bytes of its texts were counted and are few.
+
+    times: how many joins of a loop may send such a table through the driver; together they may send what one may.
+    """
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
     rows, held = table.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0))).first()
-    return F.broadcast(table) if rows <= SMALL_ROWS and held <= SMALL_BYTES else table
+    return F.broadcast(table) if rows * times <= SMALL_ROWS and held * times <= SMALL_BYTES else table
