@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -428,6 +429,40 @@ def test_mixing_counts_every_context_apart(spark):
                             assert abs(odds[c][at] - np.log((n[2] + 0.4) / (n[1] + 0.4))) < 1e-4 and seen[c][at] == (n[0] > 2) + (n[0] > 30)
 
 
+def test_mixing_requests_go_from_the_disk_as_answers_come(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    chunks, _, vocab = mixing_chunks(spark, [(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 60))) for i in range(200)])
+    left, bits = [], mixing.key_bits(1 << 16)
+    once = {(r["chunk"], r["part"]): (r["counts"], r["words"]) for r in mixing.answers_to(chunks, vocab, 7, bits).collect()}
+
+    def unstash(table, only):
+        gone(table, only=only)
+        left.append(sum(os.path.exists(f.removeprefix("file://")) for f in table.inputFiles()))
+
+    gone = mixing.unstash
+    monkeypatch.setattr(mixing, "unstash", unstash)
+    grouped = {(r["chunk"], r["part"]): (r["counts"], r["words"]) for r in mixing.answers_to(chunks, vocab, 7, bits, 3).collect()}
+    assert grouped == once and len({part for _, part in once}) == 7
+    assert left[0] > left[1] > left[2] == 0
+
+
+def test_keys_are_ranked_by_one_sort():
+    rng = np.random.default_rng(13)
+    for bits, n in ((20, 0), (20, 1), (14, 5000), (49, 40000), (57, 40000), (62, 3000), (64, 3000)):
+        keys = rng.integers(0, 1 << bits, n, dtype=np.uint64)
+        # contexts that differ only in their last bits, each with several classes
+        keys[n // 2 :] = keys[: n - n // 2] ^ rng.integers(0, 1 << 14, n - n // 2, dtype=np.uint64)
+        want = np.unique(keys, return_inverse=True)
+        got = mixing.ranked(keys)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_packed_numbers_come_back():
+    for n, kind in ([], np.uint32), ([0, 0], np.uint64), ([255, 1 << 63, 3], np.uint64), (range(1000), np.uint32):
+        n = np.array(n, kind)
+        assert np.array_equal(mixing.unpack(mixing.pack(n), kind), n) and np.array_equal(mixing.unpack_small(mixing.pack_small(n)), n.astype(np.int64))
+
+
 def test_mixer_learns_from_every_training_text(spark):
     rows = [(i, f"w{i % 50} x y") for i in range(2600)]
     chunks, answered, vocab = mixing_chunks(spark, rows)

@@ -53,24 +53,26 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
     Unlike localCheckpoint() the table outlives any executor. It is also what size checks count. The shuffle files of
-    the plan go once the table is written.
+    the plan go once the table is written. by: the column whose values have folders of their own.
     """
     spark = df.sparkSession
     path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstash(*tables: DataFrame) -> None:
-    """Delete the files of stashed tables that no later plan reads."""
+def unstash(*tables: DataFrame, only: str = "") -> None:
+    """Delete the files of stashed tables that no later plan reads. only: in folders of this name."""
     for df in tables:
         sc = df.sparkSession.sparkContext
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if not name.endswith(only):
+                continue
             path = sc._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 

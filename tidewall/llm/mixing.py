@@ -52,11 +52,13 @@ SPARE_BITS, MOST_BITS = 12, 64 - CLASS_BITS
 END = np.uint64(0x5851F42D4C957F2D)
 CONTEXTS, INPUTS, SEEN = 3, 5, 3
 GATES, CELLS = CLASS_BITS * SEEN * SEEN, 41
-RATE, CHUNK_WORDS = 0.02, 1 << 15
+RATE, CHUNK_WORDS, LEARN_WORDS, BLOCK_KEYS = 0.02, 1 << 12, 1 << 12, 1 << 13
 #: Into how many parts texts are dealt: LEAST_PARTS, and one more for so many training tokens
 LEAST_PARTS, PART_TOKENS = 8, 4 << 20
 #: Into how many slices chunks are met with their answers, beyond so many tokens
 SLICES, SLICE_TOKENS = 4, 1 << 22
+#: Into how many groups counting tasks are then dealt
+ASK_GROUPS = 8
 _U = np.uint64
 
 
@@ -157,15 +159,65 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers of one dimension byte plane by byte plane, compressed."""
-    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Unsigned numbers of one dimension byte plane by byte plane, compressed; planes beyond the largest number are left out."""
+    width = int(numbers.max()).bit_length() + 7 >> 3 if len(numbers) else 0
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize)
+    raw = b"".join(planes[:, k].tobytes() for k in range(width))
+    return width.to_bytes(1, "little") + len(raw).to_bytes(7, "little") + pa.compress(raw, codec="zstd", asbytes=True) + len(numbers).to_bytes(8, "little")
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    width, size, n = raw[0], int.from_bytes(raw[1:8], "little"), int.from_bytes(raw[-8:], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:-8], size, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    for k in range(width):
+        out[:, k] = planes[k]
+    return out.view(kind).ravel()
+
+
+def pack_small(numbers: np.ndarray) -> bytes:
+    """Like pack, for numbers of which few are over 254: those are packed apart."""
+    low = np.minimum(numbers, 255).astype(np.uint8)
+    first = pack(low)
+    return len(first).to_bytes(8, "little") + first + pack(numbers[low == 255].astype(np.uint64))
+
+
+def unpack_small(raw: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(raw[:8], "little")
+    out = unpack(raw[8:cut], np.uint8).astype(np.int64)
+    out[out == 255] = unpack(raw[cut:], np.uint64).astype(np.int64)
+    return out
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of (context, class) keys, by one sort of numbers that hold key and place.
+
+    They leave the last bits of the context out if there is no room; contexts that then look alike are sorted again.
+    """
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64)
+    # the class stays in the last bits
+    least = keys.min() >> _U(CLASS_BITS) << _U(CLASS_BITS)
+    bits = n.bit_length()
+    left_out = max(0, int(keys.max() - least).bit_length() + bits - 64)
+    if left_out > SPARE_BITS:
+        return np.unique(keys, return_inverse=True)
+    mine = keys - least
+    mine = (mine >> _U(CLASS_BITS + left_out) << _U(CLASS_BITS) | mine & _U((1 << CLASS_BITS) - 1)) << _U(bits) | np.arange(n, dtype=np.uint64)
+    mine.sort()
+    order = (mine & _U((1 << bits) - 1)).astype(np.int64)
+    found = keys[order]
+    if left_out:
+        alike = mine >> _U(bits + CLASS_BITS)
+        for x in np.unique(alike[1:][found[1:] < found[:-1]]):
+            some = slice(np.searchsorted(alike, x), np.searchsorted(alike, x, "right"))
+            again = np.argsort(found[some], kind="stable")
+            order[some], found[some] = order[some][again], found[some][again]
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return found[new], inverse
 
 
 CHUNK = "chunk long, fold int, scored boolean, n long, doc_ids array<long>, held array<boolean>, bytes array<long>, lengths binary, words binary, places binary, class_counts array<long>"
@@ -195,7 +247,7 @@ def cut_chunks(rows: DataFrame) -> DataFrame:
         words, places = np.unique(np.concatenate([m[2] for m in mine]), return_inverse=True)
         seen = np.bincount(classes(words)[places], minlength=1 << CLASS_BITS)
         row = [number, kind >> 1, bool(kind & 1), len(places), [i for m in mine for i in m[0]], [h for m in mine for h in m[1]]]
-        row += [np.concatenate([m[4] for m in mine]).tolist(), pack(np.concatenate([m[3] for m in mine])), pack(words), pack(places.astype(np.uint32)), seen.tolist()]
+        row += [np.concatenate([m[4] for m in mine]).tolist(), pack(np.concatenate([m[3] for m in mine]).astype(np.uint64)), pack(np.diff(words, prepend=_U(0))), pack(places.astype(np.uint32)), seen.tolist()]
         kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split(" ")[0] for c in CHUNK.split(", ")])
 
@@ -236,15 +288,16 @@ class Chunk:
 
     @classmethod
     def read(cls, row: dict, v: Vocabulary) -> Chunk:
-        words, places = unpack(row["words"], np.uint64), unpack(row["places"], np.uint32)
+        words, places = np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64), unpack(row["places"], np.uint32)
         first = np.concatenate(([0], np.cumsum(unpack(row["lengths"], np.int64))))
         at, there = v.find(words)
         marks = there & (v.ranks[at] < MARKERS) if len(v.words) else there
         of_class = classes(words).astype(np.uint64)[places]
         keys = contexts(words[places], marks[places], first) >> _U(64 - row["bits"]) << _U(CLASS_BITS) | of_class
-        keys, of_token, counts = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+        keys, of_token = ranked(keys.ravel())
+        counts = np.bincount(of_token, minlength=len(keys))
         rare = np.flatnonzero(~there)
-        return cls(words, places, first, np.where(there, at, -1), rare, np.bincount(places, minlength=len(words))[rare], keys, counts, of_token.reshape(CONTEXTS, -1))
+        return cls(words, places, first, np.where(there, at, -1), rare, np.bincount(places, minlength=len(words))[rare], keys, counts, of_token.astype(np.uint32).reshape(CONTEXTS, -1))
 
 
 def key_bits(tokens: int) -> int:
@@ -264,43 +317,49 @@ def _by_owner(keys: np.ndarray, parts: int, bits: int) -> dict[int, slice]:
     return {int(owner[lo]): slice(lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
 
 
-def _nodes(keys: np.ndarray, d: int) -> np.ndarray:
-    """Where each distinct (context, first d bits) of the sorted keys starts."""
-    node = keys >> _U(CLASS_BITS - d)
-    return np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+#: From which depth on two classes that differ in such bits are apart
+_DEPTH = np.array([CLASS_BITS + 1, *(CLASS_BITS + 1 - k.bit_length() for k in range(1, 1 << CLASS_BITS))], np.uint8)
 
 
-def paths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys -> (CLASS_BITS + 1, keys): how often the class's first 0, 1, .. bits followed its context."""
-    out = np.empty((CLASS_BITS + 1, len(keys)), np.uint32)
-    for d in range(CLASS_BITS + 1):
-        starts = _nodes(keys, d)
-        out[d] = np.repeat(np.add.reduceat(counts, starts), np.diff(np.append(starts, len(keys))))
+def depths(keys: np.ndarray, first=0) -> np.ndarray:
+    """From which depth on each sorted key is on another node than the key before it. 0: in another context, or at `first` of a list."""
+    out = np.zeros(len(keys), np.uint8)
+    step = keys[1:] ^ keys[:-1]
+    out[1:] = np.where(step >> _U(CLASS_BITS), 0, _DEPTH[(step & _U((1 << CLASS_BITS) - 1)).astype(np.int64)])
+    if len(keys):
+        out[first] = 0
     return out
 
 
-def pack_paths(keys: np.ndarray, path: np.ndarray) -> bytes:
-    """Each distinct prefix once, as the step from a longer one: most steps are 0."""
-    steps = [path[CLASS_BITS]]
+def climb(depth: np.ndarray):
+    """For each depth from CLASS_BITS - 1 to 0: which nodes of the depth below are the first of a node, and where they are. A node is a context and the class's first bits."""
     for d in range(CLASS_BITS - 1, -1, -1):
-        starts = _nodes(keys, d)
-        steps.append(path[d, starts] - path[d + 1, starts])
-    return pack(np.concatenate(steps))
+        first = depth <= d
+        lead = np.flatnonzero(first)
+        depth = depth.take(lead)
+        yield first, lead
 
 
-def unpack_paths(keys: np.ndarray, raw: bytes) -> np.ndarray:
-    steps = unpack(raw, np.uint32)
-    out = np.empty((CLASS_BITS + 1, len(keys)), np.uint32)
-    out[CLASS_BITS], at = steps[: len(keys)], len(keys)
-    for d in range(CLASS_BITS - 1, -1, -1):
-        starts = _nodes(keys, d)
-        out[d] = np.repeat(steps[at : at + len(starts)] + out[d + 1, starts], np.diff(np.append(starts, len(keys))))
-        at += len(starts)
-    return out
+def sums_before(counts: np.ndarray) -> np.ndarray:
+    """What comes before each of the counts; np.diff of some of these with the sum is the counts from each to the next."""
+    return np.cumsum(counts) - counts
+
+
+def runs(cuts: np.ndarray):
+    """Pairs of places in `cuts`, between which about BLOCK_KEYS keys lie: work on them stays in a core's cache."""
+    at = 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK_KEYS, "right")) - 1)
+        yield at, to
+        at = to
+
 
+def answers_to(chunks: DataFrame, vocab, parts: int, bits: int, groups: int = 1) -> DataFrame:
+    """chunk, part, counts, words: by counting task, what other chunks' training texts have of the prefixes and words asked for.
 
-def answers_to(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
-    """chunk, part, counts, words: by counting task, what other chunks' training texts have of the prefixes and words asked for."""
+    counts: each distinct prefix once, as the step from a longer one: most steps are 0. With groups, requests are written
+    and answered one group of counting tasks after the other, so that requests go from the disk as answers come.
+    """
     chunks = chunks.withColumn("bits", F.lit(bits))
     none = slice(0, 0)
 
@@ -315,28 +374,73 @@ def answers_to(chunks: DataFrame, vocab, parts: int, bits: int) -> DataFrame:
                 for part in sorted(of_keys | of_words):
                     k, w = of_keys.get(part, none), of_words.get(part, none)
                     numbers = [pack(n.astype(np.uint32)) if trains else None for n in (chunk.counts[k], chunk.rare_counts[w])]
-                    blocks.append((part, row["chunk"], pack(np.diff(chunk.keys[k], prepend=_U(0))), numbers[0], pack(np.diff(words[w], prepend=_U(0))), numbers[1]))
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "keys", "counts", "words", "word_counts"])
+                    blocks.append((part, row["chunk"], pack(np.diff(chunk.keys[k], prepend=_U(0))), numbers[0], pack(np.diff(words[w], prepend=_U(0))), numbers[1], part * groups // parts))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in blocks], t) for k, t in enumerate(kinds)], names=["part", "chunk", "keys", "counts", "words", "word_counts", "many"])
 
-    def summed(keys, counts):
-        """Distinct keys with their sums; for each request the keys, its own counts and their places."""
+    def listed(keys, counts):
+        """All requests, chunk by chunk; their own counts; how many each chunk has."""
         asked = [np.cumsum(unpack(raw, np.uint64), dtype=np.uint64) for raw in keys]
         # chunks that don't train ask without counts
         own = [np.zeros(len(a), np.int64) if raw is None else unpack(raw, np.uint32).astype(np.int64) for a, raw in zip(asked, counts, strict=True)]
-        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(place, np.concatenate(own), len(distinct)).astype(np.int64)
-        return distinct, total, list(zip(asked, own, np.split(place, np.cumsum([len(a) for a in asked])[:-1]), strict=True))
+        return np.concatenate(asked), np.concatenate(own), np.array([len(a) for a in asked])
+
+    def steps_of(keys, own, number):
+        """By depth: each node's step and chunk, for requests that hold all of their contexts. number: the chunk of each."""
+        distinct, at = ranked(keys)
+        total = np.bincount(at, own, len(distinct)).astype(np.int64)
+        before, mine, every, all_mine, all_every = sums_before(total), sums_before(own), total, own.sum(), total.sum()
+        others = every.take(at) - own
+        yield others, number
+        new = np.flatnonzero(number[1:] != number[:-1]) + 1
+        for (_, lead), (up, top) in zip(climb(depths(keys, np.append(0, new))), climb(depths(distinct)), strict=True):
+            before = before.take(top)
+            every = np.diff(before, append=all_every)
+            mine, number, below = mine.take(lead), number.take(lead), others.take(lead)
+            at = (np.cumsum(up) - 1).take(at.take(lead))
+            others = every.take(at) - np.diff(mine, append=all_mine)
+            yield others - below, number
 
     def count(key, frame):
-        distinct, total, requests = summed(frame["keys"], frame["counts"])
-        path = paths(distinct, total)
-        of_keys = [pack_paths(a, path[:, at] - paths(a, own)) for a, own, at in requests]
-        _, total, requests = summed(frame["words"], frame["word_counts"])
-        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": of_keys, "words": [pack((total[at] - own).astype(np.uint32)) for _, own, at in requests]})
-
-    asked = chunks.select("chunk", "fold", "lengths", "words", "places", "bits").mapInArrow(ask, "part int, chunk long, keys binary, counts binary, words binary, word_counts binary")
-    return asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary, words binary")
+        keys, own, sizes = listed(frame["keys"], frame["counts"])
+        number = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), sizes)
+        found = [([], []) for _ in range(CLASS_BITS + 1)]
+        if len(keys):
+            # ranges of contexts, so that what is looked up stays in a core's cache
+            context = keys >> _U(CLASS_BITS)
+            least, ranges = context.min(), min(1 + len(keys) // (4 * BLOCK_KEYS), 1 << 15)
+            of_range = ((context - least) // (((context.max() - least) // _U(ranges)) + _U(1))).astype(np.uint16)
+            order, ends = np.argsort(of_range, kind="stable"), np.cumsum(np.bincount(of_range, minlength=ranges))
+            for lo, hi in zip(ends - np.diff(ends, prepend=0), ends, strict=True):
+                if hi > lo:
+                    some = order[lo:hi]
+                    for (steps, numbers), (x, k) in zip(found, steps_of(keys.take(some), own.take(some), number.take(some)), strict=True):
+                        steps.append(x)
+                        numbers.append(k)
+        by_depth = []
+        for steps, numbers in found:
+            if steps:
+                k = np.concatenate(numbers)
+                by_depth.append((np.concatenate(steps).take(np.argsort(k, kind="stable")), np.concatenate(([0], np.cumsum(np.bincount(k, minlength=len(sizes)))))))
+        none = [np.zeros(0, np.int64)]
+        of_keys = [pack_small(np.concatenate([x[at[k] : at[k + 1]] for x, at in by_depth] or none)) for k in range(len(sizes))]
+        words, own, sizes = listed(frame["words"], frame["word_counts"])
+        distinct, place = ranked(words)
+        others = (np.bincount(place, own, len(distinct)).astype(np.int64).take(place) - own).astype(np.uint32)
+        ends = np.cumsum(sizes)
+        return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": of_keys, "words": [pack(others[lo:hi]) for lo, hi in zip(ends - sizes, ends, strict=True)]})
+
+    def counted(asked):
+        return asked.groupBy("part").applyInPandas(count, "chunk long, part int, counts binary, words binary")
+
+    asked = chunks.select("chunk", "fold", "lengths", "words", "places", "bits").mapInArrow(ask, "part int, chunk long, keys binary, counts binary, words binary, word_counts binary, many int")
+    if groups == 1:
+        return counted(asked.drop("many"))
+    asked, answers = stash(asked, "many"), []
+    for k in range(groups):
+        answers.append(stash(counted(asked.where(F.col("many") == k))))
+        unstash(asked, only=f"/many={k}")
+    return reduce(DataFrame.unionByName, answers)
 
 
 def answered(chunks: DataFrame, answers: DataFrame, parts: int, bits: int, slices: int, k: int) -> DataFrame:
@@ -346,8 +450,12 @@ def answered(chunks: DataFrame, answers: DataFrame, parts: int, bits: int, slice
     return chunks.where(mine).drop("n").withColumn("parts", F.lit(parts)).withColumn("bits", F.lit(bits)).join(by_chunk, "chunk")
 
 
+#: 1 for each bit of a class that is set, else -1
+_SIGNS = np.where(events(np.arange(1 << CLASS_BITS))[1], np.float32(1), np.float32(-1))
+
+
 def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))).astype(np.float32)
+    return np.log(ones.astype(np.float32) + np.float32(0.4)) - np.log(zeros.astype(np.float32) + np.float32(0.4))
 
 
 def class_totals(chunks: DataFrame) -> np.ndarray:
@@ -370,22 +478,45 @@ def base_odds(counts: np.ndarray) -> np.ndarray:
 def model_of(chunk: Chunk, row: dict, totals: np.ndarray, apart: bool) -> tuple:
     """What _inputs needs of a chunk: counts of all training texts; with apart, of all but the chunk's own."""
     owned = _by_owner(chunk.keys, row["parts"], row["bits"] + CLASS_BITS)
-    path = [unpack_paths(chunk.keys[owned[x["part"]]], x["counts"]) for x in row["answers"] if x["part"] in owned]
-    path = np.concatenate(path, axis=1) if path else np.zeros((CLASS_BITS + 1, 0), np.uint32)
+    raw = [x["counts"] for x in row["answers"] if x["part"] in owned]
+    cuts = np.append([owned[k].start for k in sorted(owned)], len(chunk.keys)).astype(np.int64)
     if apart:
         totals = totals - np.array(row["class_counts"])
-    elif row["fold"] >= 0:
-        path = path + paths(chunk.keys, chunk.counts)
-    # bit by bit, as a chunk has millions of keys
+    own = chunk.counts if row["fold"] >= 0 and not apart else None
     odds, seen = np.empty((len(chunk.keys), CLASS_BITS), np.float32), np.empty((len(chunk.keys), CLASS_BITS), np.uint8)
-    for d in range(CLASS_BITS):
-        bit = (chunk.keys >> _U(CLASS_BITS - 1 - d) & _U(1)).astype(bool)
-        came, other = path[d + 1], path[d] - path[d + 1]
-        odds[:, d] = _odds(np.where(bit, came, other), np.where(bit, other, came))
-        seen[:, d] = (path[d] > 2).astype(np.uint8) + (path[d] > 30).astype(np.uint8)
+    for lo, hi in runs(cuts):
+        part = slice(cuts[lo], cuts[hi])
+        _fill(odds[part], seen[part], chunk.keys[part], None if own is None else own[part], raw[lo:hi], cuts[lo : hi + 1] - cuts[lo])
     return base_odds(totals), [odds.ravel()] * CONTEXTS, [seen.ravel()] * CONTEXTS
 
 
+def _fill(odds: np.ndarray, seen: np.ndarray, keys: np.ndarray, own, raw: list[bytes], ends: np.ndarray):
+    """Answers to some keys -> log odds of each bit of each key's class, and how much its context has seen. own: counts to add."""
+    levels, cuts = list(climb(depths(keys))), [ends]
+    for _, lead in levels:
+        cuts.append(np.searchsorted(lead, cuts[-1]))
+    steps = [np.empty(at[-1], np.int64) for at in cuts]
+    for k, some in enumerate(map(unpack_small, raw)):
+        for step, at in zip(steps, cuts, strict=True):
+            n = at[k + 1] - at[k]
+            step[at[k] : at[k + 1]], some = some[:n], some[n:]
+    others, node = steps[0], None
+    if own is not None:
+        mine, all_mine = sums_before(own), own.sum()
+    came = others if own is None else others + own
+    for d, (first, lead), step in zip(range(CLASS_BITS - 1, -1, -1), levels, steps[1:], strict=True):
+        others = every = step + others.take(lead)
+        if own is not None:
+            mine = mine.take(lead)
+            every = others + np.diff(mine, append=all_mine)
+        above = np.cumsum(first) - 1
+        x = _odds(came, every.take(above) - came)
+        odds[:, d] = x if node is None else x.take(node)
+        node, came = above if node is None else above.take(node), every
+        seen[:, d] = ((every > 2).view(np.uint8) + (every > 30).view(np.uint8)).take(node)
+    odds *= _SIGNS.take((keys & _U((1 << CLASS_BITS) - 1)).astype(np.int64), axis=0)
+
+
 def word_totals(chunk: Chunk, row: dict, v: Vocabulary) -> np.ndarray:
     """How often each of the chunk's words came in all training texts."""
     out = np.zeros(len(chunk.words), np.int64)
@@ -395,23 +526,37 @@ def word_totals(chunk: Chunk, row: dict, v: Vocabulary) -> np.ndarray:
     return out
 
 
+_NODES, _BITS = events(np.arange(1 << CLASS_BITS))
+_NODES = _NODES.astype(np.int64)
+
+
 def _inputs(model, of_class: np.ndarray, context: np.ndarray):
     """(log odds of each predictor, gate, bit) of every event. context: each token's request by context."""
     base, odds, seen = model
-    nodes, bits = events(of_class)
-    x = np.ones((INPUTS, nodes.size), np.float32)
-    x[0] = base[nodes].ravel()
+    n = len(of_class)
+    x = np.ones((INPUTS, n, CLASS_BITS), np.float32)
+    x[0] = base.take(_NODES[of_class])
     saw = []
     for c in range(CONTEXTS):
-        at = (context[c].astype(np.int64)[:, None] * CLASS_BITS + _PLACES).ravel()
-        x[c + 1] = odds[c][at]
-        saw.append(seen[c][at])
-    place = np.broadcast_to(_PLACES, nodes.shape).ravel()
-    return x, (place * SEEN + saw[0]) * SEEN + saw[2], bits.ravel()
+        whole = len(odds[c]) // CLASS_BITS * CLASS_BITS
+        x[c + 1] = odds[c][:whole].reshape(-1, CLASS_BITS).take(context[c], axis=0)
+        if c != 1:
+            saw.append(seen[c][:whole].reshape(-1, CLASS_BITS).take(context[c], axis=0))
+    gate = (_PLACES * (SEEN * SEEN)).astype(np.uint8) + saw[0] * np.uint8(SEEN) + saw[1]
+    return x.reshape(INPUTS, -1), gate.ravel().astype(np.int64), _BITS[of_class].ravel()
+
+
+def _mixed(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Log odds of every event. weights: by input and gate."""
+    z = weights[0].take(gate)
+    z *= x[0]
+    for k in range(1, INPUTS):
+        z += x[k] * weights[k].take(gate)
+    return z
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    return 1 / (1 + np.exp(np.clip(-z, -12, 12)))
 
 
 def _cell(z: np.ndarray) -> np.ndarray:
@@ -428,21 +573,24 @@ def learned_sums(ready: DataFrame, vocab, totals) -> np.ndarray:
         total = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
         for batch in batches:
             for row in rows_of(batch):
-                weights, cells, n = np.tile(START, (GATES, 1)), np.zeros(GATES * CELLS * 2), 0
+                weights, cells, n = np.repeat(START[:, None], GATES, axis=1), np.zeros(GATES * CELLS * 2), 0
                 chunk = Chunk.read(row, vocab.value)
                 model = model_of(chunk, row, totals, apart=True)
                 of_class = classes(chunk.words)[chunk.places]
-                for lo in range(0, len(of_class), 512):
-                    part = slice(lo, lo + 512)
-                    x, gate, bits = _inputs(model, of_class[part], chunk.of_token[:, part])
-                    z = np.einsum("kn,nk->n", x, weights[gate])
-                    step = (bits - _squash(z)).astype(np.float32) * x
-                    hits = np.maximum(np.bincount(gate, minlength=GATES), 1)
-                    for k in range(INPUTS):
-                        weights[:, k] += RATE * np.bincount(gate, step[k], GATES) / np.sqrt(hits)
-                    cells += np.bincount((gate * CELLS + _cell(z)) * 2 + bits, minlength=len(cells))
-                    n += len(bits)
-                total += np.concatenate(([n], weights.ravel().astype(float) * n, cells))
+                for at in range(0, len(of_class), LEARN_WORDS):
+                    xs, gates, all_bits = _inputs(model, of_class[at : at + LEARN_WORDS], chunk.of_token[:, at : at + LEARN_WORDS])
+                    zs = np.empty(len(gates), np.float32)
+                    for lo in range(0, len(gates), 512 * CLASS_BITS):
+                        part = slice(lo, lo + 512 * CLASS_BITS)
+                        x, gate = xs[:, part], gates[part]
+                        zs[part] = z = _mixed(x, weights, gate)
+                        missed = all_bits[part] - _squash(z)
+                        rate = RATE / np.sqrt(np.maximum(np.bincount(gate, minlength=GATES), 1))
+                        for k in range(INPUTS):
+                            weights[k] += rate * np.bincount(gate, missed * x[k], GATES)
+                    cells += np.bincount((gates * CELLS + _cell(zs)) * 2 + all_bits, minlength=len(cells))
+                    n += len(gates)
+                total += np.concatenate(([n], weights.T.ravel().astype(float) * n, cells))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sums"])
 
     sums = np.zeros(1 + GATES * INPUTS + GATES * CELLS * 2)
@@ -475,6 +623,7 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     arrow_rows(spark)
     counts = stash(word_counts(docs.where("not held_out") if training is None else training))
     words = vocabulary(counts)
+    unstash(counts)
     vocab = spark.sparkContext.broadcast(words)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
     no = F.lit(-1)
@@ -489,13 +638,13 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
     totals = class_totals(chunks)
     parts, bits, slices = 1 + (CONTEXTS * tokens >> TABLE_BITS + 1), key_bits(tokens), SLICES if tokens > SLICE_TOKENS else 1
     with few_at_a_time(spark):
-        answers = stash(answers_to(chunks, vocab, parts, bits))
-    unstash(counts)
+        answers = answers_to(chunks, vocab, parts, bits, ASK_GROUPS) if tokens > SLICE_TOKENS else stash(answers_to(chunks, vocab, parts, bits))
     ready = [answered(chunks, answers, parts, bits, slices, k) for k in range(slices)]
     mixer = spark.sparkContext.broadcast(fit_mixer(sum(learned_sums(r, vocab, totals) for r in ready)))
 
     def run(batches):
         v, (weights, refined) = vocab.value, mixer.value
+        by_input = np.ascontiguousarray(weights.T)
         for batch in batches:
             for row in rows_of(batch):
                 chunk = Chunk.read(row, v)
@@ -506,12 +655,10 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None) -> DataF
                     part = slice(lo, lo + CHUNK_WORDS)
                     k = of_class[part]
                     x, gate, bits = _inputs(model, k, chunk.of_token[:, part])
-                    z = x[0] * weights[gate, 0]
-                    for j in range(1, INPUTS):
-                        z += x[j] * weights[gate, j]
-                    p = 0.5 * _squash(z) + 0.5 * refined.ravel()[gate * CELLS + _cell(z)]
+                    z = _mixed(x, by_input, gate)
+                    p = 0.5 * _squash(z) + 0.5 * refined.ravel().take(gate * CELLS + _cell(z))
                     p = np.where(bits, p, 1 - p)
-                    logs[part] = np.log10(p.reshape(-1, CLASS_BITS)).sum(axis=1) - v.class_mass[k]
+                    logs[part] = np.log10(p.reshape(-1, CLASS_BITS).prod(axis=1, dtype=float)) - v.class_mass[k]
                 number = np.repeat(np.arange(some), np.diff(first))
                 count = word_totals(chunk, row, v)[chunk.places]
                 known = np.bincount(number, np.log10(count + 1), some)
