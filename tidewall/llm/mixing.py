@@ -46,7 +46,7 @@ CLASS_BITS = 10
 #: A counting task is given about 2 ** TABLE_BITS requests of chunks; the number of tasks follows the tokens
 TABLE_BITS = 20
 FREQUENT, MARKERS = 1 << 17, 256
-FOLDS, CHUNK_TOKENS = 4, 1 << 19
+FOLDS, CHUNK_TOKENS = 4, 1 << 20
 SPARE_BITS, MOST_BITS = 12, 64 - CLASS_BITS
 #: The hash that stands for the end of a text
 END = np.uint64(0x5851F42D4C957F2D)
@@ -56,7 +56,7 @@ RATE, CHUNK_WORDS, LEARN_WORDS, BLOCK_KEYS = 0.02, 1 << 12, 1 << 12, 1 << 13
 #: Into how many parts texts are dealt: LEAST_PARTS, and one more for so many training tokens
 LEAST_PARTS, PART_TOKENS = 8, 4 << 20
 #: Into how many slices chunks are met with their answers, beyond so many tokens
-SLICES, SLICE_TOKENS = 4, 1 << 22
+SLICES, SLICE_TOKENS = 6, 1 << 22
 #: Into how many groups counting tasks are then dealt
 ASK_GROUPS = 8
 _U = np.uint64
@@ -214,6 +214,7 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             some = slice(np.searchsorted(alike, x), np.searchsorted(alike, x, "right"))
             again = np.argsort(found[some], kind="stable")
             order[some], found[some] = order[some][again], found[some][again]
+    del mine
     new = np.concatenate(([True], found[1:] != found[:-1]))
     inverse = np.empty(n, np.int64)
     inverse[order] = np.cumsum(new) - 1
@@ -295,9 +296,10 @@ class Chunk:
         of_class = classes(words).astype(np.uint64)[places]
         keys = contexts(words[places], marks[places], first) >> _U(64 - row["bits"]) << _U(CLASS_BITS) | of_class
         keys, of_token = ranked(keys.ravel())
+        of_token = of_token.astype(np.uint32)
         counts = np.bincount(of_token, minlength=len(keys))
         rare = np.flatnonzero(~there)
-        return cls(words, places, first, np.where(there, at, -1), rare, np.bincount(places, minlength=len(words))[rare], keys, counts, of_token.astype(np.uint32).reshape(CONTEXTS, -1))
+        return cls(words, places, first, np.where(there, at, -1), rare, np.bincount(places, minlength=len(words))[rare], keys, counts, of_token.reshape(CONTEXTS, -1))
 
 
 def key_bits(tokens: int) -> int:
@@ -383,7 +385,8 @@ def answers_to(chunks: DataFrame, vocab, parts: int, bits: int, groups: int = 1)
         asked = [np.cumsum(unpack(raw, np.uint64), dtype=np.uint64) for raw in keys]
         # chunks that don't train ask without counts
         own = [np.zeros(len(a), np.int64) if raw is None else unpack(raw, np.uint32).astype(np.int64) for a, raw in zip(asked, counts, strict=True)]
-        return np.concatenate(asked), np.concatenate(own), np.array([len(a) for a in asked])
+        sizes = np.array([len(a) for a in asked])
+        return np.concatenate(asked), np.concatenate(own), sizes
 
     def steps_of(keys, own, number):
         """By depth: each node's step and chunk, for requests that hold all of their contexts. number: the chunk of each."""
@@ -404,21 +407,27 @@ def answers_to(chunks: DataFrame, vocab, parts: int, bits: int, groups: int = 1)
     def count(key, frame):
         keys, own, sizes = listed(frame["keys"], frame["counts"])
         number = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), sizes)
-        found = [([], []) for _ in range(CLASS_BITS + 1)]
+        found, narrow = [([], []) for _ in range(CLASS_BITS + 1)], np.uint32 if own.sum() < 1 << 32 else np.int64
         if len(keys):
             # ranges of contexts, so that what is looked up stays in a core's cache
             context = keys >> _U(CLASS_BITS)
             least, ranges = context.min(), min(1 + len(keys) // (4 * BLOCK_KEYS), 1 << 15)
-            of_range = ((context - least) // (((context.max() - least) // _U(ranges)) + _U(1))).astype(np.uint16)
+            context -= least
+            context //= context.max() // _U(ranges) + _U(1)
+            of_range = context.astype(np.uint16)
+            del context
             order, ends = np.argsort(of_range, kind="stable"), np.cumsum(np.bincount(of_range, minlength=ranges))
             for lo, hi in zip(ends - np.diff(ends, prepend=0), ends, strict=True):
                 if hi > lo:
                     some = order[lo:hi]
                     for (steps, numbers), (x, k) in zip(found, steps_of(keys.take(some), own.take(some), number.take(some)), strict=True):
-                        steps.append(x)
+                        steps.append(x.astype(narrow))
                         numbers.append(k)
+            del order, of_range
+        del keys, own, number
         by_depth = []
-        for steps, numbers in found:
+        while found:
+            steps, numbers = found.pop(0)
             if steps:
                 k = np.concatenate(numbers)
                 by_depth.append((np.concatenate(steps).take(np.argsort(k, kind="stable")), np.concatenate(([0], np.cumsum(np.bincount(k, minlength=len(sizes)))))))
@@ -428,6 +437,7 @@ def answers_to(chunks: DataFrame, vocab, parts: int, bits: int, groups: int = 1)
         distinct, place = ranked(words)
         others = (np.bincount(place, own, len(distinct)).astype(np.int64).take(place) - own).astype(np.uint32)
         ends = np.cumsum(sizes)
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"chunk": frame["chunk"], "part": key[0], "counts": of_keys, "words": [pack(others[lo:hi]) for lo, hi in zip(ends - sizes, ends, strict=True)]})
 
     def counted(asked):
